@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kvartal.llm.canonical import canonical_cities
+from kvartal.llm.entity_match import match_streets
 from kvartal.session import table
 
 
@@ -18,5 +19,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found}
+def p2_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_streets(table(spark, sf_dir, "magistral"), table(spark, sf_dir, "streets"), table(spark, sf_dir, "cities"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_match(spark, sf_dir).select("record_id", "street_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_match": p2_match, "p3_found": p3_found}
 SQL: dict[str, str] = {}

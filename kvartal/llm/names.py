@@ -105,10 +105,10 @@ _GIVEN = frozenset(word_key(w.lower()) for w in GIVEN_NAMES.split())
 _ORDINALS = {word_key(w): n for n, ws in {1: "перша перший перше", 2: "друга другий друге", 3: "третя третій третє", 4: "четверта четвертий четверте", 5: "п'ята п'ятий п'яте", 6: "шоста шостий шосте", 7: "сьома сьомий сьоме"}.items() for w in ws.split()}
 _ORDINALS |= {word_key(w): n for n, ws in {1: "первая первый", 2: "вторая второй", 3: "третья третий", 4: "четвертая четвертый"}.items() for w in ws.split()}
 _ROMAN = {"i": 1, "і": 1, "ii": 2, "іі": 2, "ii": 2, "iii": 3, "ііі": 3, "iv": 4, "іv": 4, "v": 5, "vi": 6, "vii": 7}
-_NUMBERED = re.compile(r"([1-9][0-9]?)-?(?:ша|ий|й|га|ге|тя|тє|те|та|ше|ій|а|я|є|е|sha|yi|i|y|ha|he|tia|tie|te|ta|she)?")
+_NUMBERED = re.compile(r"([1-9][0-9]?)(?:-?[^\W\d_]{1,3})?")
 _ENDS_IN_NUMBER = re.compile(r"(.*[^\W\d_])-([1-9][0-9]?)")
 _SPACED = {ord(c): " " for c in ".,;:()«»\"“”„[]{}/\\|!?*#№_   \t\r\n–—"}
-_SURNAME = re.compile(r".{4,}(?:ча|нка|ука|юка|яка|ака|ика|ека)")
+_ADJECTIVE = re.compile(r".*(?:(?:ск|цк|зк|ов|ев|н|т|р|х|л)(?:а|е|ии|и)|(?:широ|висо|глибо|дале)ка)")
 
 
 class CityCell(NamedTuple):
@@ -205,7 +205,7 @@ def parse_street(text: str) -> StreetName:
     main = max(rest, key=len)
     others = [n for n in names if n is not main]
     given = known[0] if known and known[0] != main else short[0] if short else max(others, key=len)
-    if roman and len(given) == 1 and not number and not _SURNAME.fullmatch(main) and given == word_key("і"):
+    if roman and len(given) == 1 and not number and _ADJECTIVE.fullmatch(main) and given == word_key("і"):
         return StreetName(kind, roman, "", main)
     if len(given) > 1 and given not in _GIVEN and len(names) == 2 and not near_given(given):
         # Two unknown words: both belong to the name.
@@ -229,6 +229,28 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if la > lb else a[i:] == b[i + 1 :]
 
 
+def edits(a: str, b: str, most: int) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours from a to b, each letter once; most + 1 if
+    there are more than most."""
+    la, lb = len(a), len(b)
+    if abs(la - lb) > most:
+        return most + 1
+    two, one = [0] * (lb + 1), list(range(lb + 1))
+    for i in range(1, la + 1):
+        row = [i] + [0] * lb
+        ca = a[i - 1]
+        for j in range(1, lb + 1):
+            cb = b[j - 1]
+            d = min(one[j - 1] + (ca != cb), one[j] + 1, row[j - 1] + 1)
+            if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
+                d = min(d, two[j - 2] + 1)
+            row[j] = d
+        if min(row) > most:
+            return most + 1
+        two, one = one, row
+    return one[lb]
+
+
 def _nearest_given(given: str) -> str:
     """The given name meant: itself if it is known or an initial, else the only one a typing error away."""
     if len(given) < 2 or given in _GIVEN:

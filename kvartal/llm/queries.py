@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kvartal.llm.canonical import canonical_cities
 from kvartal.llm.entity_match import match_streets
+from kvartal.llm.lookalike import consistent_texts, equal_looking
+from kvartal.llm.mixing import mix_report, plan_copies, sized
+from kvartal.llm.tokenize import encode_texts
 from kvartal.session import table
 
 
@@ -27,5 +30,35 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_match(spark, sf_dir).select("record_id", "street_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_match": p2_match, "p3_found": p3_found}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_copies(sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, targets = sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")
+    return mix_report(sizes, targets, plan_copies(sizes, targets))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return equal_looking(table(spark, sf_dir, "documents"))
+
+
+def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistent_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_match": p2_match,
+    "p3_found": p3_found,
+    "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_texts": p9_texts,
+}
 SQL: dict[str, str] = {}

@@ -39,3 +39,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over at least as many partitions as there are cores.
+
+    Only an input in fewer pieces is shuffled, by a hash of its key, so that a small file doesn't leave the
+    cluster idle; large inputs keep their scan's partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -120,6 +120,8 @@ class CityCell(NamedTuple):
     index: str
 
 
+#: A kind written together with the name.
+_GLUED = re.compile(r"\b(смт|пгт)(?=[А-ЯІЇЄҐ])")
 _LEADING_INDEX = re.compile(r"\s*(\d{4,5})[\s,]+(?=\D)")
 _PARENTHESIS = re.compile(r"\(([^)]*)\)?")
 _token_key = Memo(word_key)
@@ -135,6 +137,7 @@ def parse_city(cell: str) -> CityCell:
     if m := _LEADING_INDEX.match(cell):
         index, cell = m.group(1).zfill(5), cell[m.end() :]
     hints: list[str] = []
+    cell = _GLUED.sub(r"\1 ", cell)
     if "(" in cell:
         for m in _PARENTHESIS.finditer(cell):
             hints += words(m.group(1))
@@ -295,9 +298,9 @@ def _house(m: re.Match) -> str:
     number, letter, part, part_letter, block = m.groups()
     out = number.lstrip("0") or "0"
     if letter:
-        out += word_key(letter)
+        out += word_key(letter.lower())
     if part:
-        out += "/" + (part.lstrip("0") or "0") + (word_key(part_letter) if part_letter else "")
+        out += "/" + (part.lstrip("0") or "0") + (word_key(part_letter.lower()) if part_letter else "")
     if block:
         out += "к" + (block.lstrip("0") or "0")
     return out

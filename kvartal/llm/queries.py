@@ -8,6 +8,7 @@ from kvartal.llm.canonical import canonical_cities
 from kvartal.llm.entity_match import match_streets
 from kvartal.llm.lookalike import consistent_texts, equal_looking
 from kvartal.llm.mixing import mix_report, plan_copies, sized
+from kvartal.llm.same_address import same_addresses
 from kvartal.llm.tokenize import encode_texts
 from kvartal.session import table
 
@@ -30,6 +31,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_match(spark, sf_dir).select("record_id", "street_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_addresses(table(spark, sf_dir, "addresses"), table(spark, sf_dir, "streets"), table(spark, sf_dir, "cities"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_match": p2_match,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,

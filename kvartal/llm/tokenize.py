@@ -149,7 +149,7 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", name: str =
     """keep and n_tokens (bigint; 0 for NULL and empty texts) of every row; keep[0] is the key."""
     ranks = _broadcast(df, name, folder)
     own = spread(df.select(*keep, F.col(text).alias("_text")), keep[0])
-    schema = own.drop("_text").schema.add("n_tokens", "bigint")
+    schema = own.drop("_text").schema.add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.shared(ranks)

@@ -93,3 +93,32 @@ class BKTree:
             keep = np.abs(self.edges[edge_at] - d[reps]) <= radius
             q, node = q[reps[keep]], self.kids[edge_at[keep]]
         return found
+
+
+def typing_errors(a: list[str], b: list[str]) -> np.ndarray:
+    """Insertions, deletions, substitutions and swaps of neighbours between each two strings, each letter
+    edited once."""
+    if not a:
+        return np.zeros(0, np.int32)
+    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    wa, wb = int(la.max()), int(lb.max())
+    x, y = np.ascontiguousarray(encode(a, max(wa, 1))[0].T), np.ascontiguousarray(encode(b, max(wb, 1))[0].T)
+    at = np.arange(len(a))
+    row = np.repeat(np.arange(wb + 1, dtype=np.int16)[:, None], len(a), 1)
+    before = row
+    out = np.where(la == 0, lb, 0).astype(np.int32)
+    for i in range(wa):
+        two, before = before, row
+        row = np.empty_like(before)
+        row[0] = i + 1
+        change = before[:-1] + (x[i] != y[:wb])
+        np.minimum(change, before[1:] + 1, out=change)
+        if i:
+            swapped = (x[i] == y[: wb - 1]) & (x[i - 1] == y[1:wb])
+            np.minimum(change[1:], np.where(swapped, two[: wb - 1] + 1, np.int16(30000)), out=change[1:])
+        for j in range(wb):
+            np.minimum(change[j], row[j] + 1, out=row[j + 1])
+        done = la == i + 1
+        if done.any():
+            out[done] = row[lb[done], at[done]]
+    return out

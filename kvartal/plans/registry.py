@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kvartal.plans import general
+from kvartal.plans import general, scalar
 
-QUERIES = {**general.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES = {**general.QUERIES, **scalar.QUERIES}
+SQL: dict[str, str] = {**scalar.SQL}
 FLAGSHIP = "p6_found"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kvartal.plans import general, scalar
+from kvartal.plans import general, matching, scalar
 
-QUERIES = {**general.QUERIES, **scalar.QUERIES}
-SQL: dict[str, str] = {**scalar.SQL}
+QUERIES = {**general.QUERIES, **scalar.QUERIES, **matching.QUERIES}
+SQL: dict[str, str] = {**scalar.SQL, **matching.SQL}
 FLAGSHIP = "p6_found"

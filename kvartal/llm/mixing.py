@@ -47,26 +47,24 @@ def plan_copies(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", seed:
     plan = plan.select("source", whole.cast("int").alias("_whole"), missing.alias("_missing"), "_size", "_docs", "_squares")
     # With p proportional to size, a sample of n documents is expected to hold n * sum(s^2) / sum(s) tokens.
     plan = plan.withColumn("_n", F.col("_missing") * F.col("_size") / F.col("_squares"))
-    docs = sizes.where("n_tokens > 0").join(F.broadcast(plan), "source")
+    # One row per listed source.
+    plan = F.broadcast(checkpointed(plan))
     p = F.least(F.greatest(F.col("_n") * F.col("n_tokens") / F.col("_size"), F.lit(1e-9)), F.lit(1 - 1e-9))
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("source")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     q = (u / (1 - u)) / (p / (1 - p))
-    docs = docs.withColumn("_rank", q / (1 + q)).withColumn("_bucket", F.floor(F.col("_rank") * BUCKETS).cast("int"))
+    docs = sizes.where("n_tokens > 0").join(plan, "source").withColumn("_rank", q / (1 + q)).withColumn("_bucket", F.floor(F.col("_rank") * BUCKETS).cast("int"))
     # Buckets before the one that crosses the target are taken whole.
     sums = docs.groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("_in"), F.first("_missing").alias("_missing"))
     before = F.coalesce(F.sum("_in").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("_before", before)
-    edge = sums.where("_before <= _missing AND _before + _in > _missing").select("source", F.col("_bucket").alias("_edge"), F.col("_before").alias("_held"))
-    docs = docs.join(F.broadcast(edge), "source", "left")
-    full = docs.where("_missing > 0 AND (_edge IS NULL OR _bucket < _edge)").withColumn("_extra", F.lit(1))
-    rest = docs.where("_missing > 0 AND _bucket > _edge").withColumn("_extra", F.lit(0))
-    inside = docs.where("_missing > 0 AND _bucket = _edge")
-    order = Window.partitionBy("source", "_bucket").orderBy("_rank", key)
-    so_far = F.col("_held") + F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = sums.withColumn("_before", before).where("_before <= _missing AND _before + _in > _missing").select("source", F.col("_bucket").alias("_edge"), F.col("_before").alias("_held"))
+    docs = docs.join(F.broadcast(checkpointed(edge)), "source", "left")
+    at_edge = F.coalesce((F.col("_missing") > 0) & (F.col("_bucket") == F.col("_edge")), F.lit(False))
+    taken = (F.col("_missing") > 0) & (F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge")))
+    clear = docs.where(~at_edge).withColumn("_extra", taken.cast("int"))
+    order = Window.partitionBy("source", "_bucket").orderBy("_rank", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The document that crosses the target is taken if that comes closer than leaving it.
-    inside = inside.withColumn("_so_far", so_far).withColumn("_extra", (F.col("_so_far") - F.col("n_tokens") / 2.0 <= F.col("_missing")).cast("int")).drop("_so_far")
-    none = docs.where("NOT _missing > 0").withColumn("_extra", F.lit(0))
-    drawn = full.unionByName(rest).unionByName(inside).unionByName(none)
+    nearer = F.col("_held") + F.sum("n_tokens").over(order) - F.col("n_tokens") / 2.0 <= F.col("_missing")
+    drawn = clear.unionByName(docs.where(at_edge).withColumn("_extra", nearer.cast("int")))
     return drawn.select(key, "source", "n_tokens", (F.col("_whole") + F.col("_extra")).cast("int").alias("copies")).where("copies > 0")
 
 

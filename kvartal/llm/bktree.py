@@ -9,14 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-
-def encode(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code points in rows of the given width, and lengths."""
-    out = np.zeros((len(texts), width), np.int32)
-    for i, t in enumerate(texts):
-        if t:
-            out[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.int32)
-    return out, np.array([len(t) for t in texts], np.int64)
+from kvartal.functions.batch import encode
 
 
 def distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:

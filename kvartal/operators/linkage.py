@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kvartal.functions import similarity as S
 from kvartal.functions import text as X
+from kvartal.functions.batch import token_similarity_column
 from kvartal.functions.dual import Ex, case, cast, lit, name, text
 from kvartal.session import checkpointed
 
@@ -59,10 +60,14 @@ def record_stage() -> dict[str, Ex]:
 
 
 def prepared_requests(addresses: DataFrame, key: str = "row_id") -> DataFrame:
-    """Requests with their cells cleaned and the q_ columns that matching reads."""
+    """Requests with their cells cleaned and the q_ columns that matching reads.
+
+    Each step goes through a generator of one row, which keeps the optimizer from writing the steps into one
+    another: merged, every use of a cell would repeat all that was done to it.
+    """
     df = addresses
     for stage in request_stages():
-        df = df.select(key, *[e.col.alias(n) for n, e in stage.items()])
+        df = df.select(key, F.inline(F.array(F.struct(*[e.col.alias(n) for n, e in stage.items()]))))
     return df
 
 
@@ -70,28 +75,24 @@ def prepared_directory(magistral: DataFrame, key: str = "record_id") -> DataFram
     return magistral.select(key, *[e.col.alias(n) for n, e in record_stage().items()])
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """Whether two strings can reach a Jaro-Winkler of 0.85 at all, by length and common letters: lossless.
+def _alike(a: str, b: str, least: float) -> Column:
+    """Whether two keys can reach a Jaro-Winkler of least at all: lossless.
 
-    With m matching letters Jaro is at most (m/n + m/k + 1) / 3, and Jaro-Winkler at most 0.4 of the rest
-    above it, so Jaro must reach 3/4. Distinct common letters bound m from above only with repeats, hence the
-    multiset bound by length alone and a zero test on the letters.
+    Jaro-Winkler is at most 0.6 Jaro + 0.4, and with m matching letters Jaro is at most (m/n + m/k + 1) / 3.
+    A letter that the other key doesn't have can't match, which bounds m.
     """
-    n, m = F.length(a), F.length(b)
-    shorter, longer = F.least(n, m), F.greatest(n, m)
-    return (shorter * 4 >= longer) & F.arrays_overlap(F.split(a, ""), F.split(b, ""))
-
-
-def once(value: Column) -> Column:
-    """A column that is computed once although a filter reads it too: filters aren't pushed below a generator."""
-    return F.explode(F.array(value))
+    jaro = (least - 0.4) / 0.6
+    n, k = F.length(a), F.length(b)
+    m = F.least(n - F.length(F.expr(f"translate({a}, {b}, '')")), k - F.length(F.expr(f"translate({b}, {a}, '')")))
+    return (F.col(a) == "") | (F.col(b) == "") | (m / n + m / k >= 3 * jaro - 1 - 1e-9)
 
 
 def similar_names(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, least: float) -> DataFrame:
     """on, a, b, similarity: pairs of distinct names that share the columns on and are similar enough."""
-    x, y = left.select(*on, a).where(F.col(a) != "").distinct(), right.select(*on, b).where(F.col(b) != "").distinct()
-    pairs = x.join(y, on).where(_alike(F.col(a), F.col(b)))
-    pairs = pairs.select("*", once(S.token_similarity(name(a), name(b)).col).alias("similarity"))
+    x = left.select(*on, a).where(F.col(a) != "").distinct().withColumn("_a", S.sorted_tokens(name(a)).col)
+    y = right.select(*on, b).where(F.col(b) != "").distinct().withColumn("_b", S.sorted_tokens(name(b)).col)
+    pairs = x.join(y, on).where(_alike("_a", "_b", least)).select(*on, a, b)
+    pairs = pairs.select("*", token_similarity_column(a, b).alias("similarity"))
     return pairs.where(F.col("similarity") >= least)
 
 
@@ -180,8 +181,8 @@ def scored_pairs(requests: DataFrame, records: DataFrame) -> DataFrame:
     df = pairs.join(requests, "row_id").join(records, "record_id").join(cities, ["q_city", "r_city"])
     block = "left(q_city, 2) = left(r_city, 2) OR (q_region != '' AND q_region = r_region) OR (q_post != '' AND q_post = r_post)"
     df = df.where(block).where(region_fits().col)
-    first, *stages = score_stages()
-    streets = df.select("q_street", "r_street").distinct().select("*", once(first["raw_street"].col).alias("raw_street"))
+    stages = score_stages()[1:]
+    streets = df.select("q_street", "r_street").distinct().select("*", token_similarity_column("q_street", "r_street").alias("raw_street"))
     df = df.join(streets, ["q_street", "r_street"])
     for stage in stages:
         for n, e in stage.items():

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kvartal.operators.multivalue import known_values, split_values
 from kvartal.operators.orphans import Reference, orphan_report, orphans
 from kvartal.operators.row_parse import parse_rows
+from kvartal.plans import general_sql as sql
 from kvartal.session import table
 
 REFERENCES = (
@@ -46,3 +47,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_valid": p1_valid, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found}
+_ORPHANS = " UNION ALL ".join(sql.orphans(r.child, r.row_key, r.ref, r.parent, r.key) for r in REFERENCES)
+SQL = {
+    "p1_found": sql.P1_FOUND,
+    "p5_found": _ORPHANS,
+    "p5_report": f"SELECT table_name, reason, period, count(*) AS orphans FROM ({_ORPHANS}) GROUP BY ALL",
+    "p6_found": sql.P6_FOUND,
+}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kvartal.plans import general, matching, scalar
+from kvartal.plans import general, lookups, matching, scalar
 
-QUERIES = {**general.QUERIES, **scalar.QUERIES, **matching.QUERIES}
-SQL: dict[str, str] = {**scalar.SQL, **matching.SQL}
+QUERIES = {**general.QUERIES, **scalar.QUERIES, **matching.QUERIES, **lookups.QUERIES}
+SQL: dict[str, str] = {**general.SQL, **scalar.SQL, **matching.SQL, **lookups.SQL}
 FLAGSHIP = "p6_found"

@@ -78,10 +78,14 @@ def prepared_directory(magistral: DataFrame, key: str = "record_id") -> DataFram
 def _alike(a: str, b: str, least: float) -> Column:
     """Whether two keys can reach a Jaro-Winkler of least at all: lossless.
 
-    Jaro-Winkler is at most 0.6 Jaro + 0.4, and with m matching letters Jaro is at most (m/n + m/k + 1) / 3.
-    A letter that the other key doesn't have can't match, which bounds m.
+    With p equal letters in front, at most four, Jaro must reach (least - p/10) / (1 - p/10); with m matching
+    letters it is at most (m/n + m/k + 1) / 3. A letter that the other key doesn't have can't match, which
+    bounds m.
     """
-    jaro = (least - 0.4) / 0.6
+    p = F.lit(0.0)
+    for i in (1, 2, 3, 4):
+        p = F.when(F.substring(a, 1, i) == F.substring(b, 1, i), i / 10).otherwise(p)
+    jaro = (least - p) / (1 - p)
     n, k = F.length(a), F.length(b)
     m = F.least(n - F.length(F.expr(f"translate({a}, {b}, '')")), k - F.length(F.expr(f"translate({b}, {a}, '')")))
     return (F.col(a) == "") | (F.col(b) == "") | (m / n + m / k >= 3 * jaro - 1 - 1e-9)

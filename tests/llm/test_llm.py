@@ -67,6 +67,8 @@ def test_canonical(spark):
     found = canonical.canonical_cities({"t": (df, "row_id", "city", ["region", "district"], ["index"])}, cities).collect()
     got = {r.row_key: r.city_id for r in found}
     assert got == {1: "1", 2: "3", 3: "2", 4: "2", 5: "3", 6: "", 9: "3", 10: "", 11: ""} and len(found) == 10
+    sharded = canonical.canonical_cities({"t": (df.where("row_id != 5"), "row_id", "city", ["region", "district"], ["index"])}, cities, bound=1)
+    assert {r.row_key: r.city_id for r in sharded.collect()} == {k: v for k, v in got.items() if k != 5}
     assert canonical.canonical_cities({"t": (df.limit(0), "row_id", "city", ["region"], ["index"])}, cities).count() == 0
     assert {r.city_id for r in canonical.canonical_cities({"t": (df, "row_id", "city", ["region"], ["index"])}, cities.limit(0)).collect()} == {""}
 
@@ -115,6 +117,8 @@ def test_streets_matched(spark):
     found = entity_match.match_streets(df, streets_of(spark), spark.createDataFrame(CITIES, _CITY_SCHEMA)).collect()
     assert {r.record_id: r.street_id for r in found} == {1: "10", 2: "11", 3: "10", 4: "12", 6: "14"} and len(found) == 6
     assert all(0.4 <= r.confidence <= 1 for r in found)
+    sharded = entity_match.match_streets(df, streets_of(spark), spark.createDataFrame(CITIES, _CITY_SCHEMA), bound=1)
+    assert sorted(map(tuple, sharded.select("record_id", "street_id").collect())) == sorted((r.record_id, r.street_id) for r in found)
     assert entity_match.match_streets(df.limit(0), streets_of(spark), spark.createDataFrame(CITIES, _CITY_SCHEMA)).count() == 0
     assert entity_match.match_streets(df, streets_of(spark).limit(0), spark.createDataFrame(CITIES, _CITY_SCHEMA)).count() == 0
 

@@ -30,6 +30,7 @@ from kvartal.session import checkpointed
 LEAST = 0.5
 EM_ROUNDS, EM_TOLERANCE = 200, 1e-7
 
+_DIGIT, _LATIN_LETTER = re.compile(r"\d"), re.compile(r"[A-Za-z]")
 _COUNTRY = frozenset(word_key(w) for w in ("україна", "украина", "ukraine", "ukraina"))
 _AREA = re.compile(r"(?:\bобл\b|\bобласть|\bр-н\b|\bрайон|\boblast|\braion)", re.I)
 _LEAD_INDEX = re.compile(r"\s*(\d{5})(?:\s+|$)")
@@ -58,12 +59,16 @@ _EMPTY = StreetName("", 0, "", "")
 
 def _house_of(text: str) -> str:
     """The house number if text is nothing else."""
+    if not _DIGIT.search(text):
+        return ""
     m = _WHOLE_HOUSE.fullmatch(_FLAT.sub("", text.lower().replace(" ", " ")).strip())
     return _house(HOUSE.search(m.group(1))) if m else ""
 
 
 def _cut_house(text: str) -> tuple[str, str]:
     """A street without the house number at its end, and that number."""
+    if not _DIGIT.search(text):
+        return text.strip(), ""
     bare = _FLAT.sub("", text).strip()
     m = _TAIL_HOUSE.match(bare)
     if not m:
@@ -88,14 +93,15 @@ def _classify(piece: str) -> Piece:
     index, piece = "", piece.strip()
     if m := _LEAD_INDEX.match(piece):
         index, piece = m.group(1), piece[m.end() :].strip()
-    if not piece or not _FLAT.sub("", piece.lower()).strip():
+    if not piece or (_DIGIT.search(piece) and not _FLAT.sub("", piece.lower()).strip()):
         return Piece("skip", "", index)
     if "(" not in piece and _AREA.search(piece):
         return Piece("area", piece, index)
     if h := _house_of(piece):
         return Piece("house", h, index)
     ws = words(_GLUED.sub(r"\1 ", piece))
-    keys, latin = [word_key(w) for w in ws], [word_key(w, False) for w in ws]
+    keys = [word_key(w) for w in ws]
+    latin = [word_key(w, False) for w in ws] if _LATIN_LETTER.search(piece) else keys
     if len(ws) == 1 and (keys[0] in _COUNTRY or latin[0] in _COUNTRY):
         return Piece("skip", "", index)
     if any(k in _STREET_KIND for k in keys) or any(k in _STREET_KIND for k in latin):

@@ -3,7 +3,7 @@
 Requests meet directory rows of the same city, judged once per pair of distinct names. Of those, only three
 kinds can reach the least score, and each is an equi-join: rows whose street is similar (judged once per
 pair of distinct street names of the city), rows that hold the requested house, and rows with the requested
-index. The reference compares every row of a block and keeps the first 5,000; nothing is cut off here.
+index. No number of candidates is cut off.
 """
 
 from __future__ import annotations

@@ -50,6 +50,7 @@ QUERIES = {"p1_found": p1_found, "p1_valid": p1_valid, "p5_found": p5_found, "p5
 _ORPHANS = " UNION ALL ".join(sql.orphans(r.child, r.row_key, r.ref, r.parent, r.key) for r in REFERENCES)
 SQL = {
     "p1_found": sql.P1_FOUND,
+    "p1_valid": sql.P1_VALID,
     "p5_found": _ORPHANS,
     "p5_report": f"SELECT table_name, reason, period, count(*) AS orphans FROM ({_ORPHANS}) GROUP BY ALL",
     "p6_found": sql.P6_FOUND,

@@ -26,6 +26,10 @@ P1_FOUND = f"""WITH l AS (SELECT raw_id, coalesce(line, '') AS line FROM magistr
         WHEN len(list_filter(list_transform(string_split(translate(b, ';', ','), ','), lambda p: {_bare('p')}), lambda p: p <> '' AND NOT regexp_full_match(p, '{_NUMBER}'))) > 0 THEN 'buildings' ELSE '' END AS reason FROM g)
     SELECT raw_id, reason FROM r WHERE reason <> ''"""
 
+_NAMES = "region old_district new_district otg city city_index street buildings sort_center_1 sort_center_2 delivery_district tech_index features not_working".split()
+_CONTENT = ", ".join(f"""replace({_unquoted(f'(CASE WHEN true THEN {_nth(i)} END)')}, '""', '"') AS {n}""" for i, n in enumerate(_NAMES))
+P1_VALID = P1_FOUND.replace("SELECT raw_id, reason FROM r WHERE reason <> ''", f"SELECT l.raw_id, {_CONTENT} FROM l JOIN r ON l.raw_id = r.raw_id WHERE reason = ''")
+
 
 def _trim(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"

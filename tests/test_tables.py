@@ -106,3 +106,19 @@ def test_streams(spark, tmp_path):
     times = spark.createDataFrame([(dt.datetime(2025, 1, 1, 1), dt.datetime(2025, 1, 1, 5)), (dt.datetime(2025, 1, 1, 2), dt.datetime(2025, 1, 1, 2))], "requested_at timestamp, loaded_at timestamp")
     row = R.arrivals(times).first()
     assert (row.n, row.late) == (2, 1)
+
+
+def test_house_lookup_falls_back(spark):
+    houses = spark.createDataFrame([("1", "5", "5", "01001"), ("1 ", "6-А", "6А", "01002"), ("2", "9", "9", None)], "street_id string, house_number string, normalized_house_number string, postcode string")
+    wanted = spark.createDataFrame([("1", "6А"), ("2", "77"), ("3", "1")], "street_id string, house string")
+    got = sorted((r.street_id, r.house, r.number, r.exact) for r in D.house_lookup(wanted, houses).collect())
+    assert got == [("1", "6А", "6А", True), ("2", "77", "9", False)]
+    assert D.house_lookup(wanted.limit(0), houses).count() == 0
+
+
+def test_tables_without_rows(spark):
+    q, r = small(spark)
+    pq, pr = L.prepared_requests(q.limit(0)), L.prepared_directory(r.limit(0))
+    assert L.scored_pairs(pq, L.prepared_directory(r)).count() == 0 and L.scored_pairs(L.prepared_requests(q), pr).count() == 0
+    assert {x["mode"] for x in L.decisions(L.prepared_requests(q), L.scored_pairs(L.prepared_requests(q), pr)).collect()} == {"none"}
+    assert D.autocomplete(r.limit(0), "city").count() == 0 and D.least_index(r.limit(0)).count() == 0

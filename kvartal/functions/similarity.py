@@ -7,7 +7,7 @@ else follows from that list. Transpositions count as halves, not rounded.
 from __future__ import annotations
 
 from kvartal.functions.dual import Ex, case, join, keep, let, lit, lower, size, sort, split
-from kvartal.functions.text import consonants, normalize_text, strip
+from kvartal.functions.text import consonants, strip
 
 
 def jaro(a: Ex, b: Ex) -> Ex:
@@ -84,4 +84,4 @@ def consonant_similarity(a: Ex, b: Ex) -> Ex:
     return let(consonants(a), lambda x: let(consonants(b), lambda y: scored(x, y), "cb"), "ca")
 
 
-__all__ = ["consonant_similarity", "jaro", "jaro_winkler", "levenshtein_similarity", "normalize_text", "sorted_tokens", "token_similarity"]
+__all__ = ["consonant_similarity", "jaro", "jaro_winkler", "levenshtein_similarity", "sorted_tokens", "token_similarity"]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from kvartal.functions.dual import NOT_W, WS, W, Ex, call, case, cast, count, each, extract, item, join, keep, let, like, lit, lookup, lower, part, rest, size, split, sub, translate, upper
+from kvartal.functions.dual import NOT_W, WS, Ex, call, case, count, each, extract, item, join, keep, let, like, lit, lookup, lower, part, rest, size, split, sub, translate, upper
 
 # Former and Russian names of cities and the current ones.
 CITY_RENAMES = {

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kvartal.functions import similarity as S
 from kvartal.functions import text as X
-from kvartal.functions.dual import Ex, cast, case, lit, name, text
+from kvartal.functions.dual import Ex, text
 from kvartal.session import spread, table
 
 

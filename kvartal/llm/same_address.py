@@ -20,7 +20,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kvartal.llm.canonical import Places, clean_index, collect_places, index_cities, settle
 from kvartal.llm.entity_match import match_mentions, pieces, street_names, typing_errors

@@ -2,8 +2,9 @@
 
 Directory cells are read into (city, kind, ordinal, given name or initial, main word), and so are the current
 and former names of classifier streets. Candidate pairs come from two equi-joins: on (city, ordinal, main
-word), and, for mentions that this leaves without a partner, on three-letter pieces of the main word, with
-the typing errors counted afterwards. Kind and given name must not contradict.
+word), and, for mentions that this leaves without a partner, on the beginning or end of the main word less one
+letter, which finds all within the typing errors that are counted afterwards. Kind and given name must not
+contradict.
 
 A factor graph over the candidate pairs gives the confidences: each mention means at most one street, and
 each street takes at most one mention of a form (how kind, given name and name are written). Loopy belief
@@ -33,6 +34,8 @@ BASE, KIND_SAME, KIND_UNWRITTEN_STREET, GIVEN_SAME, GIVEN_INITIAL, TYPO, FORMER,
 LEAST = 0.4
 #: Typing errors in a main word: one in any, two from seven letters, MOST_ERRORS from nine if given names agree.
 MOST_ERRORS = 3
+#: Letters of a name's beginning and end that the search for misspelled names compares, at most; name_marks relies on both.
+BEGIN, END = 5, 6
 DAMPING, ROUNDS, TOLERANCE = 0.3, 12, 1e-3
 _EMPTY = StreetName("", 0, "", "")
 
@@ -118,15 +121,51 @@ def read_mentions(records: DataFrame, places: list[tuple] | None, key: str, city
     return settle(read_rows, places, ["_index"]).where((F.col("_city") != "") & (F.col("main") != ""))
 
 
-def pieces(word: Column, step: int = 1) -> Column:
-    """Three-letter pieces of a word without its ending, and its beginning; with step 3 the pieces don't overlap.
+def pieces(word: Column) -> Column:
+    """Three-letter pieces of a word without its ending, and its beginning.
 
     Endings like -вича and -енка are shared by most names of a city and tell nothing; short words keep theirs.
-    If one side is cut at every letter, the other may be cut at every third: each typing error spoils one piece.
     """
     n = F.length(word)
     last = F.greatest(F.when(n >= 8, n - 5).otherwise(n - 2), F.lit(1))
-    return F.concat(F.array(F.concat(F.lit("^"), F.substring(word, 1, 2))), F.transform(F.sequence(F.lit(1), last, F.lit(step)), lambda i: F.substring(word, i, F.lit(3))))
+    return F.concat(F.array(F.concat(F.lit("^"), F.substring(word, 1, 2))), F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(word, i, F.lit(3))))
+
+
+def _less_one(tag: str, word: Column) -> Column:
+    """The strings that a word leaves without one of its letters."""
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.lit(tag), F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+
+
+def _ends(n: Column) -> tuple[Column, Column]:
+    """Letters of a name's beginning and end that don't overlap, by its length."""
+    half = F.floor(n / 2).cast("int")
+    return F.least(half, F.lit(BEGIN)), F.least(n - half, F.lit(END))
+
+
+def name_marks(word: Column) -> Column:
+    """Marks of a classifier name of four letters or more; it shares one with mention_marks of every word that is within the
+    typing errors of candidate_pairs.
+
+    Of three errors at most, the beginning or the end has at most one; a swap across its border changes one
+    letter of it. A part with at most one error and the letters of the mention in its place leave an equal
+    string if each loses one letter. Where beginning and end meet, a swap across both and an error in each
+    are still three: the beginning is also marked as after that swap.
+    """
+    n = F.length(word)
+    begin, end = _ends(n)
+    swapped = F.when((n >= 9) & (begin + end == n), _less_one("^", F.concat(F.substring(word, F.lit(1), begin - 1), F.substring(word, begin + 1, F.lit(1)))))
+    return F.array_distinct(F.concat(_less_one("^", F.substring(word, F.lit(1), begin)), _less_one("$", F.substring(word, n - end + 1, end)), F.coalesce(swapped, F.array().cast("array<string>"))))
+
+
+def mention_marks(word: Column) -> Column:
+    """Marks of a mentioned word of four letters or more, for each length that the name meant may have."""
+    n = F.length(word)
+    shorter = F.when(n >= 12, 3).when(n >= 9, 2).when(n >= 5, 1).otherwise(0)
+    longer = F.when(n >= 9, MOST_ERRORS).when(n >= 7, 2).otherwise(1)
+    (begin, end), (begin_most, end_most) = _ends(n - shorter), _ends(n + longer)
+    begins = F.transform(F.sequence(begin, begin_most), lambda k: _less_one("^", F.substring(word, F.lit(1), k)))
+    ends = F.transform(F.sequence(end, F.least(end_most, n)), lambda k: _less_one("$", F.substring(word, n - k + 1, k)))
+    return F.array_distinct(F.flatten(F.concat(begins, ends)))
 
 
 def typing_errors(a: str, b: str) -> Column:
@@ -180,12 +219,17 @@ def candidate_pairs(mentions: DataFrame, names: DataFrame) -> DataFrame:
     # What is left may have typing errors in its main word, unless that word is itself in the vocabulary.
     left = met.where((F.size("listed") == 0) & (F.length("main") >= 4)).select("mid", "city", "kind", "ord", "given", "main").join(names.select("main").distinct(), "main", "left_anti")
 
-    def signed(df: DataFrame, city: str, number: str, word: str, step: int) -> DataFrame:
-        return df.withColumn("sign", F.explode(F.array_distinct(F.transform(pieces(F.col(word), step), lambda w: F.xxhash64(F.col(city), F.col(number), w))))).drop(city, number)
+    left, s = checkpointed(left), s.withColumn("sid", F.xxhash64("city_id", *[f"s_{c}" for c in StreetName._fields], "former"))
+
+    def signed(df: DataFrame, key: str, city: str, number: str, marks: Column) -> DataFrame:
+        return df.select(key, F.explode(F.transform(marks, lambda w: F.xxhash64(F.col(city), F.col(number), w))).alias("sign"))
 
-    near = signed(left, "city", "ord", "main", 1).join(signed(s.where(F.length("s_main") >= 4), "city_id", "s_ord", "s_main", 3), "sign")
-    near = near.where((F.levenshtein("main", "s_main", 2 * MOST_ERRORS - 2) >= 0) & fits({c: F.col(c) for c in ("s_given", "s_kind")}))
-    near = near.drop("sign").distinct().withColumn("typo", typing_errors("main", "s_main"))
+    # Only numbers are shuffled by mark; the names join the distinct pairs afterwards.
+    long = s.where(F.length("s_main") >= 4)
+    near = signed(left, "mid", "city", "ord", mention_marks(F.col("main"))).join(signed(long, "sid", "city_id", "s_ord", name_marks(F.col("s_main"))), "sign").select("mid", "sid").distinct()
+    near = near.join(left.select("mid", "kind", "given", "main"), "mid").join(long.select("sid", "street_id", "former", "s_kind", "s_given", "s_main"), "sid")
+    # A swap counts 2 in Levenshtein's metric.
+    near = near.where((F.levenshtein("main", "s_main", 2 * MOST_ERRORS) >= 0) & fits({c: F.col(c) for c in ("s_given", "s_kind")})).withColumn("typo", typing_errors("main", "s_main"))
     both = (F.col("given") != "") & (F.col("s_given") != "")
     size = F.least(F.length("main"), F.length("s_main"))
     near = near.where((F.col("typo") == 1) | ((F.col("typo") == 2) & (size >= 7)) | ((F.col("typo") == MOST_ERRORS) & (size >= 9) & both))

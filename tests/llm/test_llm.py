@@ -123,6 +123,34 @@ def test_streets_matched(spark):
     assert entity_match.match_streets(df, streets_of(spark).limit(0), spark.createDataFrame(CITIES, _CITY_SCHEMA)).count() == 0
 
 
+def misspelled(rng, word, errors):
+    """word with so many typing errors, anywhere in it."""
+    for _ in range(errors):
+        i, c = rng.randrange(len(word)), rng.choice("абвгд")
+        word = rng.choice((word[:i] + c + word[i:], word[:i] + word[i + 1 :], word[:i] + c + word[i + 1 :], word[:i] + word[i + 1 : i + 2] + word[i : i + 1] + word[i + 2 :]))
+    return word
+
+
+def test_misspelled_streets_all_found(spark):
+    """Every name within the promised errors is a candidate, as comparing all pairs shows."""
+    rng = random.Random(5)
+    said = sorted({"".join(rng.choices("абвгд", k=n)) for n in range(4, 15) for _ in range(4)})
+    swaps = [w[1::-1] + w[2:4] + w[5:3:-1] + w[6:8] + w[9:7:-1] + w[10:] for w in said if len(w) >= 10]  # three swaps
+    across = [w[:k] + w[k + 1] + w[k] + w[k + 2 :] for w in said for k in range(len(w) - 1)]
+    across = [misspelled(rng, w, rng.randint(0, 2)) for w in across]
+    known = sorted(w for w in {*swaps, *across, *(misspelled(rng, w, k) for w in said for k in (1, 2, 3) for _ in range(6))} - set(said) if w)
+    mentions = spark.createDataFrame([(i, "1", "", 0, g, w, 0, "", "") for i, (w, g) in enumerate(itertools.product(said, ("", "ивана")))], "mid long, city string, kind string, ord int, given string, main string, was_ord int, was_given string, was_main string")
+    street = spark.createDataFrame([(str(i), "1", False, "вул", 0, "ивана", w) for i, w in enumerate(known)], "street_id string, city_id string, former boolean, kind string, ord int, given string, main string")
+    got = {(r.mid, r.street_id) for r in entity_match.candidate_pairs(mentions, street).collect()}
+    want = set()
+    for m, w in enumerate(said):
+        for i, x in enumerate(known):
+            size, d = min(len(w), len(x)), names.edits(w, x, 3)
+            if size >= 4 and d <= 3:
+                want |= {(2 * m + with_given, str(i)) for with_given in (0, 1) if d == 1 or (d == 2 and size >= 7) or (d == 3 and size >= 9 and with_given)}
+    assert len(want) > 600 and got == want
+
+
 def test_same_addresses(spark):
     rows = [
         (1, "Київ", "вул. Григорія Довгука", "5-А", "01001"), (2, "м. Киiв", "Садова вул., буд. 5а, кв. 7", "", "01001"), (3, None, "Україна, 01001, м. Київ, Г. Довгука вул., 5 а", None, None),

@@ -1,9 +1,10 @@
 """Matching of address requests with a directory: preparation, candidates, scores, decisions.
 
-Requests meet directory rows of the same city, judged once per pair of distinct names. Of those, only three
+Requests meet directory rows of the same city, judged once per pair of distinct names. Of those, only four
 kinds can reach the least score, and each is an equi-join: rows whose street is similar (judged once per
-pair of distinct street names of the city), rows that hold the requested house, and rows with the requested
-index. No number of candidates is cut off.
+pair of distinct street names of the city), rows that hold the requested house, rows with the requested
+index, and in major cities rows with a house of the same base or with a part in common (judged once per pair
+of distinct houses). No number of candidates is cut off.
 """
 
 from __future__ import annotations
@@ -114,8 +115,9 @@ HOUSES = r"transform(split(buildings, ',', -1), x -> regexp_replace(translate(up
 def candidates(requests: DataFrame, records: DataFrame, cities: DataFrame) -> DataFrame:
     """row_id, record_id, street_sim: pairs of one city that can reach LEAST_SCORE.
 
-    Without a similar street a pair needs the house (0.35 + 0.10 + 0.085 + 0.12 is below 0.60 + the index's
-    part), so a pair is found through a similar street, an equal house, or an equal index.
+    Without a similar street a pair needs the house or the index (0.35 + 0.085 + 0.12 is below 0.60), so a pair
+    is found through a similar street, an equal house, or an equal index. Major cities have 0.10 more: there
+    a house with the same base or a part in common is enough.
     """
     q = requests.join(cities, "q_city")
     streets = similar_names(q.withColumnRenamed("r_city", "city_key"), records.withColumnRenamed("r_city", "city_key"), ["city_key"], "q_street", "r_street", STREET_LEAST)
@@ -124,7 +126,26 @@ def candidates(requests: DataFrame, records: DataFrame, cities: DataFrame) -> Da
     houses = records.where("buildings != ''").select("record_id", F.col("r_city").alias("city_key"), F.explode(F.array_distinct(F.expr(HOUSES))).alias("house"))
     by_house = q.where("q_house != ''").select("row_id", F.col("r_city").alias("city_key"), F.col("q_house").alias("house")).join(houses.where("house != ''"), ["city_key", "house"]).select("row_id", "record_id")
     by_index = q.where("q_index != ''").select("row_id", F.col("r_city").alias("city_key"), "q_index").join(records.select("record_id", F.col("r_city").alias("city_key"), F.col("r_index").alias("q_index")), ["city_key", "q_index"])
-    return by_street.union(by_house).union(by_index.select("row_id", "record_id")).distinct()
+    return by_street.union(by_house).union(by_index.select("row_id", "record_id")).union(_major_pairs(q, records)).distinct()
+
+
+def _major_pairs(q: DataFrame, records: DataFrame) -> DataFrame:
+    """row_id, record_id: pairs of major cities that can reach LEAST_SCORE by the base or a part of the house.
+
+    Houses and streets are judged once per pair of distinct ones of the city.
+    """
+    asked = q.where(F.col("q_city").isin(*MAJOR_CITIES) & F.col("r_city").isin(*MAJOR_CITIES) & (F.col("q_house") != "")).withColumnRenamed("r_city", "city_key")
+    held = records.where(F.col("r_city").isin(*MAJOR_CITIES) & (F.col("buildings") != "")).withColumnRenamed("r_city", "city_key")
+    cells = held.select("record_id", "city_key", "r_street", "r_index", F.explode(F.array_distinct(F.split("buildings", ",", -1))).alias("cell"))
+    each = cells.select("city_key", "cell").distinct().withColumn("h", F.expr(HOUSES.replace("buildings", "cell"))[0]).withColumn("base", F.expr(X.building_base(Ex("cell")).spark))
+    same_base = (F.col("q_base") != "") & (F.col("q_base") == F.col("base"))
+    houses = asked.select("city_key", "q_house", "q_base").distinct().join(each, "city_key").where(same_base | F.expr("contains(q_house, h) OR contains(h, q_house)"))
+    houses = houses.select("city_key", "q_house", "q_base", "cell", F.when(same_base, HOUSE_BASE).otherwise(HOUSE_PART).alias("part"))
+    least = (LEAST_SCORE - CITY_WEIGHT - CAPITAL - HOUSE_BASE) / STREET_LOW - 1e-6
+    streets = similar_names(asked, held, ["city_key"], "q_street", "r_street", least)
+    met = asked.select("row_id", "city_key", "q_street", "q_house", "q_base", "q_index").join(houses, ["city_key", "q_house", "q_base"]).join(cells, ["city_key", "cell"]).join(streets, ["city_key", "q_street", "r_street"])
+    index = F.when((F.col("q_index") != "") & (F.col("r_index") != ""), INDEX_OTHER).otherwise(0.0)
+    return met.where(CITY_WEIGHT + CAPITAL + STREET_LOW * F.col("similarity") + F.col("part") + index >= LEAST_SCORE - 1e-6).select("row_id", "record_id")
 
 
 def houses_of(e: Ex) -> Ex:

@@ -97,6 +97,24 @@ def test_matching(spark):
     assert {x.min_index for x in L.general_results(pq, pr, r).where("row_id = 1").collect()} == {"01001"}
 
 
+def test_major_cities_lose_no_pair(spark):
+    """Pairs that reach the least score by the base or a part of the house, against the SQL that compares all."""
+    duckdb = pytest.importorskip("duckdb")
+    from kvartal.plans import matching as M
+
+    asks = [(1, "Львів", "вул. Шевченка", "5А", "79001"), (2, "Львів", "Шевченка", "5А", ""), (3, "м. Харків", "вул. Зелена", "12", ""), (4, "Тернопіль", "вул. Шевченка", "5А", ""), (5, "Одеса", "Садова", "7/9", "65001"), (6, "Львів", "", "5А", ""), (7, "Львів", "Шевчука", "", "79002")]
+    held = [(1, "м. Львів", "вул. Шевчука", "5, 7", ""), (2, "Львів", "вул. Шептицька", "15а,", "79003"), (3, "Харків", "вул. Земляна", "112, 3", ""), (4, "Тернопіль", "вул. Шевчука", "5", ""), (5, "Одеса", "вул. Сонячна", "9", ""), (6, "Львів", "Шевська", "1,,2", ""), (7, "Одеса", "вул. Садибна", "7", "65002"), (8, "Львів", "", "5", "")]
+    addresses = spark.createDataFrame([(*a, "", "") for a in asks], "row_id long, city string, street string, building string, index string, region string, district string")
+    magistral = spark.createDataFrame([(*h, "") for h in held], "record_id long, city string, street string, buildings string, city_index string, region string")
+    got = L.scored_pairs(L.prepared_requests(addresses), L.prepared_directory(magistral)).collect()
+    con = duckdb.connect()
+    for name, df in (("addresses", addresses.toPandas()), ("magistral", magistral.toPandas())):
+        con.register(name, df)
+    want = {(a, b): (s, c) for a, b, s, c in con.execute(M.SQL["scored_pairs"]).fetchall()}
+    assert len(got) == len(want) and {(r.row_id, r.record_id): (round(r.score, 6), r.confidence) for r in got} == want
+    assert len(want) >= 4 and (2, 1) in want
+
+
 def test_streams(spark, tmp_path):
     q, r = small(spark)
     q.write.parquet(str(tmp_path / "in"))

@@ -3,30 +3,35 @@
 The reference list becomes a BK-tree under Levenshtein's metric in the folded alphabet of names.py. Up to
 MAX_BROADCAST entries (a checked count) the list is broadcast and each worker builds the tree once; rows are
 then placed in one pass without a shuffle, and only distinct names of a batch are searched. A larger list is
-sharded (match_to_reference): every distinct name meets each shard's tree, and the shards' winners merge.
+sharded (match_to_reference): every distinct name meets the trees of the shards it can be near to, and what
+the shards find is joined to the rows. Both ways share every rule after the search and give the same result.
 
 Every entry within RADIUS is found; an entry is accepted if one typing error (insertion, deletion,
-substitution, swap of neighbours) explains the difference. Namesakes are told apart by region, district and
-kind, then by the postal index as other rows of the same tables use it.
+substitution, swap of neighbours) explains the difference. Namesakes are told apart by region and district,
+then by the postal index as other rows of the same tables use it, then by the region of the index, at last by
+population.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kvartal.llm.bktree import BKTree
 from kvartal.llm.names import Memo, joined, one_edit, parse_city, word_key, words
 from kvartal.session import checkpointed
 
 RADIUS = 2
-#: Entries up to which the reference list is collected and broadcast.
+#: Entries up to which the reference list is collected and broadcast; beyond, it is sharded, with the same result.
 MAX_BROADCAST = 100_000
+#: Entries of one shard's tree, and values that meet it in one task.
+SHARD, BLOCK = 50_000, 50_000
 #: A swap counts 2 in Levenshtein's metric and 1 as a typing error, so RADIUS covers one error.
 _REGION_FILL = frozenset(word_key(w) for w in ("обл", "область", "області", "р-н", "район", "району", "oblast", "raion"))
 
@@ -35,24 +40,69 @@ def name_key(name: str | None) -> str:
     return parse_city(name).key if name else ""
 
 
-class Places:
-    """The reference list with its tree. rows: (id, name, former name, kind, region, district, population)."""
+def entry_keys(name: str | None, former: str | None) -> set[str]:
+    """Keys under which an entry is found: of its names, also as a transliterated cell reads them."""
+    return {k for n in (name, former) if n for k in (name_key(n), joined(name_key(n)))} - {""}
+
+
+def hint_words(text: str) -> tuple[str, ...]:
+    return tuple(k for w in words(text) if (k := word_key(w)) not in _REGION_FILL)
+
+
+class Fact(NamedTuple):
+    """What is known of a reference entry; the keys are region and district in the folded alphabet."""
+
+    id: str
+    region: str
+    population: int
+    kind: str
+    region_key: str
+    district_key: str
+
+
+FACT = "id string, region string, population bigint, kind string, region_key string, district_key string"
+PLACED = "_city string, _options array<struct<" + ", ".join(x.replace(" ", ": ") for x in FACT.split(", ")) + ">>"
+_FACTS = pa.list_(pa.struct([("id", pa.string()), ("region", pa.string()), ("population", pa.int64()), ("kind", pa.string()), ("region_key", pa.string()), ("district_key", pa.string())]))
+
+
+def fact(id_: str, kind: str | None, region: str | None, district: str | None, population: int | None) -> Fact:
+    return Fact(id_, region or "", int(population or 0), parse_city(f"{kind} x").kind if kind else "", word_key((region or "").lower().strip()), word_key((district or "").lower().strip()))
+
+
+class Cells:
+    """Parsed cells and hints of a worker, and the entries that each key names."""
+
+    def __init__(self):
+        self.found: dict[str, tuple[Fact, ...]] = {}
+        self.cells = Memo(parse_city)
+        self.hint_keys = Memo(hint_words)
+
+    def search(self, keys: Iterable[str]) -> None:
+        """Put the entries that each key names into found."""
+
+    def choose(self, options: tuple[Fact, ...], kind: str, hints: list[str]) -> list[Fact]:
+        """Those options that region and district speak for the most; all if none does."""
+        if len(options) < 2:
+            return list(options)
+        says = lambda key: any(h == key or (len(h) > 6 and one_edit(h, key)) for h in hints)
+        scores = [4 * says(o.region_key) + 3 * (bool(o.district_key) and says(o.district_key)) for o in options]
+        best = max(scores)
+        return [o for o, s in zip(options, scores) if s == best]
+
+
+class Places(Cells):
+    """The broadcast reference list with its tree. rows: (id, name, former name, kind, region, district, population)."""
 
     _built: dict[int, Places] = {}
 
     def __init__(self, rows: list[tuple]):
-        self.rows = rows
-        self.by_key: dict[str, list[int]] = {}
-        for i, r in enumerate(rows):
-            for key in {k for n in (r[1], r[2]) if n for k in (name_key(n), joined(name_key(n)))} - {""}:
-                self.by_key.setdefault(key, []).append(i)
+        super().__init__()
+        self.by_key: dict[str, list[Fact]] = {}
+        for r in rows:
+            f = fact(r[0], *r[3:])
+            for key in entry_keys(r[1], r[2]):
+                self.by_key.setdefault(key, []).append(f)
         self.tree = BKTree(list(self.by_key))
-        self.kinds = [parse_city(f"{r[3]} x").kind if r[3] else "" for r in rows]
-        self.regions = [word_key((r[4] or "").lower().strip()) for r in rows]
-        self.districts = [word_key((r[5] or "").lower().strip()) for r in rows]
-        self.found: dict[str, tuple[int, ...]] = {}
-        self.cells = Memo(parse_city)
-        self.hint_keys = Memo(lambda text: tuple(k for w in words(text) if (k := word_key(w)) not in _REGION_FILL))
 
     @classmethod
     def shared(cls, rows: list[tuple]) -> Places:
@@ -63,8 +113,7 @@ class Places:
             cls._built[mark] = cls(rows)
         return cls._built[mark]
 
-    def search(self, keys: list[str]) -> None:
-        """Put the entries that each key names into found."""
+    def search(self, keys: Iterable[str]) -> None:
         if len(self.found) > 200_000:
             self.found.clear()
         new = []
@@ -75,54 +124,62 @@ class Places:
                 else:
                     new.append(k)
         for k, hits in zip(new, self.tree.search(new, RADIUS)):
-            near = {i for e, _ in hits if one_edit(k, self.tree.entries[e]) for i in self.by_key[self.tree.entries[e]]}
+            near = {f for e, _ in hits if one_edit(k, self.tree.entries[e]) for f in self.by_key[self.tree.entries[e]]}
             self.found[k] = tuple(sorted(near))
 
-    def choose(self, options: tuple[int, ...], kind: str, hints: list[str]) -> list[int]:
-        """Those options that region, district and kind speak for the most."""
-        if len(options) < 2:
-            return list(options)
-        scores = []
-        for i in options:
-            region = any(h == self.regions[i] or (len(h) > 6 and one_edit(h, self.regions[i])) for h in hints)
-            district = bool(self.districts[i]) and any(h == self.districts[i] or (len(h) > 6 and one_edit(h, self.districts[i])) for h in hints)
-            scores.append((4 * region + 3 * district, bool(kind) and kind == self.kinds[i]))
-        if max(s[0] for s in scores):
-            best = max(s[0] for s in scores)
-            return [i for i, s in zip(options, scores) if s[0] == best]
-        return list(options)
-
 
 def collect_places(cities: DataFrame, bound: int = MAX_BROADCAST) -> list[tuple] | None:
     """The distinct reference rows, or None if there are more than bound."""
-    rows = cities.select(*[F.col(c).cast("string") for c in ("city_id", "city", "old_city", "city_type_short", "region", "district")], F.coalesce(F.col("population"), F.lit(0)).cast("long")).distinct().limit(bound + 1).collect()
+    rows = _entries(cities).limit(bound + 1).collect()
     return None if len(rows) > bound else sorted((tuple(r) for r in rows), key=lambda r: str(r[0]))
 
 
-PLACED = T.StructType([T.StructField("_city", T.StringType()), T.StructField("_options", T.ArrayType(T.StringType()))])
-
-
-def place(rows: DataFrame, places: list[tuple], keep: list[str], cell: str, hints: list[str], indexes: list[str]) -> DataFrame:
-    """keep and indexes of rows with a non-blank cell, `_city` ('' if the cell names no entry, NULL if it
-    names several that the hints don't tell apart) and then their ids in `_options`."""
-    own = rows.select(*keep, *indexes, F.col(cell).alias("_cell"), F.concat_ws(" ", *hints).alias("_hints"))
+def _entries(cities: DataFrame) -> DataFrame:
+    return cities.select(*[F.col(c).cast("string") for c in ("city_id", "city", "old_city", "city_type_short", "region", "district")], F.coalesce(F.col("population"), F.lit(0)).cast("long").alias("population")).where("city_id IS NOT NULL").distinct()
+
+
+def coded(column: pa.Array) -> tuple[np.ndarray, list]:
+    """A batch's column as numbers of its distinct values, and these; NULL is a value like others."""
+    d = column.dictionary_encode(null_encoding="encode")
+    return d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
+
+
+def place_batch(p: Cells, cells: pa.Array, hints: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """`_city` and `_options` of a batch (see place). Each distinct cell is judged once, and of those with
+    namesakes each distinct pair of cell and hints."""
+    at, names = coded(cells)
+    parsed = [p.cells[c] for c in names]
+    p.search([c.key for c in parsed])
+    found = [p.found.get(c.key, ()) for c in parsed]
+    city: list[str | None] = ["" if not f else f[0].id if len(f) == 1 else None for f in found]
+    options: list[list[Fact] | None] = [None] * len(city)
+    many = np.flatnonzero(np.array([len(f) > 1 for f in found], bool)[at]) if len(found) else np.zeros(0, int)
+    if len(many):
+        said, texts = coded(hints)
+        pairs, back = np.unique(at[many].astype(np.int64) * len(texts) + said[many], return_inverse=True)
+        for x in pairs.tolist():
+            c, h = divmod(x, len(texts))
+            left = p.choose(found[c], parsed[c].kind, [*p.hint_keys[texts[h] or ""], *parsed[c].hints])
+            city.append(left[0].id if len(left) == 1 else None)
+            options.append(None if len(left) == 1 else left)
+        at = at.astype(np.int64)
+        at[many] = len(names) + back
+    at = pa.array(at)
+    return pa.array(city, pa.string()).take(at), pa.array([None if o is None else [f._asdict() for f in o] for o in options], _FACTS).take(at)
+
+
+def place(rows: DataFrame, places: list[tuple], keep: list[str], cell: str, hints: list[str]) -> DataFrame:
+    """keep of rows with a non-blank cell, `_city` ('' if the cell names no entry, NULL if it names several
+    that the hints don't tell apart) and then these in `_options`."""
+    own = rows.select(*keep, F.col(cell).alias("_cell"), F.concat_ws(" ", *hints).alias("_hints"))
     own = own.where(F.col("_cell").rlike(r"(?U)\S"))
-    n = len(keep) + len(indexes)
-    schema = T.StructType(own.schema.fields[:n] + PLACED.fields)
+    n = len(keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:n]) + ", " + PLACED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Places.shared(places)
         for b in batches:
-            parsed = [p.cells[c] for c in b.column(n).to_pylist()]
-            p.search([c.key for c in parsed])
-            city, options = [], []
-            for c, hint in zip(parsed, b.column(n + 1).to_pylist()):
-                at = p.found.get(c.key, ())
-                if len(at) > 1:
-                    at = p.choose(at, c.kind, [*p.hint_keys[hint], *c.hints])
-                city.append("" if not at else p.rows[at[0]][0] if len(at) == 1 else None)
-                options.append([p.rows[i][0] for i in at] if len(at) > 1 else None)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(city, pa.string()), pa.array(options, pa.list_(pa.string()))], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *place_batch(p, b.column(n), b.column(n + 1))], names=[*keep, "_city", "_options"])
 
     return own.mapInArrow(run, schema)
 
@@ -133,127 +190,152 @@ def clean_index(x):
     return F.when(bare.rlike(r"^[0-9]{4,5}$") & ~F.lpad(bare, 5, "0").isin("00000", "01000"), F.lpad(bare, 5, "0"))
 
 
-def index_cities(placed: DataFrame, indexes: list[str]) -> DataFrame:
+def index_counts(placed: DataFrame, index: str) -> DataFrame:
+    """(_index, _city, n): rows of each city with each index, the indexes cleaned once per distinct value."""
+    used = placed.where(F.col("_city").isNotNull() & (F.col("_city") != "")).groupBy(F.col(index).alias("_raw"), "_city").agg(F.count("*").alias("n"))
+    used = used.select(clean_index(F.col("_raw")).alias("_index"), "_city", "n").where("_index IS NOT NULL")
+    return used.groupBy("_index", "_city").agg(F.sum("n").alias("n"))
+
+
+def index_cities(counts: DataFrame) -> DataFrame:
     """(_index, _by_index): the city that most rows with this index name. At most 100,000 rows, as an index
     has five digits, so it may be broadcast."""
-    used = placed.where(F.col("_city").isNotNull() & (F.col("_city") != "")).select(clean_index(F.col(indexes[0])).alias("_index"), "_city")
-    counts = used.where(F.col("_index").isNotNull()).groupBy("_index", "_city").count()
-    return counts.groupBy("_index").agg(F.max_by("_city", F.struct("count", "_city")).alias("_by_index"))
+    return counts.groupBy("_index").agg(F.max_by("_city", F.struct("n", "_city")).alias("_by_index"))
+
 
+def settle(placed: DataFrame, cities: DataFrame, indexes: list[str]) -> DataFrame:
+    """placed (a table without lineage) with `_city` also for namesakes, and without `_options`: by index, by
+    the region that the index begins with, at last the most populous (smallest id of equals).
 
-def settle(placed: DataFrame, places: list[tuple], indexes: list[str]) -> DataFrame:
-    """placed with `_city` also for namesakes: by index, by the region that the index begins with, at last
-    the most populous (smallest id of equals)."""
-    spark = placed.sparkSession
-    lone = index_cities(placed, indexes)
-    regions = spark.createDataFrame([(r[0], r[4] or "", int(r[6])) for r in places] or [("", "", 0)], "_id string, _region string, _population long").where("_id != ''")
+    Only the rows left open are written anew; the others are read from placed.
+    """
+    names = [c for c in placed.columns if c != "_options"]
+    counts = checkpointed(index_counts(placed, indexes[0]))
+    regions = cities.select(F.col("city_id").cast("string").alias("_city"), F.coalesce("region", F.lit("")).alias("_region")).groupBy("_city").agg(F.min("_region").alias("_region"))
     by_prefix = (
-        placed.where(F.col("_city").isNotNull() & (F.col("_city") != ""))
-        .select(F.substring(clean_index(F.col(indexes[0])), 1, 2).alias("_prefix"), "_city")
-        .where(F.col("_prefix").isNotNull())
-        .groupBy("_prefix", "_city")
-        .count()
-        .join(F.broadcast(regions), F.col("_city") == F.col("_id"))
-        .groupBy("_prefix", "_region")
-        .agg(F.sum("count").alias("n"))
-        .groupBy("_prefix")
-        .agg(F.max_by("_region", F.struct("n", "_region")).alias("_prefix_region"))
-    )
-    done = placed.where(F.col("_city").isNotNull())
-    names = placed.columns
-    open_ = placed.where(F.col("_city").isNull())
+        counts.groupBy(F.substring("_index", 1, 2).alias("_prefix"), "_city").agg(F.sum("n").alias("n"))
+        .join(regions, "_city").groupBy("_prefix", "_region").agg(F.sum("n").alias("n"))
+        .groupBy("_prefix").agg(F.max_by("_region", F.struct("n", "_region")).alias("_prefix_region"))
+    )
     index = F.coalesce(*[clean_index(F.col(i)) for i in indexes])
-    open_ = open_.withColumn("_index", index).withColumn("_prefix", F.substring("_index", 1, 2))
-    open_ = open_.join(F.broadcast(lone), "_index", "left").join(F.broadcast(by_prefix), "_prefix", "left")
-    facts = F.map_from_entries(F.array(*[F.struct(F.lit(r[0]), F.struct(F.lit(r[4] or "").alias("region"), F.lit(int(r[6])).alias("population"))) for r in _namesakes(places)])) if _namesakes(places) else None
-    if facts is not None:
-        ranked = F.array_max(
-            F.transform(
-                "_options",
-                lambda o: F.struct(
-                    (o == F.coalesce(F.col("_by_index"), F.lit(""))).cast("int"),
-                    (F.element_at(facts, o)["region"] == F.coalesce(F.col("_prefix_region"), F.lit("?"))).cast("int"),
-                    F.element_at(facts, o)["population"],
-                    (-o.cast("long")),
-                    o.alias("id"),
-                ),
-            )
+    left = placed.where(F.col("_city").isNull()).withColumn("_i", index).withColumn("_prefix", F.substring("_i", 1, 2))
+    # An index has five digits and a prefix two: both tables are bounded.
+    left = left.join(F.broadcast(index_cities(counts).withColumnRenamed("_index", "_i")), "_i", "left").join(F.broadcast(by_prefix), "_prefix", "left")
+    ranked = F.array_max(
+        F.transform(
+            "_options",
+            lambda o: F.struct(
+                (o["id"] == F.coalesce(F.col("_by_index"), F.lit(""))).cast("int").alias("a"), (o["region"] == F.coalesce(F.col("_prefix_region"), F.lit("?"))).cast("int").alias("b"),
+                o["population"].alias("c"), F.coalesce(-o["id"].try_cast("long"), F.lit(0)).alias("d"), o["id"].alias("id"),
+            ),
         )
-        open_ = open_.withColumn("_city", ranked["id"])
-    return done.unionByName(open_.select(*names))
-
+    )
+    left = checkpointed(left.withColumn("_city", ranked["id"]).select(*names))
+    return placed.where(F.col("_city").isNotNull()).select(*names).unionByName(left)
 
-def _namesakes(places: list[tuple]) -> list[tuple]:
-    p = Places.shared(places)
-    return [places[i] for i in sorted({i for at in p.by_key.values() if len(at) > 1 for i in at})]
 
+def match_to_reference(values: DataFrame, value: str, entries: DataFrame, entry: str, radius: int = RADIUS, shard: int = SHARD, block: int = BLOCK, nearest: bool = True) -> DataFrame:
+    """value, entry, distance: for each distinct value every entry within radius, or, if nearest, those at the
+    least distance; entry and distance are NULL for a value without any. For reference lists of any size.
 
-def match_to_reference(values: DataFrame, value: str, entries: DataFrame, entry: str, radius: int = RADIUS, shards: int = 1, block: int = 50_000) -> DataFrame:
-    """value, entry, distance: for each distinct value the closest entries within radius; entry and distance
-    are NULL for a value without any. For reference lists of any size.
-
-    Entries are spread over shards by hash, each with its own tree; every value meets every shard in blocks
-    of bounded size, and the shards' winners merge by least distance. NULL and empty values and entries are
-    left out; ties give several rows.
+    An entry's length is its distance from the empty string, the root of all trees: a value only meets
+    shards of lengths within radius of its own. Lengths with more than shard entries are split by hash, so
+    that no tree outgrows a task, and values come in blocks. NULL and empty values and entries are left out;
+    ties give several rows.
     """
     own = values.select(F.col(value).alias("value")).where(F.col("value") != "").distinct()
+    held = entries.select(F.col(entry).alias("entry")).where(F.col("entry") != "").distinct().withColumn("_n", F.length("entry"))
     blocks = max(1, -(-own.count() // block))
-    spread = own.withColumn("_block", F.pmod(F.xxhash64("value"), F.lit(blocks))).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = entries.select(F.col(entry).alias("entry")).where(F.col("entry") != "").distinct()
-    held = held.withColumn("_shard", F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    # One row for each length of an entry and part of it.
+    parts = held.groupBy("_n").agg(F.ceil(F.count("*") / F.lit(shard)).cast("int").alias("_parts"))
+    spread = own.withColumn("_n", F.explode(F.sequence(F.length("value") - radius, F.length("value") + radius))).join(parts, "_n")
+    spread = spread.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_block", F.pmod(F.xxhash64("value"), F.lit(blocks))).drop("_parts")
+    held = held.join(parts, "_n").withColumn("_part", F.pmod(F.xxhash64("entry"), F.col("_parts")).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).drop("_parts")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         tree, queries = BKTree(right["entry"].tolist()), left["value"].tolist()
         out = [(q, tree.entries[e], d) for q, hits in zip(queries, tree.search(queries, radius)) for e, d in hits]
         return pd.DataFrame(out, columns=["value", "entry", "distance"])
 
-    hits = spread.groupBy("_shard", "_block").cogroup(held.groupBy("_shard", "_block")).applyInPandas(run, "value string, entry string, distance int")
-    least = hits.groupBy("value").agg(F.min("distance").alias("distance"), F.collect_list(F.struct("distance", "entry")).alias("all"))
-    best = least.select("value", "distance", F.explode(F.filter("all", lambda x: x["distance"] == F.col("distance"))).alias("x")).select("value", F.col("x.entry").alias("entry"), "distance")
-    return own.join(best, "value", "left")
+    at = ["_n", "_part", "_block"]
+    hits = spread.groupBy(*at).cogroup(held.groupBy(*at)).applyInPandas(run, "value string, entry string, distance int")
+    if nearest:
+        least = hits.groupBy("value").agg(F.min("distance").alias("least"))
+        hits = hits.join(least, "value").where("distance = least").drop("least")
+    return own.join(hits, "value", "left")
+
+
+def sharded_facts(keys: DataFrame, cities: DataFrame, shard: int = SHARD) -> DataFrame:
+    """key, options: the facts of all entries that each distinct key names, as Places.search finds them, for a
+    list of any size. keys: key."""
+    schema = f"entry string, fact struct<{', '.join(x.replace(' ', ': ') for x in FACT.split(', '))}>"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(key, fact(r[0], *r[3:])._asdict()) for r in zip(*[c.to_pylist() for c in b.columns]) for key in sorted(entry_keys(r[1], r[2]))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([f for _, f in out], _FACTS.value_type)], names=["entry", "fact"])
+
+    entries = checkpointed(_entries(cities).mapInArrow(read, schema))
+    hits = match_to_reference(keys, "key", entries, "entry", RADIUS, shard, nearest=False).where("entry IS NOT NULL")
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([one_edit(v, e) for v, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_()))
+
+    hits = hits.mapInArrow(accept, "value string, entry string, distance int").join(entries, "entry")
+    # An entry named outright is not searched further.
+    per = hits.groupBy("value").agg(F.min("distance").alias("least"), F.collect_set(F.struct("distance", "fact")).alias("all"))
+    kept = F.filter("all", lambda x: (F.col("least") > 0) | (x["distance"] == 0))
+    return per.select(F.col("value").alias("key"), F.array_sort(F.array_distinct(F.transform(kept, lambda x: x["fact"]))).alias("options"))
+
 
+def place_sharded(rows: DataFrame, cities: DataFrame, keep: list[str], cell: str, hints: list[str], shard: int = SHARD) -> DataFrame:
+    """As place, for a reference list of any size."""
+    own = rows.select(*keep, F.col(cell).alias("_cell"), F.concat_ws(" ", *hints).alias("_hints"))
+    own = own.where(F.col("_cell").rlike(r"(?U)\S"))
+    n = len(keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    columns = own.columns
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = Memo(name_key)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([cells[c] for c in b.column(n).to_pylist()], pa.string())], names=[*columns, "key"])
+
+    own = checkpointed(own.mapInArrow(keyed, schema + ", key string"))
+    met = own.join(sharded_facts(own.select("key").distinct(), cities, shard), "key", "left").drop("key")
+    final = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:n]) + ", " + PLACED
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Cells()
+        for b in batches:
+            # A key has the same options in all rows.
+            p.found = {p.cells[c].key: tuple(Fact(**f) for f in o or ()) for c, o in zip(b.column(n).to_pylist(), b.column(n + 2).to_pylist())}
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *place_batch(p, b.column(n), b.column(n + 1))], names=[*keep, "_city", "_options"])
+
+    return met.mapInArrow(choose, final)
 
-def canonical_cities(tables: dict[str, tuple[DataFrame, str, str, list[str], list[str]]], cities: DataFrame, bound: int = MAX_BROADCAST) -> DataFrame:
+
+def canonical_cities(tables: dict[str, tuple[DataFrame, str, str, list[str], list[str]]], cities: DataFrame, bound: int = MAX_BROADCAST, shard: int = SHARD) -> DataFrame:
     """table_name, row_key, city_id: the reference city of every non-blank cell, '' if it names none.
 
     tables: name -> (rows, key column, cell column, hint columns, index columns). NULL and blank cells give
-    no row; repeated rows give repeated rows. Reference lists beyond the bound go through
-    match_to_reference.
+    no row; repeated rows give repeated rows; an empty reference list leaves all cells unmatched. bound:
+    entries up to which the list is broadcast; the result doesn't depend on it.
     """
     places = collect_places(cities, bound)
-    if places is None:
-        return _canonical_sharded(tables, cities)
     parts = []
     for name, (rows, key, cell, hints, indexes) in tables.items():
         own = rows.select(
             F.lit(name).alias("table_name"), F.col(key).cast("bigint").alias("row_key"), F.col(cell).alias("cell"),
             F.concat_ws(" ", *hints).alias("hints"), F.col(indexes[0]).alias("index_a"), F.col(indexes[-1]).alias("index_b"),
         )
-        parts.append(place(own, places, ["table_name", "row_key"], "cell", ["hints"], ["index_a", "index_b"]))
+        keep = ["table_name", "row_key", "index_a", "index_b"]
+        parts.append(place(own, places, keep, "cell", ["hints"]) if places is not None else own)
     placed = parts[0]
     for p in parts[1:]:
         placed = placed.unionByName(p)
+    if places is None:
+        placed = place_sharded(placed, cities, keep, "cell", ["hints"], shard)
     placed = checkpointed(placed)
-    return settle(placed, places, ["index_a", "index_b"]).select("table_name", "row_key", F.col("_city").alias("city_id"))
-
-
-def _canonical_sharded(tables, cities: DataFrame, shards: int = 64) -> DataFrame:
-    """As canonical_cities, for a reference list of any size: names and entries meet in shards, and the
-    chosen entry of each row is the one whose region or district stands in the row's hints."""
-    key = F.udf(lambda s: name_key(s) if s else "", "string", useArrow=True)
-    hint = F.udf(lambda s: [k for w in words(s or "") if (k := word_key(w)) not in _REGION_FILL], "array<string>", useArrow=True)
-    parts = []
-    for name, (rows, row_key, cell, hints, _) in tables.items():
-        parts.append(rows.select(F.lit(name).alias("table_name"), F.col(row_key).cast("bigint").alias("row_key"), key(F.col(cell)).alias("value"), F.concat_ws(" ", cell, *hints).alias("hints"), F.col(cell).rlike(r"(?U)\S").alias("named")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = checkpointed(rows.where("named"))
-    entries = cities.select("city_id", "region", "district", F.coalesce("population", F.lit(0)).alias("population"), F.explode(F.array("city", "old_city")).alias("n")).withColumn("entry", key(F.col("n"))).where("entry != ''")
-    accept = F.udf(lambda a, b: one_edit(a, b), "boolean", useArrow=True)
-    pairs = match_to_reference(rows, "value", entries, "entry", RADIUS, shards).where(F.col("entry").isNotNull()).where(accept("value", "entry"))
-    named = pairs.join(entries, "entry").withColumn("keys", hint(F.concat_ws(" ", "region", "district")))
-    joined_ = rows.withColumn("row_hints", hint("hints")).join(named, "value", "left")
-    score = F.size(F.array_intersect("row_hints", "keys"))
-    best = joined_.groupBy("table_name", "row_key").agg(F.max_by("city_id", F.struct(-F.coalesce("distance", F.lit(0)), score, "population", "city_id")).alias("city_id"))
-    return best.select("table_name", "row_key", F.coalesce("city_id", F.lit("")).alias("city_id"))
+    return settle(placed, cities, ["index_a", "index_b"]).select("table_name", "row_key", F.col("_city").alias("city_id"))

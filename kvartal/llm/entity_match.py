@@ -1,20 +1,24 @@
 """Problem 2: streets of a directory and of a classifier that share no identifier.
 
 Directory cells are read into (city, kind, ordinal, given name or initial, main word), and so are the current
-and former names of classifier streets. Candidate pairs come from two equi-joins: on (city, ordinal, main
-word), and, for mentions that this leaves without a partner, on the beginning or end of the main word less one
-letter, which finds all within the typing errors that are counted afterwards. Kind and given name must not
-contradict.
+and former names of classifier streets. A mention's candidates are the streets of its city with the same main
+word, those whose main word is within a few typing errors (distinct words meet through marks, see
+name_marks), and those of the former name that the cell adds. Kind and given name must not contradict. How
+the parts agree is compared in levels, and expectation-maximization estimates from the counts of the level
+patterns what each level says.
 
 A factor graph over the candidate pairs gives the confidences: each mention means at most one street, and
 each street takes at most one mention of a form (how kind, given name and name are written). Loopy belief
-propagation passes messages along the pairs, as window sums over the mention and over the street's slot,
-until they converge; pairs that compete with no other have their marginal at once, by the same formula.
+propagation passes messages along the pairs, as sums over the mention and over the street's slot, until no
+message changes; pairs that compete with no other have their marginal at once, by the same formula. A word
+that no listed street has is a misspelling, and a street may be misspelled in any number of ways: such
+mentions, and those that add a former name, compete for streets among themselves only by their own candidates.
 Rows are matched as distinct mentions, so that copies and popular streets cost nothing extra.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,51 +28,64 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvartal.llm.bktree import typing_errors as count_errors
-from kvartal.llm.canonical import MAX_BROADCAST, Places, canonical_cities, collect_places, settle
+from kvartal.llm.canonical import MAX_BROADCAST, PLACED, SHARD, Places, collect_places, place_batch, place_sharded, settle
 from kvartal.llm.names import Memo, StreetName, parse_street, split_former
+from kvartal.llm.weights import estimate
 from kvartal.session import checkpointed
 
-#: Log-odds of a pair by how its parts agree; the mention's "no street" has 0.
-BASE, KIND_SAME, KIND_UNWRITTEN_STREET, GIVEN_SAME, GIVEN_INITIAL, TYPO, FORMER, FORMER_ADDED = 3.5, 2.0, 0.7, 3.0, 1.5, -1.2, -0.5, 2.5
 #: Least marginal probability of a match.
-LEAST = 0.4
+LEAST = 0.5
 #: Typing errors in a main word: one in any, two from seven letters, MOST_ERRORS from nine if given names agree.
 MOST_ERRORS = 3
 #: Letters of a name's beginning and end that the search for misspelled names compares, at most; name_marks relies on both.
 BEGIN, END = 5, 6
-DAMPING, ROUNDS, TOLERANCE = 0.3, 12, 1e-3
+#: Messages are passed until none changes by more than TOLERANCE; ROUNDS is only a guard, and warns.
+DAMPING, ROUNDS, TOLERANCE = 0.3, 200, 1e-3
+#: Levels of the comparison. main: same; one error in seven letters or more; in fewer; two or three errors; errors, though the word
+#: is itself a listed name; not compared. given: same, initial, none on either side, one missing, another. kind: same, none written,
+#: one unwritten, another. former: current, former name. added: the former name that the cell adds is the
+#: street's; none added, or another way of writing.
+LEVELS = {"main": 6, "given": 5, "kind": 4, "former": 2, "added": 2}
+#: First guess where the last level is no disagreement.
+GUESS = {"main": ([0.7, 0.08, 0.06, 0.08, 0.02, 0.06], [0.2, 0.1, 0.1, 0.2, 0.3, 0.1]), "former": ([0.7, 0.3], [0.6, 0.4]), "added": ([0.1, 0.9], [0.02, 0.98])}
 _EMPTY = StreetName("", 0, "", "")
+_NAMES = "kind string, ord int, given string, main string"
 
 
-def _street_arrays(parsed: list[StreetName], prefix: str = "") -> tuple[list[pa.Array], list[str]]:
-    kinds, ords, givens, mains = zip(*parsed) if parsed else ((), (), (), ())
-    return [pa.array(kinds, pa.string()), pa.array(ords, pa.int32()), pa.array(givens, pa.string()), pa.array(mains, pa.string())], [prefix + n for n in StreetName._fields]
+def _reading(now: StreetName, was: StreetName) -> str:
+    """A street cell as read, in one string; no part holds the bar."""
+    return "|".join((now.kind, str(now.ord), now.given, now.main, str(was.ord), was.given, was.main))
 
 
-def _name_fields(prefix: str = "") -> list[T.StructField]:
-    return [T.StructField(prefix + n, T.IntegerType() if n == "ord" else T.StringType()) for n in StreetName._fields]
+def read_cell(cell: str) -> str:
+    now, was = split_former(cell)
+    name = parse_street(now)
+    return _reading(name, parse_street(was) if was else _EMPTY) if name.main else ""
 
 
-def street_names(streets: DataFrame, places: list[tuple] | None) -> DataFrame:
-    """street_id, city_id, former, kind, ord, given, main: current and former names of each distinct street.
+def parts_of(reading: Column) -> list[Column]:
+    """kind, ord, given, main, was_ord, was_given, was_main of a reading."""
+    x = F.split(reading, r"\|")
+    cast = {"ord": "int", "was_ord": "int"}
+    return [F.get(x, F.lit(i)).cast(cast.get(n, "string")).alias(n) for i, n in enumerate(("kind", "ord", "given", "main", "was_ord", "was_given", "was_main"))]
 
-    Streets without id or name, and those whose city reference leads nowhere (if places are given), give no row. The kind stands in
+
+def street_names(streets: DataFrame, cities: DataFrame) -> DataFrame:
+    """street_id, city, former, kind, ord, given, main: current and former names of each distinct street.
+
+    Streets without id or name, and those whose city reference leads nowhere, give no row. The kind stands in
     its own column or in the name; a former name without kind has the street's.
     """
-    known = None if places is None else {r[0] for r in places}
-    kind = F.coalesce(F.col("street_type_short"), F.lit(""))
     own = streets.select(
-        F.trim(F.col("street_id").cast("string")).alias("street_id"), F.regexp_replace(F.col("city_id"), r"(?U)^\s+|\s+$", "").alias("city_id"),
-        kind.alias("kind"), F.coalesce("street", F.lit("")).alias("street"), F.coalesce("old_street", F.lit("")).alias("old"),
-    ).where(F.col("street_id").isNotNull() & F.col("city_id").isNotNull()).distinct()
-    schema = T.StructType([T.StructField("street_id", T.StringType()), T.StructField("city_id", T.StringType()), T.StructField("former", T.BooleanType()), *_name_fields()])
+        F.trim(F.col("street_id").cast("string")).alias("street_id"), F.regexp_replace(F.col("city_id"), r"(?U)^\s+|\s+$", "").alias("city"),
+        F.coalesce("street_type_short", F.lit("")).alias("kind"), F.coalesce("street", F.lit("")).alias("street"), F.coalesce("old_street", F.lit("")).alias("old"),
+    ).where(F.col("street_id").isNotNull()).distinct()
+    own = own.join(cities.select(F.col("city_id").cast("string").alias("city")).distinct(), "city", "left_semi").select("street_id", "city", "kind", "street", "old")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, cities, former, parsed = [], [], [], []
             for sid, cid, kind, street, old in zip(*[c.to_pylist() for c in b.columns]):
-                if known is not None and cid not in known:
-                    continue
                 now = parse_street(f"{kind} {street}")
                 before = parse_street(old)
                 if before[1:] == now[1:]:
@@ -79,56 +96,36 @@ def street_names(streets: DataFrame, places: list[tuple] | None) -> DataFrame:
                         cities.append(cid)
                         former.append(is_old)
                         parsed.append(name._replace(kind=name.kind or now.kind))
-            arrays, names = _street_arrays(parsed)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(cities, pa.string()), pa.array(former, pa.bool_()), *arrays], names=["street_id", "city_id", "former", *names])
+            kinds, ords, givens, mains = zip(*parsed) if parsed else ((), (), (), ())
+            columns = [pa.array(ids, pa.string()), pa.array(cities, pa.string()), pa.array(former, pa.bool_()), pa.array(kinds, pa.string()), pa.array(ords, pa.int32()), pa.array(givens, pa.string()), pa.array(mains, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["street_id", "city", "former", *StreetName._fields])
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(run, f"street_id string, city string, former boolean, {_NAMES}")
 
 
-def read_mentions(records: DataFrame, places: list[tuple] | None, key: str, city: str, street: str, hints: list[str], index: str) -> DataFrame:
-    """key, _index, _city, _options (see place), kind, ord, given, main of the street as written, and
-    was_ord, was_given, was_main of the former name that the cell adds. Rows without city or street give none.
-    Without places the city is left open."""
-    own = records.select(F.col(key).alias("_key"), F.col(index).alias("_index"), F.col(city).alias("_cell"), F.concat_ws(" ", *hints).alias("_hints"), F.col(street).alias("_street"))
-    own = own.where(F.col("_cell").rlike(r"(?U)\S") & F.col("_street").rlike(r"(?U)\S"))
-    schema = T.StructType([*own.schema.fields[:2], T.StructField("_city", T.StringType()), T.StructField("_options", T.ArrayType(T.StringType())), *_name_fields(), *_name_fields("was_")])
-
-    def read(cell: str) -> tuple[StreetName, StreetName]:
-        now, was = split_former(cell)
-        return parse_street(now), parse_street(was) if was else _EMPTY
+def read_mentions(records: DataFrame, cities: DataFrame, key: str, city: str, street: str, hints: list[str], index: str, bound: int = MAX_BROADCAST, shard: int = SHARD) -> DataFrame:
+    """_key, _city, _reading (see parts_of) of the rows whose cells name a listed city and a street."""
+    places = collect_places(cities, bound)
+    own = records.where(F.col(city).rlike(r"(?U)\S") & F.col(street).rlike(r"(?U)\S"))
+    own = own.select(F.col(key).alias("_key"), F.col(index).alias("_index"), F.col(city).alias("_cell"), F.concat_ws(" ", *hints).alias("_hints"), F.col(street).alias("_street"))
+    schema = f"_key {own.schema['_key'].dataType.simpleString()}, _index {own.schema['_index'].dataType.simpleString()}, "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Places.shared(places or [])
-        cells = Memo(read, 50_000)
+        p, cells = Places.shared(places), Memo(read_cell, 50_000)
         for b in batches:
-            parsed = [p.cells[c] for c in b.column(2).to_pylist()]
-            p.search([c.key for c in parsed])
-            city, options = [], []
-            for c, hint in zip(parsed, b.column(3).to_pylist()):
-                at = p.found.get(c.key, ())
-                if len(at) > 1:
-                    at = p.choose(at, c.kind, [*p.hint_keys[hint], *c.hints])
-                city.append("" if not at else p.rows[at[0]][0] if len(at) == 1 else None)
-                options.append([p.rows[i][0] for i in at] if len(at) > 1 else None)
-            both = [cells[s] for s in b.column(4).to_pylist()]
-            now, names = _street_arrays([x for x, _ in both])
-            was, was_names = _street_arrays([x for _, x in both], "was_")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(city, pa.string()), pa.array(options, pa.list_(pa.string())), *now, *was], names=["_key", "_index", "_city", "_options", *names, *was_names])
-
-    if places is None:
-        return own.mapInArrow(run, schema).where("main != ''").drop("_city", "_options")
-    read_rows = checkpointed(own.mapInArrow(run, schema))
-    return settle(read_rows, places, ["_index"]).where((F.col("_city") != "") & (F.col("main") != ""))
-
-
-def pieces(word: Column) -> Column:
-    """Three-letter pieces of a word without its ending, and its beginning.
-
-    Endings like -вича and -енка are shared by most names of a city and tell nothing; short words keep theirs.
-    """
-    n = F.length(word)
-    last = F.greatest(F.when(n >= 8, n - 5).otherwise(n - 2), F.lit(1))
-    return F.concat(F.array(F.concat(F.lit("^"), F.substring(word, 1, 2))), F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(word, i, F.lit(3))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *place_batch(p, b.column(2), b.column(3)), pa.array([cells[s] for s in b.column(4).to_pylist()], pa.string())], names=["_key", "_index", "_city", "_options", "_reading"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = Memo(read_cell, 50_000)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([cells[s] for s in b.column(4).to_pylist()], pa.string())], names=["_key", "_index", "_cell", "_hints", "_reading"])
+
+    if places is not None:
+        placed = own.mapInArrow(run, schema + PLACED + ", _reading string")
+    else:
+        text = own.mapInArrow(read, schema + "_cell string, _hints string, _reading string")
+        placed = place_sharded(text.withColumnRenamed("_cell", "_named"), cities, ["_key", "_index", "_reading"], "_named", ["_hints"], shard)
+    return settle(checkpointed(placed), cities, ["_index"]).where("_city != '' AND _reading != ''").select("_key", "_city", "_reading")
 
 
 def _less_one(tag: str, word: Column) -> Column:
@@ -185,120 +182,161 @@ def _kind_agrees(a: Column, b: Column) -> Column:
     return (a == "") | (b == "") | (a == b)
 
 
-def _weight(typo: Column, added: Column, former: Column, s_kind: Column, s_given: Column) -> Column:
-    kind, given = F.col("kind"), F.col("given")
-    return (
-        F.lit(BASE)
-        + F.when((kind != "") & (s_kind != ""), KIND_SAME).when((kind == "") & s_kind.isin("вул", ""), KIND_UNWRITTEN_STREET).otherwise(0.0)
-        + F.when((F.length(given) > 1) & (F.length(s_given) > 1), GIVEN_SAME).when((given != "") & (s_given != ""), GIVEN_INITIAL).otherwise(0.0)
-        + typo * TYPO
-        + F.when(added, FORMER_ADDED).when(former, FORMER).otherwise(0.0)
-    )
-
-
-def candidate_pairs(mentions: DataFrame, names: DataFrame) -> DataFrame:
-    """mid, street_id, weight, form, n_m: pairs of mentions and streets that don't contradict each other, and the
-    number of pairs of the mention. form is NULL where the mention doesn't compete for the street.
-
-    mentions: mid, city, kind, ord, given, main, was_ord, was_given, was_main.
-    """
-    # Streets that are equal in all that is compared can't be told apart: the smallest id stands for them.
-    one = names.groupBy("city_id", "ord", "main", "kind", "given", "former").agg(F.min("street_id").alias("street_id"))
-    s = one.select("street_id", "city_id", "former", *[F.col(c).alias(f"s_{c}") for c in StreetName._fields])
-    listed = s.groupBy("city_id", "s_ord", "s_main").agg(F.collect_list(F.struct("street_id", "s_kind", "s_given", "former")).alias("listed"))
-    fits = lambda x: _given_agrees(F.col("given"), x["s_given"]) & _kind_agrees(F.col("kind"), x["s_kind"])
-    met = mentions.join(listed, (mentions.city == listed.city_id) & (mentions.ord == listed.s_ord) & (mentions.main == listed.s_main), "left")
-    met = met.withColumn("listed", F.filter(F.coalesce("listed", F.array().cast(listed.schema["listed"].dataType)), fits))
-    none = F.lit(False)
-    exact = met.where(F.size("listed") > 0).withColumn("n_m", F.size("listed")).withColumn("x", F.explode("listed"))
-    exact = exact.select("mid", "was_main", "n_m", F.col("x.street_id").alias("street_id"), _weight(F.lit(0), none, F.col("x.former"), F.col("x.s_kind"), F.col("x.s_given")).alias("weight"), F.xxhash64(F.col("kind") != "", F.least(F.length("given"), F.lit(2)), "x.former").alias("form"))
-    # The former name that a cell adds in brackets points at the street by itself.
-    was = mentions.where("was_main != ''").join(s, (mentions.city == s.city_id) & (mentions.was_ord == s.s_ord) & (mentions.was_main == s.s_main))
-    was = was.where(_given_agrees(F.col("was_given"), F.col("s_given")) & _kind_agrees(F.col("kind"), F.col("s_kind")))
-    was = was.select("mid", "street_id", _weight(F.lit(0), F.lit(True), F.col("former"), F.col("s_kind"), F.col("s_given")).alias("weight"))
-    # What is left may have typing errors in its main word, unless that word is itself in the vocabulary.
-    left = met.where((F.size("listed") == 0) & (F.length("main") >= 4)).select("mid", "city", "kind", "ord", "given", "main").join(names.select("main").distinct(), "main", "left_anti")
-
-    left, s = checkpointed(left), s.withColumn("sid", F.xxhash64("city_id", *[f"s_{c}" for c in StreetName._fields], "former"))
+def near_words(said: DataFrame, known: DataFrame, sound=lambda word: word) -> DataFrame:
+    """city, ord, main, s_main, typo: said words and the other known words of their city and ordinal within the
+    typing errors that candidate_pairs admits. said, known: distinct city, ord, main. sound maps words letter by
+    letter before they are marked, which only brings more of them together."""
+    said, known = (checkpointed(df.where(F.length("main") >= 4).select("city", "ord", "main", F.monotonically_increasing_id().alias("id"))) for df in (said, known))
 
-    def signed(df: DataFrame, key: str, city: str, number: str, marks: Column) -> DataFrame:
-        return df.select(key, F.explode(F.transform(marks, lambda w: F.xxhash64(F.col(city), F.col(number), w))).alias("sign"))
+    def signed(df: DataFrame, marks: Column, id_: str) -> DataFrame:
+        return df.select(F.col("id").alias(id_), F.explode(F.transform(marks, lambda w: F.xxhash64("city", "ord", w))).alias("sign"))
 
-    # Only numbers are shuffled by mark; the names join the distinct pairs afterwards.
-    long = s.where(F.length("s_main") >= 4)
-    near = signed(left, "mid", "city", "ord", mention_marks(F.col("main"))).join(signed(long, "sid", "city_id", "s_ord", name_marks(F.col("s_main"))), "sign").select("mid", "sid").distinct()
-    near = near.join(left.select("mid", "kind", "given", "main"), "mid").join(long.select("sid", "street_id", "former", "s_kind", "s_given", "s_main"), "sid")
+    # Only numbers are shuffled by mark; the words join the distinct pairs afterwards.
+    met = signed(said, mention_marks(sound(F.col("main"))), "m").join(signed(known, name_marks(sound(F.col("main"))), "s"), "sign").select("m", "s").distinct()
+    met = met.join(said.withColumnRenamed("id", "m"), "m").join(known.select(F.col("id").alias("s"), F.col("main").alias("s_main"), F.col("city").alias("s_city"), F.col("ord").alias("s_ord")), "s")
     # A swap counts 2 in Levenshtein's metric.
-    near = near.where((F.levenshtein("main", "s_main", 2 * MOST_ERRORS) >= 0) & fits({c: F.col(c) for c in ("s_given", "s_kind")})).withColumn("typo", typing_errors("main", "s_main"))
-    both = (F.col("given") != "") & (F.col("s_given") != "")
+    met = met.where((F.col("main") != F.col("s_main")) & (F.col("city") == F.col("s_city")) & (F.col("ord") == F.col("s_ord")) & (F.levenshtein("main", "s_main", 2 * MOST_ERRORS) >= 0))
+    met = met.withColumn("typo", typing_errors("main", "s_main"))
     size = F.least(F.length("main"), F.length("s_main"))
-    near = near.where((F.col("typo") == 1) | ((F.col("typo") == 2) & (size >= 7)) | ((F.col("typo") == MOST_ERRORS) & (size >= 9) & both))
-    near = near.select("mid", "street_id", _weight(F.col("typo"), none, F.col("former"), F.col("s_kind"), F.col("s_given")).alias("weight"))
-    # A typo or an added name is a form of its own for each mention: those don't compete for the street.
-    own = exact.where("was_main != ''").select("mid", "street_id", "weight").unionByName(was).unionByName(near)
-    own = own.groupBy("mid", "street_id").agg(F.max("weight").alias("weight"))
-    own = own.withColumn("form", F.lit(None).cast("bigint")).withColumn("n_m", F.count("*").over(Window.partitionBy("mid")).cast("int"))
-    return exact.where("was_main = ''").select("mid", "street_id", "weight", "form", "n_m").unionByName(own)
+    met = met.where((F.col("typo") == 1) | ((F.col("typo") == 2) & (size >= 7)) | ((F.col("typo") == MOST_ERRORS) & (size >= 9)))
+    return met.select("city", "ord", "main", "s_main", "typo")
+
 
+#: Pairs that can't be matches: another given name or another kind.
+_CONTRADICTS = f"given = {LEVELS['given'] - 1} OR kind = {LEVELS['kind'] - 1}"
 
-def marginals(pairs: DataFrame) -> DataFrame:
-    """mid, street_id, probability, n_m: marginal of each pair under the one-to-one factors.
 
-    Messages are ratios: a is what the mention's factor tells the pair, 1 / (1 + the others' odds), b the same
-    from the street's slot. They are damped and passed until none changes by more than TOLERANCE.
+def candidate_pairs(mentions: DataFrame, names: DataFrame) -> DataFrame:
+    """mid, mid2, street_id, the levels, form, n_m: pairs of mentions and streets with equal or near main words,
+    and the number of those of the mention that don't contradict each other. form is NULL where the mention
+    doesn't compete for the street.
+
+    mentions: mid, mid2, city and the parts of a reading.
+    """
+    # Streets that are equal in all that is compared can't be told apart: the smallest id stands for them.
+    one = names.groupBy("city", "ord", "main", "kind", "given", "former").agg(F.min("street_id").alias("street_id"))
+    listed = checkpointed(one.groupBy("city", "ord", "main").agg(F.collect_list(F.struct("street_id", F.col("kind").alias("s_kind"), F.col("given").alias("s_given"), "former")).alias("listed")))
+    said = mentions.select("city", "ord", "main").distinct()
+    near = checkpointed(near_words(said, listed.select("city", "ord", "main")))
+    vocabulary = listed.select("main", F.lit(True).alias("known")).distinct()
+    # What a word may mean: the streets that are called so, and those of near words.
+    itself = listed.select("city", "ord", "main", F.lit(0).alias("typo"), F.length("main").alias("size"), "listed")
+    others = near.join(listed.select("city", "ord", F.col("main").alias("s_main"), "listed"), ["city", "ord", "s_main"])
+    others = others.select("city", "ord", "main", "typo", F.least(F.length("main"), F.length("s_main")).alias("size"), "listed")
+    means = itself.unionByName(others).groupBy("city", "ord", "main").agg(F.collect_list(F.struct("typo", "size", "listed")).alias("means")).join(vocabulary, "main", "left")
+    spread = F.flatten(F.transform("means", lambda w: F.transform(w["listed"], lambda x: F.struct(w["typo"].alias("typo"), w["size"].alias("size"), x.alias("s")))))
+    fits = lambda given, s: _given_agrees(given, s["s_given"]) & _kind_agrees(F.col("kind"), s["s_kind"])
+    three = lambda x: (x["typo"] < MOST_ERRORS) | ((F.col("given") != "") & (x["s"]["s_given"] != ""))
+    met = mentions.join(means, ["city", "ord", "main"]).withColumn("x", F.filter(spread, three))
+    met = met.withColumn("n_m", F.size(F.filter("x", lambda x: fits(F.col("given"), x["s"]))))
+    known = F.coalesce("known", F.lit(False))
+    main = lambda x: F.when(x["typo"] == 0, 0).when(known, 4).when(x["typo"] > 1, 3).when(x["size"] < 7, 2).otherwise(1)
+    met = met.select("mid", "mid2", "kind", "given", "was_main", "known", "n_m", F.explode("x").alias("x"))
+    met = met.select("mid", "mid2", "kind", "given", "was_main", "n_m", F.col("x.s").alias("s"), main(F.col("x")).alias("main"), F.col("x.typo").alias("typo"))
+
+    def compared(df: DataFrame, given: str, added: Column) -> DataFrame:
+        g, s = F.col(given), F.col("s.s_given")
+        levels = {
+            "given": F.when((g == "") & (s == ""), 2).when((g == "") | (s == ""), 3).when(~_given_agrees(g, s), 4).when((F.length(g) > 1) & (F.length(s) > 1), 0).otherwise(1),
+            "kind": F.when((F.col("kind") == "") & (F.col("s.s_kind") == ""), 1).when((F.col("kind") == "") | (F.col("s.s_kind") == ""), 2).when(F.col("kind") == F.col("s.s_kind"), 0).otherwise(3),
+            "former": F.col("s.former").cast("int"),
+            "added": added,
+        }
+        return df.select("mid", "mid2", F.col("s.street_id").alias("street_id"), "main", *[c.cast("int").alias(n) for n, c in levels.items()], *[c for c in ("n_m", "form") if c in df.columns])
+
+    form = F.when((F.col("main") == 0) | (F.col("main") == 4), F.xxhash64(F.col("kind") != "", F.least(F.length("given"), F.lit(2)), "s.former"))
+    plain = compared(met.where("was_main = ''").withColumn("form", form), "given", F.lit(1))
+    # The former name that a cell adds in brackets points at the street by itself.
+    adding = mentions.where("was_main != ''")
+    was = adding.select("mid", "mid2", "kind", F.col("was_given").alias("given"), F.col("city"), F.col("was_ord").alias("ord"), F.col("was_main").alias("main")).join(listed, ["city", "ord", "main"])
+    was = was.withColumn("s", F.explode("listed")).where(fits(F.col("given"), F.col("s")))
+    both = compared(met.where("was_main != ''"), "given", F.lit(1)).drop("n_m").unionByName(compared(was.withColumn("main", F.lit(5)), "given", F.lit(0)))
+    both = both.groupBy("mid", "mid2", "street_id").agg(F.min(F.struct("main", "given", "kind", "former")).alias("x"), F.min("added").alias("added")).select("mid", "mid2", "street_id", "x.*", "added")
+    both = both.withColumn("form", F.lit(None).cast("bigint")).withColumn("n_m", F.count(F.when(F.expr(f"NOT ({_CONTRADICTS})"), 1)).over(Window.partitionBy("mid", "mid2")).cast("int"))
+    return plain.unionByName(both)
+
+
+def weighted(pairs: DataFrame) -> DataFrame:
+    """pairs (a table without lineage) with odds, as the levels' weights give them."""
+    fields = list(LEVELS)
+    # At most as many rows as there are patterns of levels.
+    counts = pairs.groupBy(*fields).agg(F.count("*").alias("n")).toPandas()
+    pairs = pairs.where(f"NOT ({_CONTRADICTS})")
+    if not len(counts):
+        return pairs.withColumn("odds", F.lit(1.0))
+    w = estimate(counts, LEVELS, ((counts["given"] == LEVELS["given"] - 1) | (counts["kind"] == LEVELS["kind"] - 1)).to_numpy(), GUESS)
+    total = F.lit(w.prior)
+    for f in fields:
+        total = total + F.element_at(F.array(*[F.lit(x) for x in w.log[f]]), F.col(f) + 1)
+    return pairs.withColumn("odds", F.exp(F.least(F.greatest(total, F.lit(-30.0)), F.lit(30.0))))
+
+
+def marginals(odds: DataFrame) -> DataFrame:
+    """mid, mid2, street_id, probability, n_m: marginal of each pair under the one-to-one factors.
+
+    odds: mid, mid2, street_id, form, n_m, odds. Messages are ratios: a is what the mention's factor tells the pair,
+    1 / (1 + the others' odds), b the same from the street's slot. They are damped and passed until none changes
+    by more than TOLERANCE; a graph that doesn't settle within ROUNDS raises a warning with the last change.
     """
-    w_m, w_s = Window.partitionBy("mid"), Window.partitionBy("street_id", "slot")
-    odds = pairs.withColumn("odds", F.exp("weight"))
-    rivals = F.count("*").over(Window.partitionBy("street_id", "form")) - 1
-    odds = odds.where("form IS NOT NULL").withColumn("rivals_s", rivals).unionByName(odds.where("form IS NULL").withColumn("rivals_s", F.lit(0).cast("bigint")))
-    odds = checkpointed(odds.withColumn("slot", F.coalesce("form", F.col("mid"))).select("mid", "street_id", "slot", "odds", "n_m", "rivals_s"))
-    alone = (F.col("n_m") == 1) & (F.col("rivals_s") == 0)
-    lone = odds.where(alone).select("mid", "street_id", (F.col("odds") / (1 + F.col("odds"))).alias("probability"), "n_m")
-    graph = odds.where(~alone).select("mid", "street_id", "slot", "odds", "n_m", F.lit(1.0).alias("a"), F.lit(1.0).alias("b"))
+    w_m, w_s = Window.partitionBy("mid", "mid2"), Window.partitionBy("street_id", "form")
+    key = ["mid", "mid2", "street_id"]
+    rivals = F.count("*").over(w_s) - 1
+    ranked = odds.where("form IS NOT NULL").withColumn("rivals", rivals).unionByName(odds.where("form IS NULL").withColumn("rivals", F.lit(0).cast("bigint"))).select(*key, "form", "odds", "n_m", "rivals")
+    ranked = checkpointed(ranked)
+    alone = (F.col("n_m") == 1) & (F.col("rivals") == 0)
+    lone = ranked.where(alone).select(*key, (F.col("odds") / (1 + F.col("odds"))).alias("probability"), "n_m")
+    graph = contested(ranked).withColumn("a", F.lit(1.0)).withColumn("b", F.lit(1.0))
+    change = 0.0
     for _ in range(ROUNDS):
         # A sum over the group less the own term: the message to a pair leaves out what came from it.
-        sent = graph.withColumn("b_new", 1 / (1 + F.greatest(F.lit(0.0), F.sum(F.col("odds") * F.col("a")).over(w_s) - F.col("odds") * F.col("a"))))
+        sent = graph.withColumn("b_new", F.when(F.col("rivals") == 0, 1.0).otherwise(1 / (1 + F.greatest(F.lit(0.0), F.sum(F.col("odds") * F.col("a")).over(w_s) - F.col("odds") * F.col("a")))))
         sent = sent.withColumn("b_new", (1 - DAMPING) * F.col("b_new") + DAMPING * F.col("b"))
         sent = sent.withColumn("a_new", 1 / (1 + F.greatest(F.lit(0.0), F.sum(F.col("odds") * F.col("b_new")).over(w_m) - F.col("odds") * F.col("b_new"))))
         sent = sent.withColumn("a_new", (1 - DAMPING) * F.col("a_new") + DAMPING * F.col("a"))
         sent = checkpointed(sent.withColumn("change", F.abs(F.col("a_new") - F.col("a")) + F.abs(F.col("b_new") - F.col("b"))))
-        change = sent.agg(F.max("change")).first()[0]
-        graph = sent.select("mid", "street_id", "slot", "odds", "n_m", F.col("a_new").alias("a"), F.col("b_new").alias("b"))
-        if change is None or change < TOLERANCE:
+        change = sent.agg(F.max("change")).first()[0] or 0.0
+        graph = sent.select(*key, "form", "odds", "n_m", "rivals", F.col("a_new").alias("a"), F.col("b_new").alias("b"))
+        if change < TOLERANCE:
             break
+    else:
+        warnings.warn(f"messages still change by {change:.3g} after {ROUNDS} rounds", stacklevel=2)
     belief = F.col("odds") * F.col("a") * F.col("b")
-    return lone.unionByName(graph.select("mid", "street_id", (belief / (1 + belief)).alias("probability"), "n_m"))
+    return lone.unionByName(graph.select(*key, (belief / (1 + belief)).alias("probability"), "n_m"))
+
+
+def contested(ranked: DataFrame) -> DataFrame:
+    """Pairs that compete with another: the edges that messages pass along."""
+    return ranked.where((F.col("n_m") > 1) | (F.col("rivals") > 0))
 
 
 def match_mentions(mentions: DataFrame, names: DataFrame, least: float = LEAST) -> DataFrame:
-    """mid, street_id, probability: the likeliest street of each mention that reaches least; ties take the
+    """mid, mid2, street_id, probability: the likeliest street of each mention that reaches least; ties take the
     smallest street_id."""
-    found = marginals(candidate_pairs(mentions, names))
-    one = found.where("n_m = 1").select("mid", "street_id", "probability")
-    best = found.where("n_m > 1").groupBy("mid").agg(F.max_by(F.struct("street_id", "probability"), F.struct(F.round("probability", 6), -F.col("street_id").cast("long"))).alias("best"))
-    return one.unionByName(best.select("mid", "best.*")).where(F.col("probability") >= least)
+    found = marginals(weighted(checkpointed(candidate_pairs(mentions, names))))
+    one = found.where("n_m = 1").select("mid", "mid2", "street_id", "probability")
+    best = found.where("n_m > 1").groupBy("mid", "mid2").agg(F.max_by(F.struct("street_id", "probability"), F.struct(F.round("probability", 6), F.coalesce(-F.col("street_id").try_cast("long"), F.lit(0)))).alias("best"))
+    return one.unionByName(best.select("mid", "mid2", "best.*")).where(F.col("probability") >= least)
 
 
-MENTION = ["_city", "kind", "ord", "given", "main", "was_ord", "was_given", "was_main"]
+def identified(rows: DataFrame) -> DataFrame:
+    """rows with mid and mid2: 128 bits that stand for _city and _reading in later steps."""
+    return rows.withColumn("mid", F.xxhash64("_city", "_reading")).withColumn("mid2", F.xxhash64("_reading", "_city"))
 
 
-def match_streets(records: DataFrame, streets: DataFrame, cities: DataFrame, key: str = "record_id", bound: int = MAX_BROADCAST) -> DataFrame:
+def mentions_of(rows: DataFrame) -> DataFrame:
+    """mid, mid2, city and the parts of each distinct reading."""
+    own = rows.select(F.col("_city").alias("city"), "_reading").distinct()
+    return identified(own.select("city", "_reading", F.col("city").alias("_city"))).select("mid", "mid2", "city", *parts_of(F.col("_reading")))
+
+
+def match_streets(records: DataFrame, streets: DataFrame, cities: DataFrame, key: str = "record_id", bound: int = MAX_BROADCAST, shard: int = SHARD) -> DataFrame:
     """key, street_id, confidence: the classifier street that each directory record means.
 
     Records without city or street cell, and those without counterpart, give no row; repeated records give
-    repeated rows. Empty tables give an empty result. bound: cities up to which their list is broadcast.
+    repeated rows. Empty tables give an empty result. bound: cities up to which their list is broadcast; the
+    result doesn't depend on it.
     """
-    places = collect_places(cities, bound)
-    names = street_names(streets, places)
     hints = ["region", "old_district", "new_district", "delivery_district"]
-    rows = read_mentions(records, places, key, "city", "street", hints, "city_index")
-    if places is None:
-        # More cities than may be broadcast: names and cities meet in shards, and the records by their key.
-        names = names.join(cities.select("city_id").distinct(), "city_id", "left_semi")
-        found = canonical_cities({"records": (records, key, "city", hints, ["city_index"])}, cities, bound).where("city_id != ''")
-        rows = checkpointed(rows.join(found.select(F.col("row_key").alias("_key"), F.col("city_id").alias("_city")).distinct(), "_key"))
-    names = checkpointed(names)
-    rows = rows.withColumn("mid", F.xxhash64(*MENTION))
-    mentions = rows.groupBy("mid").agg(*[F.first(c).alias(c) for c in MENTION]).withColumnRenamed("_city", "city")
-    best = match_mentions(checkpointed(mentions), names)
-    return rows.select(F.col("_key").alias(key), "mid").join(best, "mid").select(key, "street_id", F.col("probability").alias("confidence"))
+    rows = read_mentions(records, cities, key, "city", "street", hints, "city_index", bound, shard)
+    best = match_mentions(checkpointed(mentions_of(rows)), checkpointed(street_names(streets, cities)))
+    return identified(rows).select(F.col("_key").alias(key), "mid", "mid2").join(best, ["mid", "mid2"]).select(key, "street_id", F.col("probability").alias("confidence"))

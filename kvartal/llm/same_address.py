@@ -2,11 +2,12 @@
 
 Rows are read into (city, kind, ordinal, given name, main word, house), whatever field holds the parts. The
 city comes from its cell, else from an address written out in the street cell, else from the postal index as
-other rows use it. Distinct readings ("nodes") are blocked on city, house and sound of the street's pieces,
-and on city, house and the classifier street that the name means (entity_match). Components are compared in
-levels, missing values being a level of their own, and expectation-maximization estimates from the counts of
-the level patterns how much each level speaks for a match. Pairs with a posterior of at least one half link
-their nodes, and the rows of linked and of equal nodes are the result.
+other rows use it. Distinct readings ("nodes") of one city and house are candidates if they have the same
+classifier street (entity_match), or, where the register doesn't know the street of one, if their words meet
+in a block of sound keys and differ by few letters. Components are compared in levels, missing values being a
+level of their own, and expectation-maximization estimates from the counts of the level patterns how much
+each level speaks for a match. Pairs with a posterior of at least one half link their nodes, and the rows of
+linked and of equal nodes are the result.
 """
 
 from __future__ import annotations
@@ -15,19 +16,17 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvartal.llm.canonical import Places, clean_index, collect_places, index_cities, settle
-from kvartal.llm.entity_match import match_mentions, pieces, street_names, typing_errors
+from kvartal.llm.canonical import _FACTS, MAX_BROADCAST, PLACED, SHARD, Cells, Fact, Places, clean_index, collect_places, index_cities, index_counts, settle, sharded_facts
+from kvartal.llm.entity_match import MOST_ERRORS, _reading, identified, match_mentions, mentions_of, near_words, parts_of, street_names
 from kvartal.llm.names import _CITY_KIND, _FLAT, _GLUED, _STREET_KIND, HOUSE, Memo, StreetName, _house, parse_street, split_former, word_key, words
+from kvartal.llm.weights import estimate
 from kvartal.session import checkpointed
 
 LEAST = 0.5
-EM_ROUNDS, EM_TOLERANCE = 200, 1e-7
 
 _DIGIT, _LATIN_LETTER = re.compile(r"\d"), re.compile(r"[A-Za-z]")
 _COUNTRY = frozenset(word_key(w) for w in ("україна", "украина", "ukraine", "ukraina"))
@@ -40,15 +39,11 @@ _TAIL_ORDINAL = re.compile(r"[1-9]-?(?:й|я|е|є)")
 
 
 class Address(NamedTuple):
-    """city: '' none named, a place's number as text, or the text of several numbers; named: whether any cell
-    names a city; street; house ('' if none)."""
+    """options: the entries that the row may mean; named: whether any cell names a city; house: '' if none."""
 
-    options: tuple[int, ...]
+    options: tuple[Fact, ...]
     named: bool
-    kind: str
-    hints: tuple[str, ...]
-    street: StreetName
-    was: StreetName
+    reading: str
     house: str
     index: str
 
@@ -123,7 +118,7 @@ def _unsure(named: bool, parts: list[Piece]) -> list[str]:
     return [x.text for x in open_ if x.what == "maybe"] if not named or len(open_) > 1 else []
 
 
-def _read_line(parts: list[Piece], named: bool, p: Places) -> tuple[list[str], str, list[tuple[int, ...]], list, list[str], str]:
+def _read_line(parts: list[Piece], named: bool, p: Cells) -> tuple[list[str], str, list[tuple[Fact, ...]], list, list[str], str]:
     """Street parts, house, cities found, their cells, hints and index of a text with any address parts."""
     streets, house, cities, cells, hints, index = [], "", [], [], [], ""
     unsure = set(_unsure(named, parts))
@@ -148,9 +143,9 @@ def _read_line(parts: list[Piece], named: bool, p: Places) -> tuple[list[str], s
     return streets, house, cities, cells, hints, index
 
 
-def read_address(city: str, street: str, building: str, hint: str, p: Places) -> Address:
+def read_address(city: str, street: str, building: str, hint: str, p: Cells) -> Address:
     """One row's parts. p: the listed places."""
-    options: tuple[int, ...] = ()
+    options: tuple[Fact, ...] = ()
     kind, hints, index = "", list(p.hint_keys[hint]), ""
     named = bool(city.strip())
     if named:
@@ -188,57 +183,94 @@ def read_address(city: str, street: str, building: str, hint: str, p: Places) ->
             best, was = name, parse_street(former) if former else _EMPTY
     if len(options) > 1:
         options = tuple(p.choose(options, kind, hints))
-    return Address(options, named, kind, tuple(hints), best, was, house, index or line_index)
+    return Address(options, named, _reading(best, was) if best.main else "", house, index or line_index)
 
 
-_READ = "_key bigint, _city string, _options array<string>, _index string, _old_index string, kind string, ord int, given string, main string, was_ord int, was_given string, was_main string, house string"
+def _lookups(city: str, street: str, building: str, p: Cells) -> list[str]:
+    """Keys of all parts of a row that may be looked up among the cities."""
+    parts = [city] if city.strip() else []
+    parts += _unsure(bool(city.strip()), _split(street))
+    if building.strip() and not _house_of(building):
+        parts += _unsure(True, _split(building))
+    return [p.cells[x].key for x in parts]
 
 
-def read_rows(rows: DataFrame, places: list[tuple], key: str = "row_id") -> DataFrame:
-    """One reading per row that names a street and a house; `_city` is '' for rows without any city cell."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    own = rows.select(F.col(key).cast("bigint"), text("city"), text("street"), text("building"), F.concat_ws(" ", "region", "district"), text("index"), text("old_index"))
+_READ = f"_key bigint, {PLACED}, _index string, _old_index string, _reading string, house string"
+
+
+def read_rows(rows: DataFrame, cities: DataFrame, key: str = "row_id", bound: int = MAX_BROADCAST, shard: int = SHARD) -> DataFrame:
+    """One reading per row that names a street and a house; `_city` is '' for rows without any city cell. bound:
+    cities up to which their list is broadcast; the result doesn't depend on it."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    own = rows.select(F.col(key).cast("bigint").alias("_key"), text("city"), text("street"), text("building"), F.concat_ws(" ", "region", "district").alias("hint"), text("index"), text("old_index"))
+    places = collect_places(cities, bound)
+
+    def read(columns: list[list], p: Cells) -> pa.RecordBatch:
+        out = []
+        for k, city, street, building, hint, index, old in zip(*columns):
+            a = read_address(city, street, building, hint, p)
+            if not a.reading or not a.house or (a.named and not a.options):
+                continue
+            at = a.options
+            out.append((k, (at[0].id if len(at) == 1 else None) if at else "", [f._asdict() for f in at] if len(at) > 1 else None, a.index or index, old if index else (old or a.index), a.reading, a.house))
+        text = pa.string()
+        arrays = [pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 7, (pa.int64(), text, _FACTS, text, text, text, text))]
+        return pa.RecordBatch.from_arrays(arrays, names=["_key", "_city", "_options", "_index", "_old_index", "_reading", "house"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Places.shared(places)
         for b in batches:
             columns = [c.to_pylist() for c in b.columns]
-            # The names of a batch are searched together: city cells, then parts of written-out addresses.
-            p.search([p.cells[c].key for c in columns[1] if c.strip()])
-            p.search([p.cells[x].key for city, street in zip(columns[1], columns[2]) for x in _unsure(bool(city.strip()), _split(street))])
-            out = []
-            for k, city, street, building, hint, index, old in zip(*columns):
-                a = read_address(city, street, building, hint, p)
-                if not a.street.main or not a.house or (a.named and not a.options):
-                    continue
-                at = a.options
-                city_id = (p.rows[at[0]][0] if len(at) == 1 else None) if at else ""
-                out.append((k, city_id, [p.rows[i][0] for i in at] if len(at) > 1 else None, a.index or index, old if index else (old or a.index), *a.street, *a.was[1:], a.house))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=_NAMES), schema=_SCHEMA, preserve_index=False)
+            # The names of a batch are searched together.
+            p.search({k for city, street, building in zip(*columns[1:4]) for k in _lookups(city, street, building, p)})
+            yield read(columns, p)
 
-    return own.mapInArrow(run, _READ)
+    if places is not None:
+        return own.mapInArrow(run, _READ)
 
+    names = own.columns
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Cells()
+        for b in batches:
+            keys = [sorted(set(_lookups(*x, p))) for x in zip(*[c.to_pylist() for c in b.columns[1:4]])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.string()))], names=[*names, "keys"])
+
+    # More cities than may be broadcast: the parts of all rows are looked up in shards and come back to their rows.
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
+    own = checkpointed(own.mapInArrow(keyed, fields + ", keys array<string>").withColumn("_row", F.monotonically_increasing_id()))
+    each = own.select("_row", F.explode("keys").alias("key"))
+    facts = sharded_facts(each.select("key").distinct(), cities, shard)
+    met = each.join(facts, "key").groupBy("_row").agg(F.collect_list(F.struct("key", "options")).alias("found"))
+    own = own.join(met, "_row", "left").drop("_row", "keys")
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Cells()
+        for b in batches:
+            p.found = {x["key"]: tuple(Fact(**f) for f in x["options"]) for found in b.column(7).to_pylist() for x in found or ()}
+            yield read([c.to_pylist() for c in b.columns[:7]], p)
 
-_NAMES = [x.split()[0] for x in _READ.split(", ")]
-_TYPES = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
-_SCHEMA = pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in _READ.split(", ")])
+    return own.mapInArrow(looked_up, _READ)
 
 
-def placed_rows(rows: DataFrame, places: list[tuple]) -> DataFrame:
+def placed_rows(rows: DataFrame, cities: DataFrame) -> DataFrame:
     """Readings with their city: namesakes settled, rows without city cell placed by their index."""
     read = checkpointed(rows)
-    sure = read.where("_city IS NULL OR _city != ''")
-    done = settle(sure, places, ["_index", "_old_index"])
-    lone = index_cities(read, ["_index"])
+    done = settle(read.where("_city IS NULL OR _city != ''"), cities, ["_index", "_old_index"])
+    lone = index_cities(index_counts(read, "_index")).withColumnRenamed("_index", "_i")
     blank = read.where("_city = ''").withColumn("_i", F.coalesce(clean_index(F.col("_index")), clean_index(F.col("_old_index"))))
-    blank = blank.join(F.broadcast(lone), F.col("_i") == lone["_index"]).withColumn("_city", F.col("_by_index")).drop(lone["_index"])
-    return done.unionByName(blank.select(*read.columns))
+    # An index has five digits.
+    blank = blank.join(F.broadcast(lone), "_i").withColumn("_city", F.col("_by_index"))
+    return done.unionByName(blank.select(*done.columns))
 
 
 # ---- comparison and weights
 
-#: Levels of each component: 0 is agreement, the last one disagreement.
-LEVELS = {"main": 5, "given": 4, "kind": 3, "ord": 3, "official": 3, "index": 3}
+#: Levels of each component. main: same, renamed (the register says so), one letter, up to three. given: same, initial, one missing,
+#: another. kind, index: same, one missing, another.
+LEVELS = {"main": 4, "given": 4, "kind": 3, "index": 3}
+#: First guess where no level is a disagreement.
+GUESS = {"main": ([0.7, 0.1, 0.1, 0.1], [0.2, 0.3, 0.2, 0.3])}
 
 
 def levels() -> dict[str, Column]:
@@ -246,103 +278,77 @@ def levels() -> dict[str, Column]:
     a, b = lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")
     missing = lambda c: (a(c) == "") | (b(c) == "")
     prefix = ((F.length(a("given")) == 1) & F.startswith(b("given"), a("given"))) | ((F.length(b("given")) == 1) & F.startswith(a("given"), b("given")))
+    far = F.levenshtein("a_main", "b_main", MOST_ERRORS)
     # A current and a former name of one street differ in all parts; the register explains that.
-    renamed = (a("official") != "") & (a("official") == b("official")) & (F.col("errors") > 3)
+    renamed = (a("official") != "") & (a("official") == b("official")) & (far < 0)
     return {
-        "main": F.when(a("main") == b("main"), 0).when(F.col("errors") <= 1, 1).when(F.col("errors") <= 3, 2).when(renamed, 3).otherwise(4),
+        "main": F.when(a("main") == b("main"), 0).when(far == 1, 2).when(far > 1, 3).otherwise(1),
         "given": F.when(missing("given") | renamed, 2).when(a("given") == b("given"), 0).when(prefix, 1).otherwise(3),
         "kind": F.when(missing("kind"), 1).when(a("kind") == b("kind"), 0).otherwise(2),
-        "ord": F.when(renamed, 1).when(a("ord") == b("ord"), 0).otherwise(2),
-        "official": F.when(missing("official"), 1).when(a("official") == b("official"), 0).otherwise(2),
-        "index": F.when(missing("index"), 1).when(a("index") == b("index"), 0).otherwise(2),
+        "index": F.when((F.size(a("indexes")) == 0) | (F.size(b("indexes")) == 0), 1).when(F.arrays_overlap(a("indexes"), b("indexes")), 0).otherwise(2),
     }
 
 
-def estimate(counts: pd.DataFrame) -> pd.DataFrame:
-    """The patterns with their posterior probability of a match.
-
-    counts: one row per pattern of levels, and n. Expectation-maximization with conditionally independent
-    components; missing values are levels like others. Starts from agreement being likely for matches.
-    """
-    fields = list(LEVELS)
-    n = counts["n"].to_numpy(float)
-    x = counts[fields].to_numpy(int)
-    # A first guess that can't swap the classes: agreement for matches, disagreement for the others.
-    m = {f: np.array([0.7 if i == 0 else 0.02 if i == k - 1 else 0.28 / max(1, k - 2) for i in range(k)]) for f, k in LEVELS.items()}
-    u = {f: np.array([0.2 if i == 0 else 0.5 if i == k - 1 else 0.3 / max(1, k - 2) for i in range(k)]) for f, k in LEVELS.items()}
-    share, before = 0.5, -np.inf
-    for _ in range(EM_ROUNDS):
-        lm = np.log(share) + sum(np.log(m[f][x[:, i]]) for i, f in enumerate(fields))
-        lu = np.log1p(-share) + sum(np.log(u[f][x[:, i]]) for i, f in enumerate(fields))
-        top = np.maximum(lm, lu)
-        total = top + np.log(np.exp(lm - top) + np.exp(lu - top))
-        post = np.exp(lm - total)
-        wm, wu = n * post, n * (1 - post)
-        share = min(max(wm.sum() / max(n.sum(), 1), 1e-6), 1 - 1e-6)
-        for i, f in enumerate(fields):
-            # One pseudo-count for each level keeps every weight finite.
-            m[f] = (np.bincount(x[:, i], wm, LEVELS[f]) + 1e-3) / (wm.sum() + 1e-3 * LEVELS[f])
-            u[f] = (np.bincount(x[:, i], wu, LEVELS[f]) + 1e-3) / (wu.sum() + 1e-3 * LEVELS[f])
-        now = float((n * total).sum())
-        if abs(now - before) <= EM_TOLERANCE * max(1.0, abs(now)):
-            break
-        before = now
-    return counts.assign(posterior=post)
-
-
 # Letters that sound alike, each written as the second.
 SOUND = ("зжгбдвюящц", "сшхптфуашс")
 
 
 def node_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes that share city, house and either a sounding piece or the classifier street.
+    """place, a, b, a_*, b_*: pairs of nodes of one city and house that have the same classifier street, or of
+    which the register doesn't know one, and whose words sound alike.
 
-    Pairs that contradict each other in kind, ordinal or given name are compared too: they are what the
-    weights learn disagreement from.
+    Words meet in blocks of sound keys once per city (near_words), not once per house. Pairs that contradict
+    each other in kind or given name are compared too: they are what the weights learn disagreement from.
     """
-    sounded = nodes.select("node", F.explode(F.array_distinct(F.transform(pieces(F.translate("main", *SOUND)), lambda w: F.xxhash64("city", "house", w)))).alias("block"))
-    official = nodes.where("official != ''").select("node", F.xxhash64("city", "house", F.lit("#"), "official").alias("block"))
-    blocks = sounded.unionByName(official)
-    left, right = blocks.select(F.col("node").alias("a"), "block"), blocks.select(F.col("node").alias("b"), "block")
-    ids = left.join(right, "block").where("a < b").select("a", "b").distinct()
-    parts = ["city", "house", "kind", "ord", "given", "main", "official", "index"]
-    pairs = ids.join(nodes.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in parts]), "a").join(nodes.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in parts]), "b")
-    pairs = pairs.where("a_city = b_city AND a_house = b_house")
-    return pairs.withColumn("errors", typing_errors("a_main", "b_main"))
+    parts = ["kind", "given", "main", "official", "indexes"]
+    a = nodes.select("place", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in parts], F.col("ord").alias("a_ord"), "city")
+    b = nodes.select("place", F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in parts], F.col("ord").alias("b_ord"))
+    listed = a.drop("city", "a_ord").join(b.drop("b_ord"), (a.place == b.place) & (a.a_official == b.b_official)).where("a_official != '' AND a < b").drop(b.place)
+    words = checkpointed(nodes.groupBy("city", "ord", "main").agg(F.max(F.col("official") == "").alias("open")))
+    open_words = words.where("open").select("city", "ord", "main")
+    near = near_words(open_words, words.select("city", "ord", "main"), lambda w: F.translate(w, *SOUND)).select("city", "ord", "main", "s_main")
+    near = near.unionByName(open_words.withColumn("s_main", F.col("main")))
+    left = a.where("a_official = ''").join(near.select("city", F.col("ord").alias("a_ord"), F.col("main").alias("a_main"), "s_main"), ["city", "a_ord", "a_main"])
+    # Two open nodes meet from both sides; one of them is enough.
+    unknown = left.join(b, (left.place == b.place) & (left.a_ord == b.b_ord) & (left.s_main == b.b_main)).where("a != b AND (b_official != '' OR a < b)").drop(b.place)
+    return listed.unionByName(unknown.select(*listed.columns))
 
 
 def linked_nodes(nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """a, b, posterior: linked nodes, a < b."""
-    fields = list(LEVELS)
-    pairs = checkpointed(node_pairs(nodes).select("a", "b", *[c.cast("int").alias(f) for f, c in levels().items()]))
+    """place, a, b, posterior: linked nodes."""
+    fields = [*LEVELS, "known"]
+    known = (F.col("a_official") != "") & (F.col("b_official") != "")
+    pairs = checkpointed(node_pairs(nodes).select("place", "a", "b", known.alias("known"), *[c.cast("int").alias(f) for f, c in levels().items()]))
     # At most as many rows as there are patterns of levels.
     counts = pairs.groupBy(*fields).agg(F.count("*").alias("n")).toPandas()
     if not len(counts):
-        return pairs.select("a", "b", F.lit(1.0).alias("posterior")).where("false")
-    scored = pairs.sparkSession.createDataFrame(estimate(counts)[[*fields, "posterior"]])
-    return pairs.join(F.broadcast(scored), fields).where(F.col("posterior") >= least).select("a", "b", "posterior")
+        return pairs.select("place", "a", "b", F.lit(1.0).alias("posterior")).where("false")
+    # The register decides what it knows on both sides; where it is silent, another kind or given name is another street.
+    known = counts["known"].to_numpy(bool)
+    never = ((counts["kind"] == LEVELS["kind"] - 1) | (counts["given"] == LEVELS["given"] - 1)).to_numpy()
+    counts.loc[known, "posterior"] = 1.0
+    counts.loc[~known, "posterior"] = estimate(counts[~known], LEVELS, never[~known], GUESS).posterior
+    scored = pairs.sparkSession.createDataFrame(counts[[*fields, "posterior"]])
+    return pairs.join(F.broadcast(scored), fields).where(F.col("posterior") >= least).select("place", "a", "b", "posterior")
 
 
-def same_addresses(addresses: DataFrame, streets: DataFrame, cities: DataFrame, key: str = "row_id") -> DataFrame:
+def same_addresses(addresses: DataFrame, streets: DataFrame, cities: DataFrame, key: str = "row_id", bound: int = MAX_BROADCAST, shard: int = SHARD) -> DataFrame:
     """key_a, key_b (key_a < key_b): all pairs of rows that denote one location.
 
     Rows without a listed city, a street or a house number denote none; NULL and empty cells are missing
-    values. Copies count: rows that read alike are one node and all its rows are paired.
+    values. Copies count: rows that read alike are one node and all its rows are paired. Repeated keys are rows
+    of their own but are not paired with themselves.
     """
-    places = collect_places(cities)
-    if places is None:
-        raise ValueError("more cities than the bound of the broadcast list; raise canonical.MAX_BROADCAST")
-    rows = checkpointed(placed_rows(read_rows(addresses, places, key), places))
-    name = ["_city", "kind", "ord", "given", "main", "was_ord", "was_given", "was_main"]
-    rows = rows.withColumn("mid", F.xxhash64(*name))
-    mentions = checkpointed(rows.groupBy("mid").agg(*[F.first(c).alias(c) for c in name]).withColumnRenamed("_city", "city"))
-    best = match_mentions(mentions, checkpointed(street_names(streets, places))).select("mid", F.col("street_id").alias("official"))
-    node = ["_city", "kind", "ord", "given", "main", "house", "official"]
-    rows = rows.join(best, "mid", "left").withColumn("official", F.coalesce("official", F.lit("")))
-    rows = checkpointed(rows.withColumn("node", F.xxhash64(*node)).withColumn("index", F.coalesce(clean_index(F.col("_index")), F.lit(""))).select("_key", "node", "index", *node))
-    nodes = checkpointed(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in node], F.max("index").alias("index")).withColumnRenamed("_city", "city"))
-    links = linked_nodes(nodes).select("a", "b")
-    links = links.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    x, y = rows.select(F.col("node").alias("a"), F.col("_key").alias("x")), rows.select(F.col("node").alias("b"), F.col("_key").alias("y"))
-    pairs = links.join(x, "a").join(y, "b").where("a != b OR x < y")
-    return pairs.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+    rows = placed_rows(read_rows(addresses, cities, key, bound, shard), cities)
+    # City with house, and the reading: 128 bits that name a node.
+    rows = checkpointed(rows.select("_key", "_city", "_reading", "house", F.coalesce(clean_index(F.col("_index")), F.lit("")).alias("index"), F.xxhash64("_city", "house").alias("place"), F.xxhash64("_reading").alias("node")))
+    best = match_mentions(checkpointed(mentions_of(rows)), checkpointed(street_names(streets, cities))).select("mid", "mid2", F.col("street_id").alias("official"))
+    # A node's indexes have five digits each.
+    nodes = rows.groupBy("place", "node", "_city", "_reading").agg(F.collect_set(F.when(F.col("index") != "", F.col("index"))).alias("indexes"))
+    nodes = identified(nodes).join(best, ["mid", "mid2"], "left")
+    nodes = checkpointed(nodes.select("place", "node", F.col("_city").alias("city"), *parts_of(F.col("_reading"))[:4], F.coalesce("official", F.lit("")).alias("official"), "indexes"))
+    links = linked_nodes(nodes).select("place", "a", "b")
+    x, y = rows.select("place", F.col("node").alias("a"), F.col("_key").alias("x")), rows.select("place", F.col("node").alias("b"), F.col("_key").alias("y"))
+    pairs = links.join(x, ["place", "a"]).join(y, ["place", "b"]).where("x != y").select("x", "y")
+    copies = x.join(y, (x.place == y.place) & (x.a == y.b)).where("x < y").select("x", "y")
+    return pairs.unionByName(copies).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))

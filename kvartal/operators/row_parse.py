@@ -1,13 +1,13 @@
 """Delimited lines that fail to parse: valid rows out, failing rows with the reason.
 
 A schema is a list of fields, each with an optional pattern of its valid content. From it one anchored
-pattern for whole rows is generated; a row that it accepts is valid at once. The rest goes through
-incremental prefix checks, field by field, that name the first reason and the first broken field. Both
-stages are Catalyst expressions over one scan; nothing is shuffled, and the broken rows need no second read.
+pattern for whole rows is generated; a row that it accepts is valid at once. A row that fails passes through
+prefix patterns, one for each number of leading fields: the first that fails names the first broken field.
+Both stages are Catalyst expressions over one scan; nothing is shuffled, and the broken rows need no second
+read.
 
-The whole-row pattern repeats a group for each doubled quote and each list piece, and Java's matcher
-recurses on such groups. Lines longer than PATTERN_LIMIT therefore take only the second stage, which splits
-instead of repeating and gives the same verdict at any length.
+All repetitions are possessive: a pattern never goes back over what it has read, so that its time is linear
+in the line and Java's matcher loops instead of recursing, whatever the length of a line.
 """
 
 from __future__ import annotations
@@ -17,10 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest line, in characters, that is offered to the whole-row pattern.
-PATTERN_LIMIT = 4000
 BLANKS = r"[\s\u00a0\ufeff\u2000-\u200b\u202f\u3000]"
-SET_ASIDE = "\ue000"
+#: A field with any content: quoted, with doubled quotes inside, or without quotes.
+ANY = r"(?:\"[^\"]*+(?:\"\"[^\"]*+)*+\"|[^\";]*+)"
 
 
 @dataclass(frozen=True)
@@ -54,98 +53,73 @@ DIRECTORY_FIELDS = (
 )
 
 
+def field_pattern(f: Field) -> str:
+    """Pattern of a field whose content is valid."""
+    if not f.item:
+        return ANY
+    b = BLANKS
+    one = rf"{b}*+(?:{f.item}{b}*+)?+"
+    bare = f.cut.replace(";", "")
+    plain = rf"{one}(?:[{bare}]{one})*+" if bare else one
+    quoted = rf"{one}(?:[{f.cut}]{one})*+" if f.cut else one
+    return rf"(?:\"{quoted}\"|{plain})"
+
+
 def row_pattern(fields: tuple[Field, ...]) -> str:
     """Anchored pattern of a whole valid row."""
-    parts = []
-    for f in fields:
-        if not f.item:
-            plain, quoted = r"[^\";]*+", r"[^\"]*+(?:\"\"[^\"]*+)*+"
-        else:
-            b = BLANKS
-            one = rf"{b}*+(?:{f.item}{b}*+)?"
-            plain = one if not f.cut or set(f.cut) == {";"} else rf"{one}(?:[{f.cut.replace(';', '')}]{one})*+"
-            quoted = rf"{one}(?:[{f.cut}]{one})*+" if f.cut else one
-        parts.append(rf"(?:\"{quoted}\"|{plain})")
-    return r"\A" + ";".join(parts) + r"\z"
-
-
-def _quotes_hold(line: Column) -> Column:
-    """Whether every quote of the line opens a field, closes one, or is doubled inside a quoted field.
-
-    Cut at the quotes, pieces alternate between outside and inside. An outside piece between two quoted
-    ones is either empty (a doubled quote) or begins and ends with the delimiter.
-    """
-    pieces = F.split(line, '"', -1)
-    n = F.size(pieces)
+    return r"\A" + ";".join(map(field_pattern, fields)) + r"\z"
+
 
-    def outside(x: Column, i: Column) -> Column:
-        first, last = i == 0, i == n - 1
-        return (
-            F.when(i % 2 == 1, F.lit(True))
-            .when(first & last, F.lit(True))
-            .when(x == "", F.lit(True))
-            .when(first, x.endswith(";"))
-            .when(last, x.startswith(";"))
-            .otherwise(x.startswith(";") & x.endswith(";"))
-        )
+def prefix_patterns(fields: tuple[Field, ...], content: bool) -> list[str]:
+    """For each number of leading fields the anchored pattern that they are well-formed and, if content, valid."""
+    parts = [field_pattern(f) if content else ANY for f in fields]
+    return [r"\A" + ";".join(parts[: k + 1]) + r"(?:;|\z)" for k in range(len(parts))]
 
-    return (n % 2 == 1) & F.forall(F.transform(pieces, outside), lambda x: x)
 
+def first_failing(line: Column, patterns: list[str]) -> Column:
+    """Number of the first pattern, from 1, that the line fails; one more than there are if it passes all."""
+    out = F.lit(len(patterns) + 1)
+    for k, p in reversed(list(enumerate(patterns))):
+        out = F.when(~line.rlike(p), k + 1).otherwise(out)
+    return out
 
-def _fields_of(line: Column) -> Column:
-    """Content of the fields of a line whose quotes hold, without the quotes.
 
-    Delimiters inside quoted pieces are set aside as U+E000 before the cut; an empty outside piece between
-    two quoted ones is a doubled quote.
+def fields_of(line: Column) -> Column:
+    """Content of the fields of a well-formed line, without the quotes around it and inside it.
+
+    Each match begins where the one before ended.
     """
-    pieces = F.split(line, '"', -1)
-    n = F.size(pieces)
-    joined = F.array_join(
-        F.transform(
-            pieces,
-            lambda x, i: F.when(i % 2 == 1, F.translate(x, ";", SET_ASIDE)).when((x == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(x),
-        ),
-        "",
-    )
-    return F.transform(F.split(joined, ";", -1), lambda x: F.translate(x, SET_ASIDE, ";"))
+    parts = F.regexp_extract_all(F.concat(F.lit(";"), line), F.lit(rf"\G;({ANY})"), 1)
+    return F.transform(parts, lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
 def strip_blanks(x: Column) -> Column:
     return F.regexp_replace(x, rf"\A{BLANKS}+|{BLANKS}+\z", "")
 
 
-def _item_check(f: Field):
-    return lambda x: strip_blanks(x).rlike(rf"\A(?:{f.item})?\z")
-
-
 def classify(df: DataFrame, line: str, fields: tuple[Field, ...] = DIRECTORY_FIELDS) -> DataFrame:
-    """df with `_fields` (array of field contents), `_reason` ('' for a valid line) and `_field` (number
-    of the first broken field, from 1; NULL for a valid line and for faults of the whole line).
+    """df with `_fields` (array of field contents, NULL for broken quoting), `_reason` ('' for a valid line) and
+    `_field` (number of the first broken field, from 1; NULL for a valid line).
 
-    A NULL or blank line has the wrong number of columns.
+    Broken quoting anywhere goes before a wrong number of columns, and that before invalid content. With too few
+    columns the first missing field is the broken one, with too many the first surplus one. A NULL or blank
+    line has the wrong number of columns.
     """
     text = F.coalesce(F.col(line), F.lit(""))
-    whole = (F.length(text) <= PATTERN_LIMIT) & text.rlike(row_pattern(fields))
-    broken, at = F.lit(""), F.lit(None).cast("int")
-    for k, f in reversed(list(enumerate(fields))):
-        if not f.item:
-            continue
-        content = F.get(F.col("_fields"), F.lit(k))
-        items = F.split(content, rf"[{f.cut}]", -1) if f.cut else F.array(content)
-        ok = F.forall(items, _item_check(f))
-        broken = F.when(~ok, F.lit(f.reason or f.name)).otherwise(broken)
-        at = F.when(~ok, F.lit(k + 1)).otherwise(at)
-    out = df.withColumn("_whole", whole).withColumn("_quotes", F.col("_whole") | _quotes_hold(text))
-    out = out.withColumn("_fields", F.when(F.col("_quotes"), _fields_of(text)))
-    count = F.size("_fields") == len(fields)
-    return (
-        out.withColumn(
-            "_reason",
-            F.when(F.col("_whole"), "").when(~F.col("_quotes"), "quoting").when(~count, "column_count").otherwise(broken),
-        )
-        .withColumn("_field", F.when(F.col("_whole") | ~F.col("_quotes") | ~count, F.lit(None).cast("int")).otherwise(at))
-        .drop("_whole", "_quotes")
+    n = len(fields)
+    whole, formed = F.col("_whole"), F.col("_formed")
+    out = df.withColumn("_whole", text.rlike(row_pattern(fields)))
+    out = out.withColumn("_formed", whole | text.rlike(rf"\A{ANY}(?:;{ANY})*+\z")).withColumn("_fields", F.when(formed, fields_of(text)))
+    count = F.size("_fields")
+    at = (
+        F.when(whole, F.lit(None).cast("int"))
+        .when(~formed, first_failing(text, prefix_patterns(fields, False)))
+        .when(count != n, F.least(count, F.lit(n)) + 1)
+        .otherwise(first_failing(text, prefix_patterns(fields, True)))
     )
+    named = F.array(*[F.lit(f.reason or f.name) for f in fields])
+    out = out.withColumn("_field", at)
+    return out.withColumn("_reason", F.when(whole, "").when(~formed, "quoting").when(count != n, "column_count").otherwise(F.element_at(named, F.col("_field")))).drop("_whole", "_formed")
 
 
 def parse_rows(df: DataFrame, key: str, line: str, fields: tuple[Field, ...] = DIRECTORY_FIELDS) -> tuple[DataFrame, DataFrame]:

@@ -28,6 +28,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_rows(spark, sf_dir)[1].select(F.col("raw_id").cast("bigint"), "reason")
 
 
+def p1_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failing lines with the number of their first broken field."""
+    return p1_rows(spark, sf_dir)[1]
+
+
 def p1_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_rows(spark, sf_dir)[0]
 
@@ -46,11 +51,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_values(table(spark, sf_dir, "magistral"), "record_id", "buildings", known)
 
 
-QUERIES = {"p1_found": p1_found, "p1_valid": p1_valid, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_valid": p1_valid, "p1_fields": p1_fields, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found}
 _ORPHANS = " UNION ALL ".join(sql.orphans(r.child, r.row_key, r.ref, r.parent, r.key) for r in REFERENCES)
 SQL = {
     "p1_found": sql.P1_FOUND,
     "p1_valid": sql.P1_VALID,
+    "p1_fields": sql.P1_FIELDS,
     "p5_found": _ORPHANS,
     "p5_report": f"SELECT table_name, reason, period, count(*) AS orphans FROM ({_ORPHANS}) GROUP BY ALL",
     "p6_found": sql.P6_FOUND,

@@ -30,6 +30,15 @@ _NAMES = "region old_district new_district otg city city_index street buildings
 _CONTENT = ", ".join(f"""replace({_unquoted(f'(CASE WHEN true THEN {_nth(i)} END)')}, '""', '"') AS {n}""" for i, n in enumerate(_NAMES))
 P1_VALID = P1_FOUND.replace("SELECT raw_id, reason FROM r WHERE reason <> ''", f"SELECT l.raw_id, {_CONTENT} FROM l JOIN r ON l.raw_id = r.raw_id WHERE reason = ''")
 
+# The first broken field: of the leading fields, the number at which they stop to be well-formed; the first missing or surplus one; or the
+# invalid one itself, which the reason names.
+_HOLDS = "list_filter(range(0, 14), lambda k: NOT regexp_matches(line, '(?s)^(?:{f};){{' || k || '}}{f}(?:;|$)'))".format(f=_FIELD)
+P1_FIELDS = P1_FOUND.replace(
+    "SELECT raw_id, reason FROM r WHERE reason <> ''",
+    f"""SELECT r.raw_id, reason, CAST(CASE reason WHEN 'quoting' THEN coalesce(({_HOLDS})[1] + 1, 15) WHEN 'column_count' THEN least(cuts + 1, 14) + 1 WHEN 'city_index' THEN 6 ELSE 8 END AS INTEGER) AS field_no
+    FROM r JOIN l ON r.raw_id = l.raw_id JOIN f ON r.raw_id = f.raw_id WHERE reason <> ''""",
+)
+
 
 def _trim(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"

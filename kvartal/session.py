@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +28,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the one of spark.checkpoint.dir; only where that is unset (tests,
-    a single machine) a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that all executors share: the one of spark.checkpoint.dir. Only a session on one machine may do
+    without and gets a temporary one; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or _own_folder()
 
 
 @cache
@@ -36,18 +42,40 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="kvartal-checkpoint-")
 
 
+_scopes: list[list[str]] = []
+
+
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables that checkpointed writes inside are deleted at the end, for jobs that repeat in one session. Results
+    must be written before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            target, files = _path(spark, path)
+            files.delete(target, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again, so without its lineage.
 
     The table is columnar and compressed, a fraction of what a checkpoint of rows takes, and later steps read
-    only the columns they use. It is deleted when the session ends.
+    only the columns they use. It is deleted when the session ends, or at the end of released.
     """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/kvartal-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, files = _path(spark, path)
+    files.deleteOnExit(target)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

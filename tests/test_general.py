@@ -6,7 +6,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kvartal.operators.multivalue import automaton, best_cover, known_values, segment, split_values
+from kvartal.operators.multivalue import automaton, best_cover, is_plain, known_values, segment, split_values
 from kvartal.operators.orphans import Reference, orphan_report, orphans
 from kvartal.operators.row_parse import parse_rows
 
@@ -54,11 +54,16 @@ def brute(line):
     return ""
 
 
-def cases():
+def change_(k, v):
     parts = GOOD.split(";")
-    change = lambda k, v: ";".join(parts[:k] + [v] + parts[k + 1 :])
+    return ";".join(parts[:k] + [v] + parts[k + 1 :])
+
+
+def cases():
+    change = change_
     out = [GOOD, None, "", " ", GOOD + ";", ";" * 13, '"' * 6, '"";' * 13 + '""', change(5, ""), change(5, " 1024 "), change(5, "123"), change(5, "５３０２１"), change(7, '"1;2;3"'), change(7, '"1""2"'), change(7, "0"), change(7, "12345"), change(7, "7 корп. 2"), change(7, ",,1,"), change(12, '"а ""б"" в"'), change(12, 'а "б"'), change(12, ' "б"'), change(12, '"б" '), change(12, '"б'), change(4, '"м. ""М"""')]
     long = ",".join(str(1 + i % 900) for i in range(3000))
+    out += [change(12, "а\ue000б"), change(12, "\"а;б\ue000\""), change(3, 'x"y'), '"' + GOOD, GOOD + ';"']
     return out + [change(7, long), change(7, long + ",x"), change(12, '"' + '""' * 4000 + '"'), change(12, '"' + '""' * 4000), change(6, "я" * 20000)]
 
 
@@ -70,6 +75,11 @@ def test_lines_against_a_plain_reader(spark):
     assert found == {i: brute(x) for i, x, *_ in rows if brute(x)}
     valid = {r.raw_id: r for r in good.collect()}
     assert set(valid) == {i for i, x, *_ in rows if not brute(x)}
+    places = {r.raw_id: r.field_no for r in bad.collect()}
+    at = {x: i for i, x, *_ in rows}
+    assert places[at[GOOD + ";"]] == 15 and places[at[""]] == 2 and places[at[change_(5, "123")]] == 6 and places[at[change_(7, "0")]] == 8
+    assert places[at[change_(3, 'x"y')]] == 4 and places[at[change_(12, '"б')]] == 13 and places[at['"' + GOOD]] == 1 and places[at[GOOD + ';"']] == 15
+    assert valid[at[change_(12, "а\ue000б")]].features == "а\ue000б" and valid[at[change_(12, "\"а;б\ue000\"")]].features == "а;б\ue000"
     assert valid[0].buildings == "1, 2А, 3-Б/4в" and valid[12].buildings == "1;2;3" and valid[18].features == 'а "б" в'
 
 
@@ -113,7 +123,7 @@ def test_orphans_without_times(spark):
     assert [(r.row_key, r.reason) for r in orphans(child, parent, Reference("t", "id", "ref", "p", "key")).collect()] == [("2", "missing")]
 
 
-KNOWN = automaton(["46 А", "18, корп. 2", "12-14", "7"])
+KNOWN = automaton(["46 А", "18, корп. 2", "12-14", "7", "б/н 5", "3 б"])
 
 
 def test_segments():
@@ -126,6 +136,9 @@ def test_segments():
     assert seg("17-23,19,19") == ["17-23", "19", "19"]
     assert seg("69/8Б、70，71 • 72") == ["69/8Б", "70", "71", "72"]
     assert seg("5 АБ") == ["5"] and seg("5  А") == ["5"]
+    # Known values keep their delimiters; without the dictionary they are cut.
+    assert seg("17; 18, корп. 2; 19") == ["17", "18, корп. 2", "19"] and segment("17; 18, корп. 2; 19", automaton([])) == ["17", "18", "2", "19"]
+    assert seg("118, корп. 2") == ["118", "2"] and seg("18, корп. 21") == ["18", "21"] and seg("1,3 б,б/н 5") == ["1", "3 б", "б/н 5"] and seg("3 бж") == ["3"]
     assert seg('"7') == ["7"] and seg("б/н") == [] and seg("") == []
     assert segment("44 46 А, 48", automaton([])) == ["44", "46 А", "48"]
 
@@ -144,8 +157,21 @@ def test_cover_is_the_best_of_all(spans):
 
 
 def test_split_values(spark):
-    df = spark.createDataFrame([(1, "5, 6", "x"), (1, "5, 6", "x"), (2, None, "x"), (3, "-", "x"), (4, "9 " * 5000, "x")], "record_id long, buildings string, pos string")
-    got = [(r.record_id, r.pos, r.building) for r in split_values(df, "record_id", "buildings", ["5"]).collect()]
-    assert got[:4] == [(1, 1, "5"), (1, 2, "6")] * 2 and len(got) == 5004 and got[-1] == (4, 5000, "9")
-    assert split_values(df.limit(0), "record_id", "buildings", []).count() == 0
-    assert known_values(df, "buildings", bound=1) == [] and len(known_values(df, "buildings")) == 3
+    df = spark.createDataFrame([(1, "5, 6", "x"), (1, "5, 6", "x"), (2, None, "x"), (3, "-", "x"), (4, "9 " * 5000, "x"), (5, "1; 2, к. 1; 3", "x")], "record_id long, buildings string, pos string")
+    known = known_values(spark.createDataFrame([(" 5",), ("2, к. 1 ",), ("2, к. 1",), ("3; 4",), (None,), ("",)], "v string"), "v")
+    assert sorted(r.v for r in known.collect()) == ["2, к. 1", "3; 4"]
+    got = [(r.record_id, r.pos, r.building) for r in split_values(df, "record_id", "buildings", known).collect()]
+    assert got[:4] == [(1, 1, "5"), (1, 2, "6")] * 2 and len(got) == 5007 and got[5003] == (4, 5000, "9") and [v for k, _, v in got if k == 5] == ["1", "2, к. 1", "3"]
+    sharded = split_values(df, "record_id", "buildings", known, bound=1)
+    assert sorted(map(tuple, sharded.collect())) == sorted(got)
+    assert split_values(df.limit(0), "record_id", "buildings", []).count() == 0 and split_values(df.limit(0), "record_id", "buildings", known, bound=1).count() == 0
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.text(alphabet="12а,; -/А", max_size=14), st.lists(st.text(alphabet="12а,; -/А", min_size=1, max_size=6), max_size=4))
+def test_plain_entries_change_nothing(cell, values):
+    """Entries that the grammar finds by itself may be left out of the automaton."""
+    plain = [v for v in values if is_plain(v)]
+    assert segment(cell, automaton(plain)) == segment(cell, automaton([]))
+    rest = [v for v in values if not is_plain(v)]
+    assert segment(cell, automaton(values)) == segment(cell, automaton(rest))

@@ -210,6 +210,8 @@ def settle(placed: DataFrame, cities: DataFrame, indexes: list[str]) -> DataFram
     Only the rows left open are written anew; the others are read from placed.
     """
     names = [c for c in placed.columns if c != "_options"]
+    if placed.where("_city IS NULL").isEmpty():
+        return placed.select(*names)
     counts = checkpointed(index_counts(placed, indexes[0]))
     regions = cities.select(F.col("city_id").cast("string").alias("_city"), F.coalesce("region", F.lit("")).alias("_region")).groupBy("_city").agg(F.min("_region").alias("_region"))
     by_prefix = (

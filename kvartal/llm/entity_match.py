@@ -37,8 +37,8 @@ from kvartal.session import checkpointed
 LEAST = 0.5
 #: Typing errors in a main word: one in any, two from seven letters, MOST_ERRORS from nine if given names agree.
 MOST_ERRORS = 3
-#: Letters of a name's beginning and end that the search for misspelled names compares, at most; name_marks relies on both.
-BEGIN, END = 5, 6
+#: Letters up to which a word may have one error only.
+SHORT = 6
 #: Messages are passed until none changes by more than TOLERANCE; ROUNDS is only a guard, and warns.
 DAMPING, ROUNDS, TOLERANCE = 0.3, 200, 1e-3
 #: Levels of the comparison. main: same; one error in seven letters or more; in fewer; two or three errors; errors, though the word
@@ -133,36 +133,48 @@ def _less_one(tag: str, word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.lit(tag), F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
 
 
-def _ends(n: Column) -> tuple[Column, Column]:
-    """Letters of a name's beginning and end that don't overlap, by its length."""
-    half = F.floor(n / 2).cast("int")
-    return F.least(half, F.lit(BEGIN)), F.least(n - half, F.lit(END))
+def _marks(*parts: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.coalesce(p, none) for p in parts]))
+
+
+def _begin(n: Column) -> Column:
+    return F.when((n == 7) | (n == 9), 3).otherwise(4)
+
+
+def _end(n: Column) -> Column:
+    return F.when(n <= 8, 4).otherwise(6)
 
 
 def name_marks(word: Column) -> Column:
     """Marks of a classifier name of four letters or more; it shares one with mention_marks of every word that is within the
     typing errors of candidate_pairs.
 
-    Of three errors at most, the beginning or the end has at most one; a swap across its border changes one
-    letter of it. A part with at most one error and the letters of the mention in its place leave an equal
-    string if each loses one letter. Where beginning and end meet, a swap across both and an error in each
-    are still three: the beginning is also marked as after that swap.
+    Up to SHORT letters there is one error at most: a name and a word with one are equal if each loses one
+    letter or none. Longer names have a beginning and an end that don't overlap. Of three errors at most, one
+    of the two has at most one; a swap across its border changes one letter of it. A part with at most one
+    error and the letters of the mention in its place leave an equal string if each loses one letter. Where
+    beginning and end meet, a swap across both and an error in each are still three: the beginning is also
+    marked as after that swap.
     """
     n = F.length(word)
-    begin, end = _ends(n)
+    begin, end = _begin(n), _end(n)
     swapped = F.when((n >= 9) & (begin + end == n), _less_one("^", F.concat(F.substring(word, F.lit(1), begin - 1), F.substring(word, begin + 1, F.lit(1)))))
-    return F.array_distinct(F.concat(_less_one("^", F.substring(word, F.lit(1), begin)), _less_one("$", F.substring(word, n - end + 1, end)), F.coalesce(swapped, F.array().cast("array<string>"))))
+    whole = F.when(n <= SHORT, _marks(F.array(F.concat(F.lit("="), word)), _less_one("=", word)))
+    parts = F.when(n > SHORT, _marks(_less_one("^", F.substring(word, F.lit(1), begin)), _less_one("$", F.substring(word, n - end + 1, end)), swapped))
+    return F.coalesce(whole, parts)
 
 
 def mention_marks(word: Column) -> Column:
     """Marks of a mentioned word of four letters or more, for each length that the name meant may have."""
     n = F.length(word)
-    shorter = F.when(n >= 12, 3).when(n >= 9, 2).when(n >= 5, 1).otherwise(0)
+    shorter = F.when(n >= 12, 3).when(n >= 9, 2).otherwise(1)
     longer = F.when(n >= 9, MOST_ERRORS).when(n >= 7, 2).otherwise(1)
-    (begin, end), (begin_most, end_most) = _ends(n - shorter), _ends(n + longer)
-    begins = F.transform(F.sequence(begin, begin_most), lambda k: _less_one("^", F.substring(word, F.lit(1), k)))
-    ends = F.transform(F.sequence(end, F.least(end_most, n)), lambda k: _less_one("$", F.substring(word, n - k + 1, k)))
-    return F.array_distinct(F.flatten(F.concat(begins, ends)))
+    lengths = F.sequence(F.greatest(n - shorter, F.lit(SHORT + 1)), n + longer)
+    whole = F.when(n <= SHORT + 1, F.concat(F.array(F.concat(F.lit("="), word)), _less_one("=", word)))
+    begins = F.when(n >= SHORT, F.flatten(F.transform(F.array_distinct(F.transform(lengths, _begin)), lambda k: _less_one("^", F.substring(word, F.lit(1), k)))))
+    ends = F.when(n >= SHORT, F.flatten(F.transform(F.array_distinct(F.transform(lengths, _end)), lambda k: _less_one("$", F.substring(word, n - k + 1, k)))))
+    return _marks(whole, begins, ends)
 
 
 def typing_errors(a: str, b: str) -> Column:
@@ -182,24 +194,34 @@ def _kind_agrees(a: Column, b: Column) -> Column:
     return (a == "") | (b == "") | (a == b)
 
 
+#: Which letters a word has (bits 0 to 31) and which at least twice (32 to 63); equal bits of different letters only hide a difference.
+_BAG = """aggregate(split(main, ''), 0L, (a, x) -> a | shiftleft(1L, pmod(ascii(x), 32)))
+    | aggregate(filter(array_distinct(split(main, '')), x -> length(main) - length(replace(main, x, '')) >= 2), 0L, (a, x) -> a | shiftleft(1L, 32 + pmod(ascii(x), 32)))"""
+
+
 def near_words(said: DataFrame, known: DataFrame, sound=lambda word: word) -> DataFrame:
     """city, ord, main, s_main, typo: said words and the other known words of their city and ordinal within the
-    typing errors that candidate_pairs admits. said, known: distinct city, ord, main. sound maps words letter by
+    typing errors that candidate_pairs admits. said, known: city, ord, main. sound maps words letter by
     letter before they are marked, which only brings more of them together."""
-    said, known = (checkpointed(df.where(F.length("main") >= 4).select("city", "ord", "main", F.monotonically_increasing_id().alias("id"))) for df in (said, known))
-
-    def signed(df: DataFrame, marks: Column, id_: str) -> DataFrame:
-        return df.select(F.col("id").alias(id_), F.explode(F.transform(marks, lambda w: F.xxhash64("city", "ord", w))).alias("sign"))
-
-    # Only numbers are shuffled by mark; the words join the distinct pairs afterwards.
-    met = signed(said, mention_marks(sound(F.col("main"))), "m").join(signed(known, name_marks(sound(F.col("main"))), "s"), "sign").select("m", "s").distinct()
-    met = met.join(said.withColumnRenamed("id", "m"), "m").join(known.select(F.col("id").alias("s"), F.col("main").alias("s_main"), F.col("city").alias("s_city"), F.col("ord").alias("s_ord")), "s")
-    # A swap counts 2 in Levenshtein's metric.
-    met = met.where((F.col("main") != F.col("s_main")) & (F.col("city") == F.col("s_city")) & (F.col("ord") == F.col("s_ord")) & (F.levenshtein("main", "s_main", 2 * MOST_ERRORS) >= 0))
-    met = met.withColumn("typo", typing_errors("main", "s_main"))
+    both = said.select("city", "ord", "main", F.lit(True).alias("said")).unionByName(known.select("city", "ord", "main", F.lit(False).alias("said"))).where(F.length("main") >= 4)
+    both = both.groupBy("city", "ord", "main").agg(F.bool_or("said").alias("said"), F.bool_or(~F.col("said")).alias("known"))
+    words = checkpointed(both.withColumn("key", sound(F.col("main"))).withColumn("bag", F.expr(_BAG)).withColumn("id", F.monotonically_increasing_id()))
+
+    def signed(which: str, marks: Column, tag: str) -> DataFrame:
+        return words.where(which).select(*[F.col(c).alias(tag + c) for c in ("id", "main", "bag")], F.explode(F.transform(marks, lambda w: F.xxhash64("city", "ord", w))).alias("sign"))
+
+    met = signed("said", mention_marks(F.col("key")), "m_").join(signed("known", name_marks(F.col("key")), "s_"), "sign").where("m_id != s_id")
+    size = F.least(F.length("m_main"), F.length("s_main"))
+    most = F.when(size <= SHORT, 1).when(size <= 8, 2).otherwise(MOST_ERRORS)
+    # Each error but a swap changes a letter that the words have, and no more; a swap counts 2 in Levenshtein's metric.
+    changed = F.greatest(F.expr("bit_count(m_bag & ~s_bag)"), F.expr("bit_count(s_bag & ~m_bag)"))
+    met = met.where((changed <= most) & ((F.levenshtein("m_main", "s_main", MOST_ERRORS) >= 0) | ((changed < most) & (F.levenshtein("m_main", "s_main", 2 * MOST_ERRORS) >= 0))))
+    met = met.select("m_id", "s_id", F.col("m_main").alias("main"), "s_main").distinct()
     size = F.least(F.length("main"), F.length("s_main"))
-    met = met.where((F.col("typo") == 1) | ((F.col("typo") == 2) & (size >= 7)) | ((F.col("typo") == MOST_ERRORS) & (size >= 9)))
-    return met.select("city", "ord", "main", "s_main", "typo")
+    most = F.when(size <= SHORT, 1).when(size <= 8, 2).otherwise(MOST_ERRORS)
+    met = met.withColumn("typo", typing_errors("main", "s_main")).where(F.col("typo") <= most)
+    at = words.select(F.col("id").alias("m_id"), "city", "ord")
+    return met.join(at, "m_id").select("city", "ord", "main", "s_main", "typo")
 
 
 #: Pairs that can't be matches: another given name or another kind.
@@ -216,8 +238,7 @@ def candidate_pairs(mentions: DataFrame, names: DataFrame) -> DataFrame:
     # Streets that are equal in all that is compared can't be told apart: the smallest id stands for them.
     one = names.groupBy("city", "ord", "main", "kind", "given", "former").agg(F.min("street_id").alias("street_id"))
     listed = checkpointed(one.groupBy("city", "ord", "main").agg(F.collect_list(F.struct("street_id", F.col("kind").alias("s_kind"), F.col("given").alias("s_given"), "former")).alias("listed")))
-    said = mentions.select("city", "ord", "main").distinct()
-    near = checkpointed(near_words(said, listed.select("city", "ord", "main")))
+    near = checkpointed(near_words(mentions, listed))
     vocabulary = listed.select("main", F.lit(True).alias("known")).distinct()
     # What a word may mean: the streets that are called so, and those of near words.
     itself = listed.select("city", "ord", "main", F.lit(0).alias("typo"), F.length("main").alias("size"), "listed")

@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 import pyarrow as pa
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvartal.llm.bktree import typing_errors as count_errors
-from kvartal.llm.canonical import MAX_BROADCAST, PLACED, SHARD, Places, collect_places, place_batch, place_sharded, settle
-from kvartal.llm.names import Memo, StreetName, parse_street, split_former
+from kvartal.llm.canonical import MAX_BROADCAST, PLACED, SHARD, Places, coded, collect_places, place_batch, place_sharded, settle
+from kvartal.llm.names import StreetName, parse_street, split_former
 from kvartal.llm.weights import estimate
 from kvartal.session import checkpointed
 
@@ -63,6 +65,12 @@ def read_cell(cell: str) -> str:
     return _reading(name, parse_street(was) if was else _EMPTY) if name.main else ""
 
 
+def readings(cells: pa.Array) -> pa.Array:
+    """Each distinct cell of a batch is read once."""
+    at, distinct = coded(cells)
+    return pa.array([read_cell(c) for c in distinct], pa.string()).take(pa.array(at))
+
+
 def parts_of(reading: Column) -> list[Column]:
     """kind, ord, given, main, was_ord, was_given, was_main of a reading."""
     x = F.split(reading, r"\|")
@@ -111,14 +119,13 @@ def read_mentions(records: DataFrame, cities: DataFrame, key: str, city: str, st
     schema = f"_key {own.schema['_key'].dataType.simpleString()}, _index {own.schema['_index'].dataType.simpleString()}, "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, cells = Places.shared(places), Memo(read_cell, 50_000)
+        p = Places.shared(places)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *place_batch(p, b.column(2), b.column(3)), pa.array([cells[s] for s in b.column(4).to_pylist()], pa.string())], names=["_key", "_index", "_city", "_options", "_reading"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *place_batch(p, b.column(2), b.column(3)), readings(b.column(4))], names=["_key", "_index", "_city", "_options", "_reading"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = Memo(read_cell, 50_000)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([cells[s] for s in b.column(4).to_pylist()], pa.string())], names=["_key", "_index", "_cell", "_hints", "_reading"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], readings(b.column(4))], names=["_key", "_index", "_cell", "_hints", "_reading"])
 
     if places is not None:
         placed = own.mapInArrow(run, schema + PLACED + ", _reading string")
@@ -236,8 +243,11 @@ def candidate_pairs(mentions: DataFrame, names: DataFrame) -> DataFrame:
     mentions: mid, mid2, city and the parts of a reading.
     """
     # Streets that are equal in all that is compared can't be told apart: the smallest id stands for them.
-    one = names.groupBy("city", "ord", "main", "kind", "given", "former").agg(F.min("street_id").alias("street_id"))
-    listed = checkpointed(one.groupBy("city", "ord", "main").agg(F.collect_list(F.struct("street_id", F.col("kind").alias("s_kind"), F.col("given").alias("s_given"), "former")).alias("listed")))
+    compared = ("s_kind", "s_given", "former")
+    each = F.array_sort(F.collect_list(F.struct(F.col("kind").alias("s_kind"), F.col("given").alias("s_given"), "former", "street_id")))
+    differs = lambda x, y: reduce(or_, [x[c] != y[c] for c in compared])
+    listed = names.groupBy("city", "ord", "main").agg(each.alias("each"))
+    listed = checkpointed(listed.select("city", "ord", "main", F.filter("each", lambda x, i: (i == 0) | differs(x, F.get("each", i - 1))).alias("listed")))
     near = checkpointed(near_words(mentions, listed))
     vocabulary = listed.select("main", F.lit(True).alias("known")).distinct()
     # What a word may mean: the streets that are called so, and those of near words.
@@ -255,7 +265,7 @@ def candidate_pairs(mentions: DataFrame, names: DataFrame) -> DataFrame:
     met = met.select("mid", "mid2", "kind", "given", "was_main", "known", "n_m", F.explode("x").alias("x"))
     met = met.select("mid", "mid2", "kind", "given", "was_main", "n_m", F.col("x.s").alias("s"), main(F.col("x")).alias("main"), F.col("x.typo").alias("typo"))
 
-    def compared(df: DataFrame, given: str, added: Column) -> DataFrame:
+    def levelled(df: DataFrame, given: str, added: Column) -> DataFrame:
         g, s = F.col(given), F.col("s.s_given")
         levels = {
             "given": F.when((g == "") & (s == ""), 2).when((g == "") | (s == ""), 3).when(~_given_agrees(g, s), 4).when((F.length(g) > 1) & (F.length(s) > 1), 0).otherwise(1),
@@ -266,12 +276,12 @@ def candidate_pairs(mentions: DataFrame, names: DataFrame) -> DataFrame:
         return df.select("mid", "mid2", F.col("s.street_id").alias("street_id"), "main", *[c.cast("int").alias(n) for n, c in levels.items()], *[c for c in ("n_m", "form") if c in df.columns])
 
     form = F.when((F.col("main") == 0) | (F.col("main") == 4), F.xxhash64(F.col("kind") != "", F.least(F.length("given"), F.lit(2)), "s.former"))
-    plain = compared(met.where("was_main = ''").withColumn("form", form), "given", F.lit(1))
+    plain = levelled(met.where("was_main = ''").withColumn("form", form), "given", F.lit(1))
     # The former name that a cell adds in brackets points at the street by itself.
     adding = mentions.where("was_main != ''")
     was = adding.select("mid", "mid2", "kind", F.col("was_given").alias("given"), F.col("city"), F.col("was_ord").alias("ord"), F.col("was_main").alias("main")).join(listed, ["city", "ord", "main"])
     was = was.withColumn("s", F.explode("listed")).where(fits(F.col("given"), F.col("s")))
-    both = compared(met.where("was_main != ''"), "given", F.lit(1)).drop("n_m").unionByName(compared(was.withColumn("main", F.lit(5)), "given", F.lit(0)))
+    both = levelled(met.where("was_main != ''"), "given", F.lit(1)).drop("n_m").unionByName(levelled(was.withColumn("main", F.lit(5)), "given", F.lit(0)))
     both = both.groupBy("mid", "mid2", "street_id").agg(F.min(F.struct("main", "given", "kind", "former")).alias("x"), F.min("added").alias("added")).select("mid", "mid2", "street_id", "x.*", "added")
     both = both.withColumn("form", F.lit(None).cast("bigint")).withColumn("n_m", F.count(F.when(F.expr(f"NOT ({_CONTRADICTS})"), 1)).over(Window.partitionBy("mid", "mid2")).cast("int"))
     return plain.unionByName(both)
@@ -301,12 +311,12 @@ def marginals(odds: DataFrame) -> DataFrame:
     """
     w_m, w_s = Window.partitionBy("mid", "mid2"), Window.partitionBy("street_id", "form")
     key = ["mid", "mid2", "street_id"]
-    rivals = F.count("*").over(w_s) - 1
-    ranked = odds.where("form IS NOT NULL").withColumn("rivals", rivals).unionByName(odds.where("form IS NULL").withColumn("rivals", F.lit(0).cast("bigint"))).select(*key, "form", "odds", "n_m", "rivals")
-    ranked = checkpointed(ranked)
+    # Slots with more than one mention, and the pairs that compete with another: the edges that messages pass along.
+    slots = checkpointed(odds.where("form IS NOT NULL").groupBy("street_id", "form").agg((F.count("*") - 1).alias("rivals")).where("rivals > 0"))
+    ranked = odds.select(*key, "form", "odds", "n_m").join(slots, ["street_id", "form"], "left").withColumn("rivals", F.coalesce("rivals", F.lit(0)))
     alone = (F.col("n_m") == 1) & (F.col("rivals") == 0)
     lone = ranked.where(alone).select(*key, (F.col("odds") / (1 + F.col("odds"))).alias("probability"), "n_m")
-    graph = contested(ranked).withColumn("a", F.lit(1.0)).withColumn("b", F.lit(1.0))
+    graph = checkpointed(ranked.where(~alone)).withColumn("a", F.lit(1.0)).withColumn("b", F.lit(1.0))
     change = 0.0
     for _ in range(ROUNDS):
         # A sum over the group less the own term: the message to a pair leaves out what came from it.
@@ -325,11 +335,6 @@ def marginals(odds: DataFrame) -> DataFrame:
     return lone.unionByName(graph.select(*key, (belief / (1 + belief)).alias("probability"), "n_m"))
 
 
-def contested(ranked: DataFrame) -> DataFrame:
-    """Pairs that compete with another: the edges that messages pass along."""
-    return ranked.where((F.col("n_m") > 1) | (F.col("rivals") > 0))
-
-
 def match_mentions(mentions: DataFrame, names: DataFrame, least: float = LEAST) -> DataFrame:
     """mid, mid2, street_id, probability: the likeliest street of each mention that reaches least; ties take the
     smallest street_id."""

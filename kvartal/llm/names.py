@@ -127,8 +127,11 @@ _PARENTHESIS = re.compile(r"\(([^)]*)\)?")
 _token_key = Memo(word_key)
 
 
+_WORD = re.compile(f"[^{re.escape(''.join(map(chr, _SPACED)))}\\s]+")
+
+
 def words(text: str) -> list[str]:
-    return text.lower().translate(_SPACED).split()
+    return _WORD.findall(text.lower())
 
 
 def parse_city(cell: str) -> CityCell:
@@ -174,8 +177,7 @@ def parse_street(text: str) -> StreetName:
     low = text.lower()
     near = bool(_CYRILLIC.search(low))
     kind, number, roman, names = "", 0, 0, []
-    parts = low.translate(_SPACED).split()
-    for w in parts:
+    for w in _WORD.findall(low):
         k = _token_key[w] if near else word_key(w, False)
         if k in _STREET_KIND and not kind:
             kind = _STREET_KIND[k]
@@ -192,7 +194,7 @@ def parse_street(text: str) -> StreetName:
             if len(w) > 1:
                 number = number or roman
                 continue
-        if m := _ENDS_IN_NUMBER.fullmatch(w):
+        if w[-1].isdigit() and (m := _ENDS_IN_NUMBER.fullmatch(w)):
             number = number or int(m.group(2))
             k = _token_key[m.group(1)] if near else word_key(m.group(1), False)
         k = k.strip("-")

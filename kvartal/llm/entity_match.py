@@ -249,21 +249,23 @@ def candidate_pairs(mentions: DataFrame, names: DataFrame) -> DataFrame:
     listed = names.groupBy("city", "ord", "main").agg(each.alias("each"))
     listed = checkpointed(listed.select("city", "ord", "main", F.filter("each", lambda x, i: (i == 0) | differs(x, F.get("each", i - 1))).alias("listed")))
     near = checkpointed(near_words(mentions, listed))
+    # A word of some city's list is rarely a misspelling.
     vocabulary = listed.select("main", F.lit(True).alias("known")).distinct()
+    near = near.join(vocabulary, "main", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     # What a word may mean: the streets that are called so, and those of near words.
-    itself = listed.select("city", "ord", "main", F.lit(0).alias("typo"), F.length("main").alias("size"), "listed")
+    itself = listed.select("city", "ord", "main", F.lit(0).alias("level"), "listed")
     others = near.join(listed.select("city", "ord", F.col("main").alias("s_main"), "listed"), ["city", "ord", "s_main"])
-    others = others.select("city", "ord", "main", "typo", F.least(F.length("main"), F.length("s_main")).alias("size"), "listed")
-    means = itself.unionByName(others).groupBy("city", "ord", "main").agg(F.collect_list(F.struct("typo", "size", "listed")).alias("means")).join(vocabulary, "main", "left")
-    spread = F.flatten(F.transform("means", lambda w: F.transform(w["listed"], lambda x: F.struct(w["typo"].alias("typo"), w["size"].alias("size"), x.alias("s")))))
+    level = F.when(F.col("known"), 4).when(F.col("typo") > 1, 3).when(F.least(F.length("main"), F.length("s_main")) < 7, 2).otherwise(1)
+    others = others.select("city", "ord", "main", (level + F.when(F.col("typo") == MOST_ERRORS, 8).otherwise(0)).alias("level"), "listed")
+    means = itself.unionByName(others).groupBy("city", "ord", "main").agg(F.collect_list(F.struct("level", "listed")).alias("means"))
+    spread = F.flatten(F.transform("means", lambda w: F.transform(w["listed"], lambda x: F.struct(w["level"].alias("level"), x.alias("s")))))
     fits = lambda given, s: _given_agrees(given, s["s_given"]) & _kind_agrees(F.col("kind"), s["s_kind"])
-    three = lambda x: (x["typo"] < MOST_ERRORS) | ((F.col("given") != "") & (x["s"]["s_given"] != ""))
-    met = mentions.join(means, ["city", "ord", "main"]).withColumn("x", F.filter(spread, three))
+    # Three errors, marked by 8, only count if both given names are there.
+    three = lambda x: (x["level"] < 8) | ((F.col("given") != "") & (x["s"]["s_given"] != ""))
+    met = mentions.join(means.hint("shuffle_hash"), ["city", "ord", "main"]).withColumn("x", F.filter(spread, three))
     met = met.withColumn("n_m", F.size(F.filter("x", lambda x: fits(F.col("given"), x["s"]))))
-    known = F.coalesce("known", F.lit(False))
-    main = lambda x: F.when(x["typo"] == 0, 0).when(known, 4).when(x["typo"] > 1, 3).when(x["size"] < 7, 2).otherwise(1)
-    met = met.select("mid", "mid2", "kind", "given", "was_main", "known", "n_m", F.explode("x").alias("x"))
-    met = met.select("mid", "mid2", "kind", "given", "was_main", "n_m", F.col("x.s").alias("s"), main(F.col("x")).alias("main"), F.col("x.typo").alias("typo"))
+    met = met.select("mid", "mid2", "kind", "given", "was_main", "n_m", F.explode("x").alias("x"))
+    met = met.select("mid", "mid2", "kind", "given", "was_main", "n_m", F.col("x.s").alias("s"), (F.col("x.level") % 8).alias("main"))
 
     def levelled(df: DataFrame, given: str, added: Column) -> DataFrame:
         g, s = F.col(given), F.col("s.s_given")
@@ -365,4 +367,5 @@ def match_streets(records: DataFrame, streets: DataFrame, cities: DataFrame, key
     hints = ["region", "old_district", "new_district", "delivery_district"]
     rows = read_mentions(records, cities, key, "city", "street", hints, "city_index", bound, shard)
     best = match_mentions(checkpointed(mentions_of(rows)), checkpointed(street_names(streets, cities)))
-    return identified(rows).select(F.col("_key").alias(key), "mid", "mid2").join(best, ["mid", "mid2"]).select(key, "street_id", F.col("probability").alias("confidence"))
+    # One row per mention and no hot key on that side: hashed, so that the rows needn't be sorted.
+    return identified(rows).select(F.col("_key").alias(key), "mid", "mid2").join(best.hint("shuffle_hash"), ["mid", "mid2"]).select(key, "street_id", F.col("probability").alias("confidence"))

@@ -1,10 +1,11 @@
-"""Matching of address requests with a directory: preparation, candidates, scores, decisions.
+"""Matching of address requests with a directory: preparation, candidates, scores, general rows, decisions.
 
 Requests meet directory rows of the same city, judged once per pair of distinct names. Of those, only four
 kinds can reach the least score, and each is an equi-join: rows whose street is similar (judged once per
 pair of distinct street names of the city), rows that hold the requested house, rows with the requested
 index, and in major cities rows with a house of the same base or with a part in common (judged once per pair
-of distinct houses). No number of candidates is cut off.
+of distinct houses). A request or row without a city needs the house and the index or the very street. No
+number of candidates is cut off.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from kvartal.functions import similarity as S
 from kvartal.functions import text as X
 from kvartal.functions.batch import token_similarity_column
-from kvartal.functions.dual import Ex, case, cast, lit, name, text
+from kvartal.functions.dual import Ex, array, call, case, cast, has, join, keep, like, lit, lower, name, text
 from kvartal.session import checkpointed
 
 # Weights, thresholds and bonuses of the score.
@@ -24,14 +25,33 @@ CITY_WEIGHT, STREET_WEIGHT, STREET_LOW, INDEX_SAME, INDEX_OTHER = 0.35, 0.35, 0.
 HOUSE_SAME, HOUSE_BASE, HOUSE_PART, HOUSE_NONE, PERFECT, CAPITAL, KIND_PENALTY = 0.25, 0.12, 0.10, -0.05, 0.15, 0.10, 0.25
 MAJOR_CITIES = ("київ", "донецьк", "харків", "одеса", "дніпро", "львів", "запоріжжя")
 AUTO_CONFIDENCE, SURE_CONFIDENCE = 90, 98
+#: Cities whose lowest index says nothing, the score of a general row, and the least score at which it may be taken.
+NO_GENERAL = ("київ", "м.київ", "киів", "донецьк", "м.донецьк", "харків", "одеса", "дніпро", "львів", "запоріжжя")
+GENERAL_SCORE, GENERAL_LEAST = 0.89, 0.85
+#: What makes a street cell a post-office box, where, and the index of all boxes there.
+BOX, BOX_CITY, BOX_INDEX, BOX_CONFIDENCE = "а/с|п/с|абонент", "київ", "01001", 95
+#: Other names of streets everywhere, and in one city (city, former name, name), normalized.
+NAMELESS = ("без назви", "відсутня")
+STREET_ALIASES = (("бахмут", "горького", "олекси тихого"),)
 
 _guarded = case(((X.normalize_text(name("street")) == X.normalize_text(name("building"))) & (name("building") != ""), ""), default=name("building"))
+def street_options() -> Ex:
+    """The street and its other names, each once; none for an empty street."""
+    q, city = name("q_street"), name("q_city")
+    renamed = case(*[((city == c) & (q == old), new) for c, old, new in STREET_ALIASES], default="")
+    listed = keep(array(q, case((q == NAMELESS[0], NAMELESS[1]), default=""), renamed), lambda p: p != "")
+    return Ex(f"array_distinct({listed.spark})", f"list_filter({listed.check}, lambda x, i: list_position({listed.check}, x) = i)")
+
+
 _region, _district = X.repaired_area(name("region"), name("district"))
 _split = X.split_full_address(name("city"), name("street"), name("building"))
 _from_street = X.city_in_street(name("street"))
 _house = X.building_in_street(name("street"))
 
 
+_KEPT = ("city", "street", "building", "region", "district", "index", "q_city", "q_street", "q_kind", "q_house", "q_base", "q_region", "q_index", "q_post", "q_box")
+
+
 def request_stages() -> list[dict[str, Ex]]:
     """Columns of a request after each step of its preparation; every step reads the one before."""
     raw = {c: text(c) for c in ("city", "street", "building", "region", "district", "index")}
@@ -48,27 +68,40 @@ def request_stages() -> list[dict[str, Ex]]:
             "q_city": X.normalize_city(name("city")), "q_street": X.normalize_street(name("street")), "q_kind": X.street_kind(name("street")), "q_house": X.building_key(name("building")),
             "q_base": case((X.has_letter(name("building")), X.building_base(name("building"))), default=""), "q_region": X.normalize_region(name("region")),
             "q_index": X.query_index(name("index")), "q_post": X.postcode(name("index")),
+            "q_box": like(lower(name("street")), BOX, fold=False) & like(lower(name("city")), BOX_CITY, fold=False),
         },
+        {c: name(c) for c in _KEPT} | {"q_options": street_options()},
     ]
 
 
+def district_of() -> Ex:
+    return case((text("new_district") != "", text("new_district")), default=text("old_district"))
+
+
 def record_stage() -> dict[str, Ex]:
     """Columns of a directory row that matching reads."""
     return {
         "r_city": X.normalize_city(text("city")), "r_street": X.normalize_street(text("street")), "r_kind": X.street_kind(text("street")), "r_region": X.normalize_region(text("region")),
-        "buildings": text("buildings"), "r_index": X._no_zeros(X._bare_index(text("city_index"))), "r_post": X.postcode(text("city_index")),
+        "buildings": text("buildings"), "r_index": X._no_zeros(X._bare_index(text("city_index"))), "r_post": X.postcode(text("city_index")), "r_raw": text("city_index"),
+        "r_key": call("md5", join(array(X.normalize_text(text("region")), X.normalize_text(district_of()), X.normalize_city(text("city")), X.normalize_street(text("street")), X.building_key(text("buildings"))), "|")),
     }
 
 
-def prepared_requests(addresses: DataFrame, key: str = "row_id") -> DataFrame:
+def prepared_requests(addresses: DataFrame, key: str = "row_id", aliases: DataFrame | None = None) -> DataFrame:
     """Requests with their cells cleaned and the q_ columns that matching reads.
 
+    aliases: city, old_street, new_street as sources.files.read_aliases gives them, added to the fixed ones.
+
     Each step goes through a generator of one row, which keeps the optimizer from writing the steps into one
     another: merged, every use of a cell would repeat all that was done to it.
     """
     df = addresses
     for stage in request_stages():
         df = df.select(key, F.inline(F.array(F.struct(*[e.col.alias(n) for n, e in stage.items()]))))
+    if aliases is not None:
+        a = aliases.select(F.col("city").alias("q_city"), F.col("old_street").alias("q_street"), X.normalize_street(name("new_street")).col.alias("_new"))
+        own = F.when(F.col("_new") != "", F.array("_new")).otherwise(F.array().cast("array<string>"))
+        df = df.join(a, ["q_city", "q_street"], "left").withColumn("q_options", F.array_distinct(F.concat("q_options", F.coalesce(own, F.array().cast("array<string>"))))).drop("_new")
     return df
 
 
@@ -120,13 +153,28 @@ def candidates(requests: DataFrame, records: DataFrame, cities: DataFrame) -> Da
     a house with the same base or a part in common is enough.
     """
     q = requests.join(cities, "q_city")
-    streets = similar_names(q.withColumnRenamed("r_city", "city_key"), records.withColumnRenamed("r_city", "city_key"), ["city_key"], "q_street", "r_street", STREET_LEAST)
-    by_street = q.select("row_id", F.col("r_city").alias("city_key"), "q_street").join(streets.select("city_key", "q_street", "r_street"), ["city_key", "q_street"])
+    said = q.select("row_id", F.col("r_city").alias("city_key"), F.explode("q_options").alias("q_street"))
+    streets = similar_names(said, records.withColumnRenamed("r_city", "city_key"), ["city_key"], "q_street", "r_street", STREET_LEAST)
+    by_street = said.join(streets.select("city_key", "q_street", "r_street"), ["city_key", "q_street"])
     by_street = by_street.join(records.select("record_id", F.col("r_city").alias("city_key"), "r_street"), ["city_key", "r_street"]).select("row_id", "record_id")
     houses = records.where("buildings != ''").select("record_id", F.col("r_city").alias("city_key"), F.explode(F.array_distinct(F.expr(HOUSES))).alias("house"))
     by_house = q.where("q_house != ''").select("row_id", F.col("r_city").alias("city_key"), F.col("q_house").alias("house")).join(houses.where("house != ''"), ["city_key", "house"]).select("row_id", "record_id")
     by_index = q.where("q_index != ''").select("row_id", F.col("r_city").alias("city_key"), "q_index").join(records.select("record_id", F.col("r_city").alias("city_key"), F.col("r_index").alias("q_index")), ["city_key", "q_index"])
-    return by_street.union(by_house).union(by_index.select("row_id", "record_id")).union(_major_pairs(q, records)).distinct()
+    return by_street.union(by_house).union(by_index.select("row_id", "record_id")).union(_major_pairs(q, records)).union(_homeless_pairs(requests, records)).distinct()
+
+
+def _homeless_pairs(requests: DataFrame, records: DataFrame) -> DataFrame:
+    """row_id, record_id: pairs without a city on one side that can reach LEAST_SCORE: they need the very house, and the
+    index or an equal street of the same region (0.35 + 0.25 is LEAST_SCORE)."""
+    street = lambda c: F.coalesce(F.nullif(S.sorted_tokens(name(c)).col, F.lit("")), F.col(c))
+    q = requests.where("q_house != '' AND size(q_options) > 0").select("row_id", "q_city", "q_region", "q_index", F.col("q_house").alias("house"), F.explode("q_options").alias("option"))
+    r = records.where("buildings != '' AND r_street != ''").select("record_id", "r_city", "r_region", "r_index", street("r_street").alias("street"), F.explode(F.array_distinct(F.expr(HOUSES))).alias("house"))
+    q, r = q.select("*", street("option").alias("street")), r.where("house != ''")
+    found = []
+    for a, b in ((q.where("q_city = ''"), r), (q.where("q_city != ''"), r.where("r_city = ''"))):
+        found.append(a.where("q_index != ''").join(b.withColumnRenamed("r_index", "q_index"), ["house", "q_index"]).select("row_id", "record_id"))
+        found.append(a.where("q_region != ''").join(b.withColumnRenamed("r_region", "q_region"), ["house", "q_region", "street"]).select("row_id", "record_id"))
+    return found[0].union(found[1]).union(found[2]).union(found[3])
 
 
 def _major_pairs(q: DataFrame, records: DataFrame) -> DataFrame:
@@ -142,8 +190,9 @@ def _major_pairs(q: DataFrame, records: DataFrame) -> DataFrame:
     houses = asked.select("city_key", "q_house", "q_base").distinct().join(each, "city_key").where(same_base | F.expr("contains(q_house, h) OR contains(h, q_house)"))
     houses = houses.select("city_key", "q_house", "q_base", "cell", F.when(same_base, HOUSE_BASE).otherwise(HOUSE_PART).alias("part"))
     least = (LEAST_SCORE - CITY_WEIGHT - CAPITAL - HOUSE_BASE) / STREET_LOW - 1e-6
+    asked = asked.select("row_id", "city_key", F.explode("q_options").alias("q_street"), "q_house", "q_base", "q_index")
     streets = similar_names(asked, held, ["city_key"], "q_street", "r_street", least)
-    met = asked.select("row_id", "city_key", "q_street", "q_house", "q_base", "q_index").join(houses, ["city_key", "q_house", "q_base"]).join(cells, ["city_key", "cell"]).join(streets, ["city_key", "q_street", "r_street"])
+    met = asked.join(houses, ["city_key", "q_house", "q_base"]).join(cells, ["city_key", "cell"]).join(streets, ["city_key", "q_street", "r_street"])
     index = F.when((F.col("q_index") != "") & (F.col("r_index") != ""), INDEX_OTHER).otherwise(0.0)
     return met.where(CITY_WEIGHT + CAPITAL + STREET_LOW * F.col("similarity") + F.col("part") + index >= LEAST_SCORE - 1e-6).select("row_id", "record_id")
 
@@ -164,7 +213,9 @@ def _any(xs: Ex, spark: str, check: str) -> Ex:
 def score_stages() -> list[dict[str, Ex]]:
     """Parts of the score of a pair, then the score; columns as in prepared_requests and prepared_directory."""
     conflict = (name("q_kind") != "") & (name("r_kind") != "") & (name("q_kind") != name("r_kind")) & ~((name("q_kind") == "street") & (name("raw_street") >= 0.98))
-    raw = case(((name("q_street") != "") & (name("r_street") != ""), S.token_similarity(name("q_street"), name("r_street"))), default=0.0)
+    one = S.token_similarity(Ex("o"), name("r_street"))
+    best = Ex(f"array_max(transform(`q_options`, o -> {one.spark}))", f'list_max(list_transform("q_options", lambda o: {one.check}))')
+    raw = case(((name("q_street") != "") & (name("r_street") != ""), best), default=0.0)
     keys = houses_of(name("buildings"))
     asked = (name("q_house") != "") & (name("buildings") != "")
     same = Ex(f"array_contains({keys.spark}, `q_house`)", f'list_contains({keys.check}, "q_house")')
@@ -186,7 +237,7 @@ def score_stages() -> list[dict[str, Ex]]:
         {"raw_street": raw},
         {"street_sim": case((conflict, Ex("greatest(0.0D, `raw_street` - 0.25D)", 'greatest(0.0::DOUBLE, "raw_street" - 0.25::DOUBLE)')), default=name("raw_street")), "house_part": case((~asked, 0.0), (same, HOUSE_SAME), (base, HOUSE_BASE), (part, HOUSE_PART), default=HOUSE_NONE)},
         {"score": Ex(f"round({clamp.spark}, 9)", f"round({clamp.check}, 9)")},
-        {"confidence": cast(case(((name("score") >= 1.0) & ((name("q_street") != name("r_street")) | ((name("q_house") != "") & (name("house_part") < HOUSE_SAME))), 99), default=Ex("floor(`score` * 100 + 1e-7)", 'floor("score" * 100 + 1e-7)')), "int", "INTEGER")},
+        {"confidence": cast(case(((name("score") >= 1.0) & (~has(name("q_options"), name("r_street")) | ((name("q_house") != "") & (name("house_part") < HOUSE_SAME))), 99), default=Ex("floor(`score` * 100 + 1e-7)", 'floor("score" * 100 + 1e-7)')), "int", "INTEGER")},
     ]
 
 
@@ -196,66 +247,147 @@ def region_fits() -> Ex:
     return case(((q == "") | (r == "") | (q == r), lit(True)), default=S.token_similarity(q, r) >= REGION_LEAST)
 
 
+BLOCK = "(left(q_city, 2) = left(r_city, 2) AND length(q_city) >= 2) OR (q_region != '' AND q_region = r_region) OR (q_post != '' AND q_post = r_post)"
+#: In which block a pair meets first.
+STRATEGY = "CASE WHEN left(q_city, 2) = left(r_city, 2) AND length(q_city) >= 2 THEN 1 WHEN q_region <> '' AND q_region = r_region THEN 2 ELSE 3 END"
+SCORED = ("row_id", "record_id", "score", "confidence", "strategy", "r_index", "r_raw", "r_key", "r_street", "house_part", "q_index", "q_house")
+
+
 def scored_pairs(requests: DataFrame, records: DataFrame) -> DataFrame:
-    """row_id, record_id, score, confidence, r_index, r_street, house_part of all pairs with LEAST_SCORE or more.
+    """SCORED columns of all pairs with LEAST_SCORE or more.
 
     Requests without a city, street or house meet nothing through that part; rows with NULLs count as ''.
     """
     cities = checkpointed(city_pairs(requests, records))
     pairs = candidates(requests, records, cities)
-    df = pairs.join(requests, "row_id").join(records, "record_id").join(cities, ["q_city", "r_city"])
-    block = "left(q_city, 2) = left(r_city, 2) OR (q_region != '' AND q_region = r_region) OR (q_post != '' AND q_post = r_post)"
-    df = df.where(block).where(region_fits().col)
+    df = pairs.join(requests, "row_id").join(records, "record_id").join(cities, ["q_city", "r_city"], "left")
+    df = df.where("city_sim IS NOT NULL OR q_city = '' OR r_city = ''").withColumn("city_sim", F.coalesce("city_sim", F.lit(0.0)))
+    df = df.where(BLOCK).where(region_fits().col).withColumn("strategy", F.expr(STRATEGY))
     stages = score_stages()[1:]
-    streets = df.select("q_street", "r_street").distinct().select("*", token_similarity_column("q_street", "r_street").alias("raw_street"))
-    df = df.join(streets, ["q_street", "r_street"])
+    streets = df.select("q_options", "r_street").distinct().select("*", F.explode_outer("q_options").alias("q_street"))
+    streets = streets.select("q_options", "r_street", F.when((F.col("q_street") != "") & (F.col("r_street") != ""), token_similarity_column("q_street", "r_street")).otherwise(0.0).alias("s"))
+    df = df.join(streets.groupBy("q_options", "r_street").agg(F.max("s").alias("raw_street")), ["q_options", "r_street"])
     for stage in stages:
         for n, e in stage.items():
             df = df.withColumn(n, e.col)
-    return df.where(F.col("score") >= LEAST_SCORE).select("row_id", "record_id", "score", "confidence", "r_index", "r_street", "house_part", "q_index", "q_house")
+    return df.where(F.col("score") >= LEAST_SCORE).select(*SCORED)
 
 
-def ranked(scored: DataFrame, most: int = 20) -> DataFrame:
-    """The most best results of each request, with their rank; ties go to the smaller record_id."""
-    order = Window.partitionBy("row_id").orderBy(F.desc("score"), F.desc("confidence"), "record_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+def deduplicated(scored: DataFrame) -> DataFrame:
+    """row_id, record_id, score, confidence, r_index, r_raw, house_part, q_index, q_house, is_general, and what orders
+    them (first, after score and confidence): one row for each address that a request found, whatever its
+    indexes.
 
+    Of rows with one address the most confident stands for it, of these the one with the least index.
+    """
+    order = F.struct(-F.col("score"), "strategy", "record_id")
+    kept = ["record_id", "score", "confidence", "r_index", "r_raw", "house_part", "q_index", "q_house"]
+    best = F.min_by(F.struct(*kept), F.struct(-F.col("confidence"), F.col("r_raw") == "", "r_raw", -F.col("score"), "strategy", "record_id"))
+    one = scored.groupBy("row_id", "r_key").agg(best.alias("x"), F.min(order).alias("o"))
+    return one.select("row_id", "x.*", F.lit(False).alias("is_general"), F.struct(F.lit(0).alias("a"), F.col("o.col1").alias("b"), F.col("o.strategy").cast("long").alias("c"), F.col("o.record_id").cast("long").alias("d")).alias("first"))
 
-def decisions(requests: DataFrame, scored: DataFrame) -> DataFrame:
-    """row_id, mode, total_found, top_score, auto_index: one row per request, from aggregates only.
 
-    mode is auto if the sure results name one index, and the asked house is in the list; manual if there are
-    results; none otherwise. A different index is only corrected from SURE_CONFIDENCE on.
+def general_places(magistral: DataFrame, records: DataFrame) -> DataFrame:
+    """r_city, r_region, region, district, min_index, first: each place as the directory writes its area, with its least
+    valid index; places without one are left out."""
+    valid = F.when(F.col("city_index").rlike("^[0-9]{5}$"), F.col("city_index"))
+    area = magistral.select("record_id", F.coalesce("region", F.lit("")).alias("region"), district_of().col.alias("district"), valid.alias("valid"))
+    towns = records.select("record_id", "r_city", "r_region").join(area, "record_id").where("r_city != ''")
+    return towns.groupBy("r_city", "r_region", "region", "district").agg(F.min("valid").alias("min_index"), F.min("record_id").alias("first")).where("min_index IS NOT NULL")
+
+
+def general_results(requests: DataFrame, places: DataFrame) -> DataFrame:
+    """row_id, region, district, min_index, first: the least valid index of each place of the requested name."""
+    q = requests.where("q_city != ''").select("row_id", "q_city", "q_region")
+    return q.join(places, F.col("q_city") == F.col("r_city")).where("q_region = '' OR q_region = r_region").select("row_id", "region", "district", "min_index", "first")
+
+
+def with_general(requests: DataFrame, found: DataFrame, decided: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows like found: the general rows of requests that found something, but nothing sure, outside the large cities.
+
+    An index that is there already is left out; places that are written alike but for case are one.
+    """
+    no = [F.lit(c) for c in NO_GENERAL]
+    open_ = decided.where("NOT auto").select("row_id").join(requests, "row_id").where((F.col("q_city") != "") & ~F.col("q_city").isin(*no))
+    rows = general_results(open_, places).join(found.select("row_id", F.col("r_raw").alias("min_index")).distinct(), ["row_id", "min_index"], "left_anti")
+    area = [X.normalize_text(name(c)).col.alias(f"n_{c}") for c in ("region", "district")]
+    one = rows.select("row_id", *area, "min_index", "first").groupBy("row_id", "n_region", "n_district").agg(F.min("min_index").alias("r_raw"), F.min("first").alias("d"))
+    asked = one.join(requests.select("row_id", "q_index", "q_house"), "row_id")
+    return asked.select(
+        "row_id", F.lit(None).cast("bigint").alias("record_id"), F.lit(GENERAL_SCORE).alias("score"), F.lit(int(GENERAL_SCORE * 100)).alias("confidence"), F.regexp_replace("r_raw", "^0+", "").alias("r_index"), "r_raw",
+        F.lit(0.0).alias("house_part"), "q_index", "q_house", F.lit(True).alias("is_general"), F.struct(F.lit(1).alias("a"), F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("c"), F.col("d").cast("long").alias("d")).alias("first"),
+    )
+
+
+def decide(found: DataFrame, general: bool) -> DataFrame:
+    """row_id, total_found, top_score, auto, chosen: one row per request with results, from aggregates only.
+
+    Sure are the results from AUTO_CONFIDENCE on, and general ones if general; only those of the requested
+    index, if there are any. Of several the first is taken if it is at least SURE_CONFIDENCE and alone at its
+    confidence, or if all name one index. Another index than the requested one is corrected from
+    SURE_CONFIDENCE on, never by a general row; a requested house must be in the list.
     """
     sure = F.col("confidence") >= AUTO_CONFIDENCE
-    index = F.col("r_index")
-    per = scored.groupBy("row_id").agg(
-        F.count("*").alias("total_found"), F.max("score").alias("top_score"), F.first("q_index").alias("q_index"), F.first("q_house").alias("q_house"),
-        F.countDistinct(F.when(sure & (index != ""), index)).alias("n_index"), F.max(F.when(sure, F.col("confidence"))).alias("top"),
-        F.max_by(F.struct(index.alias("i"), F.col("house_part").alias("h")), F.when(sure, F.struct("confidence", "score", -F.col("record_id")))).alias("best"),
-        F.max((sure & (index == F.col("q_index")) & (F.col("q_index") != "")).cast("int")).alias("same_index"),
-        F.max(F.when(sure & (index == F.col("q_index")), F.col("house_part"))).alias("same_house"),
+    if general:
+        sure = sure | (F.col("is_general") & (F.col("score") >= GENERAL_LEAST))
+    place = F.struct(-F.col("score"), -F.col("confidence"), "first")
+    row = F.struct("record_id", "r_raw", "r_index", "confidence", "house_part", "is_general")
+    own = found.withColumn("sure", sure).withColumn("same", sure & (F.col("q_index") != "") & (F.col("r_index") == F.col("q_index")))
+    # At most one row for each confidence, so that the second step sees few of them.
+    steps = own.groupBy("row_id", "sure", "same", "confidence").agg(
+        F.count("*").alias("n"), F.max("score").alias("score"), F.min(F.when(F.col("r_raw") != "", F.col("r_index"))).alias("low"), F.max(F.when(F.col("r_raw") != "", F.col("r_index"))).alias("high"),
+        F.min_by(row, place).alias("row"), F.min(place).alias("place"), F.first("q_index").alias("q_index"), F.first("q_house").alias("q_house"),
     )
-    house = F.when(F.col("same_index") == 1, F.col("same_house")).otherwise(F.col("best.h"))
-    housed = (F.col("q_house") == "") | (house >= HOUSE_BASE)
-    corrected = (F.col("q_index") == "") | (F.col("same_index") == 1) | (F.col("top") >= SURE_CONFIDENCE)
-    auto = F.coalesce(((F.col("n_index") == 1) | (F.col("same_index") == 1)) & housed & corrected, F.lit(False))
-    out = requests.select("row_id").join(per, "row_id", "left")
-    chosen = F.when(F.col("same_index") == 1, F.col("q_index")).otherwise(F.col("best.i"))
-    return out.select(
-        "row_id", F.when(F.col("total_found").isNull(), "none").when(auto, "auto").otherwise("manual").alias("mode"),
-        F.coalesce("total_found", F.lit(0)).alias("total_found"), F.coalesce("top_score", F.lit(0.0)).alias("top_score"), F.when(auto, chosen).otherwise("").alias("auto_index"),
+    chosen = []
+    for tag, among in (("all", F.col("sure")), ("same", F.col("same"))):
+        of = lambda c, among=among: F.when(among, F.col(c))
+        chosen.append(
+            F.struct(
+                F.coalesce(F.sum(of("n")), F.lit(0)).alias("n"), F.min(of("low")).alias("low"), F.max(of("high")).alias("high"), F.min_by(of("row"), of("place")).alias("first"),
+                F.max(of("confidence")).alias("top"), F.max_by(of("row"), of("confidence")).alias("best"), F.max_by(of("n"), of("confidence")).alias("n_top"),
+            ).alias(tag)
+        )
+    per = steps.groupBy("row_id").agg(F.sum("n").alias("total_found"), F.max("score").alias("top_score"), F.first("q_index").alias("q_index"), F.first("q_house").alias("q_house"), *chosen)
+    per = per.withColumn("p", F.when(F.col("same.n") > 0, F.col("same")).otherwise(F.col("all")))
+    alone = (F.col("p.n") > 1) & (F.col("p.top") >= SURE_CONFIDENCE) & (F.col("p.n_top") == 1)
+    one = (F.col("p.n") == 1) | alone | F.coalesce(F.col("p.low") == F.col("p.high"), F.lit(False))
+    per = per.withColumn("chosen", F.when(alone, F.col("p.best")).otherwise(F.col("p.first"))).withColumn("one", one)
+    c = lambda n: F.col(f"chosen.{n}")
+    indexed = (F.col("q_index") == "") | (F.col("q_index") == c("r_index")) | (~c("is_general") & (c("confidence") >= SURE_CONFIDENCE))
+    housed = c("is_general") | (F.col("q_house") == "") | (c("house_part") >= HOUSE_BASE)
+    return per.select("row_id", "total_found", "top_score", F.coalesce(F.col("one") & indexed & housed, F.lit(False)).alias("auto"), "chosen")
+
+
+def resolved(requests: DataFrame, scored: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, decided): the results of each request, general rows among them, and one row per request: row_id, mode,
+    total_found, top_score, auto_index, auto_confidence.
+
+    mode is auto, manual (there are results) or none. Post-office boxes of the capital are decided by their
+    rule alone.
+    """
+    first = checkpointed(deduplicated(scored.join(requests.where("q_box").select("row_id"), "row_id", "left_anti")))
+    one = decide(first, False)
+    general = checkpointed(with_general(requests, first, one, places))
+    ids = general.select("row_id").distinct()
+    again = first.join(ids, "row_id", "left_semi").unionByName(general)
+    two = decide(again, True)
+    found = first.unionByName(general)
+    decided = one.join(ids, "row_id", "left_anti").unionByName(two)
+    box = F.col("q_box")
+    out = requests.select("row_id", "q_box").join(decided, "row_id", "left")
+    auto = F.coalesce(F.col("auto"), F.lit(False))
+    out = out.select(
+        "row_id", F.when(box | auto, "auto").when(F.col("total_found").isNull(), "none").otherwise("manual").alias("mode"),
+        F.when(box, 1).otherwise(F.coalesce("total_found", F.lit(0))).cast("bigint").alias("total_found"), F.when(box, BOX_CONFIDENCE / 100).otherwise(F.coalesce("top_score", F.lit(0.0))).alias("top_score"),
+        F.when(box, BOX_INDEX).when(auto, F.col("chosen.r_raw")).otherwise("").alias("auto_index"), F.when(box, BOX_CONFIDENCE).when(auto, F.col("chosen.confidence")).otherwise(0).cast("int").alias("auto_confidence"),
     )
+    return found, out
 
 
-def general_results(requests: DataFrame, records: DataFrame, magistral: DataFrame) -> DataFrame:
-    """row_id, region, district, min_index: the least valid index of each place of the requested name, when
-    the street can't be found. Places are told apart by region and district as the directory writes them."""
-    valid = F.when(F.col("city_index").rlike("^[0-9]{5}$"), F.col("city_index"))
-    area = magistral.select("record_id", F.coalesce("region", F.lit("")).alias("region"), F.coalesce(F.when(F.col("new_district") != "", F.col("new_district")), F.col("old_district"), F.lit("")).alias("district"), valid.alias("valid"))
-    towns = records.select("record_id", "r_city", "r_region").join(area, "record_id").where("r_city != ''").groupBy("r_city", "r_region", "region", "district").agg(F.min("valid").alias("min_index"))
-    out = requests.where("q_city != ''").select("row_id", "q_city", "q_region").join(towns.where("min_index IS NOT NULL"), F.col("q_city") == F.col("r_city")).where("q_region = '' OR q_region = r_region")
-    return out.select("row_id", "region", "district", "min_index")
+def ranked(found: DataFrame, most: int = 20) -> DataFrame:
+    """The most best results of each request, with their rank: by score, confidence, then in the order of the directory."""
+    order = Window.partitionBy("row_id").orderBy(F.desc("score"), F.desc("confidence"), "first")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
 def block_sizes(requests: DataFrame, records: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvartal.functions import text as X
+from kvartal.functions.dual import name, text
 from kvartal.operators import directory as D
 from kvartal.operators import linkage as L
 from kvartal.operators import sheet as H
@@ -46,8 +48,8 @@ def least_index(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_office(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "magistral").where("city != ''")
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return D.nearest_office(m.select("city", text("tech_index").alias("anchor")), m.select("city", text("city_index").alias("office"), (F.trim(text("not_working")) == "").alias("working")))
+    cell = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return D.nearest_office(m.select("city", cell("tech_index").alias("anchor")), m.select("city", cell("city_index").alias("office"), (F.trim(cell("not_working")) == "").alias("working")))
 
 
 def latest_houses(spark: SparkSession, d: str) -> DataFrame:
@@ -69,33 +71,28 @@ def changed_indexes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_statistics(spark: SparkSession, d: str) -> DataFrame:
-    q, r = M._inputs(spark, d)
-    return H.run_statistics(H.write_back(table(spark, d, "addresses"), L.decisions(q, L.scored_pairs(q, r))))
+    return H.run_statistics(H.write_back(table(spark, d, "addresses"), M.resolve(spark, d)[2], least=90))
 
 
-def quality_tags(spark: SparkSession, d: str) -> DataFrame:
-    q, r = M._inputs(spark, d)
-    scored = M.checkpointed(L.scored_pairs(q, r))
-    return H.quality_tags(table(spark, d, "addresses"), q, scored, L.decisions(q, scored))
+def quality_report(spark: SparkSession, d: str) -> DataFrame:
+    q, found, decided = M.resolve(spark, d)
+    return H.quality_report(table(spark, d, "addresses"), q, found, decided, table(spark, d, "magistral"))
 
 
 def tag_summary(spark: SparkSession, d: str) -> DataFrame:
-    return H.tag_summary(quality_tags(spark, d))
+    return H.tag_summary(quality_report(spark, d))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         postcode_addresses, house_lookup, city_autocomplete, streets_of_city, street_postcodes, display_names, least_index, nearest_office,
-        latest_houses, stale_streets, processed_rows, changed_indexes, run_statistics, quality_tags, tag_summary,
+        latest_houses, stale_streets, processed_rows, changed_indexes, run_statistics, quality_report, tag_summary,
     )
 }
 
 _T = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _DISTRICT = "coalesce(nullif(new_district, ''), old_district, '')"
-_TAGS = f"""{M.scored_sql()}, decided AS ({{decided}}),
-    k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, confidence DESC, record_id) AS k FROM scored),
-    top AS (SELECT row_id, max(CASE WHEN k = 1 THEN confidence END) AS top_confidence, max(CASE WHEN k = 1 THEN r_index END) AS top_index, count(CASE WHEN k <= 20 AND confidence >= 90 THEN 1 END) AS sure, any_value(q_index) AS q_index FROM k GROUP BY row_id)"""
 SQL = {
     "postcode_addresses": f"""WITH c AS (SELECT DISTINCT {_T.format('city_id')} AS city_id, region, district, city, city_type_short FROM cities), s AS (SELECT DISTINCT {_T.format('street_id')} AS street_id, {_T.format('city_id')} AS city_id, street, street_type_short, old_street FROM streets),
         h AS (SELECT DISTINCT {_T.format('street_id')} AS street_id, house_number, normalized_house_number, replace(postcode, ' ', '') AS p FROM houses)
@@ -126,21 +123,25 @@ SQL = {
     "changed_indexes": """SELECT row_id, 'index' AS field, coalesce(old_index, '') AS old_value, coalesce("index", '') AS new_value FROM addresses WHERE coalesce(old_index, '') <> coalesce("index", '')""",
     "run_statistics": f"""SELECT count(*) AS total, count(CASE WHEN e THEN 1 END) AS skipped, count(CASE WHEN NOT e AND applied THEN 1 END) AS applied, count(CASE WHEN NOT e AND NOT applied AND mode = 'manual' THEN 1 END) AS manual,
         count(CASE WHEN NOT e AND NOT applied AND mode <> 'manual' THEN 1 END) AS not_found, round(count(CASE WHEN NOT e AND applied THEN 1 END) / greatest(count(*) - count(CASE WHEN e THEN 1 END), 1), 6) AS efficiency
-        FROM (SELECT d.mode, d.mode = 'auto' AND d.auto_index <> '' AS applied, regexp_full_match(coalesce(city, '') || coalesce(street, '') || coalesce(building, '') || coalesce(region, ''), '[\\s\\x{{a0}}]*') AS e FROM addresses a JOIN ({M.SQL['match_decisions']}) d ON a.row_id = d.row_id)""",
+        FROM (SELECT d.mode, d.mode = 'auto' AND d.auto_index <> '' AND d.auto_confidence >= 90 AND NOT e AS applied, e FROM (SELECT row_id, regexp_full_match(coalesce(city, '') || coalesce(street, '') || coalesce(building, '') || coalesce(region, ''), '[\\s\\x{{a0}}]*') AS e FROM addresses) a JOIN ({M.SQL['match_decisions']}) d ON a.row_id = d.row_id)""",
 }
 _tag = lambda c, n: f"CASE WHEN {c} THEN '{n}' END"
 _tag_list = ", ".join(
     _tag(c, n)
     for n, c in {
-        "placeholder_index": "trim(in_index, ' ') IN ('*', '00000', '01000')", "building_extracted": "q_building_cell <> '' AND q_building_cell <> in_building", "street_cleaned": "q_street_cell <> in_street",
-        "no_candidates": "total_found = 0", "manual_review": "mode = 'manual'", "many_candidates": "total_found >= 50", "low_top_confidence": "top_confidence < 90",
-        "input_index_differs_from_top": "q_index <> '' AND top_index <> '' AND q_index <> top_index", "ambiguous_high_confidence": "sure > 1",
+        "placeholder_index": f"{X.strip(name('input_index')).check} IN ('', '*', '00000', '01000')", "street_building_same_source": f"input_street <> '' AND input_building <> '' AND {X.normalize_text(name('input_street')).check} = {X.normalize_text(name('input_building')).check}",
+        "building_extracted": "processed_building <> '' AND processed_building <> input_building", "street_cleaned": "processed_street <> input_street", "no_candidates": "total_found = 0", "manual_review": "mode = 'manual'",
+        "many_candidates": "total_found >= 50", "general_index_top": "general", "low_top_confidence": "top1_confidence < 90", "input_index_differs_from_top": "query_index_used <> '' AND top_index <> '' AND query_index_used <> top_index", "ambiguous_high_confidence": "sure > 1",
     }.items()
 )
-SQL["quality_tags"] = f"""WITH k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, confidence DESC, record_id) AS k FROM ({M.scored_sql()} SELECT * FROM scored)),
-    top AS (SELECT row_id, max(CASE WHEN k = 1 THEN confidence END) AS top_confidence, max(CASE WHEN k = 1 THEN r_index END) AS top_index, count(CASE WHEN k <= 20 AND confidence >= 90 THEN 1 END) AS sure, any_value(q_index) AS q_index FROM k GROUP BY row_id),
-    x AS (SELECT a.row_id, coalesce(a.street, '') AS in_street, coalesce(a.building, '') AS in_building, coalesce(a."index", '') AS in_index, q.street AS q_street_cell, q.building AS q_building_cell, d.mode, d.total_found, top.* EXCLUDE (row_id)
-    FROM addresses a JOIN {M.requests_sql()} q ON a.row_id = q.row_id JOIN ({M.SQL['match_decisions']}) d ON a.row_id = d.row_id LEFT JOIN top ON a.row_id = top.row_id)
-    SELECT row_id, mode, total_found, array_to_string(list_filter([{_tag_list}], lambda t: t IS NOT NULL), ',') AS tags FROM x"""
-SQL["tag_summary"] = f"""WITH t AS MATERIALIZED ({SQL['quality_tags']}) SELECT 'mode' AS what, mode AS name, count(*) AS n FROM t GROUP BY mode UNION ALL
-    SELECT 'tag', name, count(*) FROM (SELECT unnest(string_split(tags, ',')) AS name FROM t WHERE tags <> '') GROUP BY name"""
+_input = ", ".join(f"coalesce(a.\"{c}\", '') AS input_{c}" for c in ("index", "region", "district", "city", "street", "building"))
+_top = lambda k, n, x: f"max(CASE WHEN pos = {k} THEN {x} END) AS top{k}_{n}"
+_cells = {"index": "r_raw", "confidence": "confidence", "city": "coalesce(m.city, '')", "street": f"CASE WHEN is_general THEN '{H.GENERAL_STREET}' ELSE coalesce(m.street, '') END", "buildings": "coalesce(m.buildings, '')"}
+_tops = ", ".join(_top(k, n, x) for k in (1, 2, 3) for n, x in _cells.items() if k == 1 or n != "buildings")
+SQL["quality_report"] = f"""{M.resolved_sql()},
+    top AS (SELECT row_id, {_tops}, bool_or(CASE WHEN pos = 1 THEN is_general END) AS general, max(CASE WHEN pos = 1 THEN r_index END) AS top_index, count(CASE WHEN pos <= 20 AND confidence >= 90 THEN 1 END) AS sure FROM found LEFT JOIN magistral m ON found.record_id = m.record_id GROUP BY row_id),
+    x AS (SELECT a.row_id AS row_number, {_input}, {X.query_index(text('index')).check.replace('"index"', 'a."index"')} AS query_index_used, q.city AS processed_city, q.street AS processed_street, q.building AS processed_building, d.* EXCLUDE (row_id), top.* EXCLUDE (row_id)
+        FROM addresses a JOIN q ON a.row_id = q.row_id JOIN decided d ON a.row_id = d.row_id LEFT JOIN top ON a.row_id = top.row_id)
+    SELECT {', '.join(f"array_to_string(list_filter([{_tag_list}], lambda t: t IS NOT NULL), ',') AS issue_tags" if c == 'issue_tags' else f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" if c.startswith('top') else c for c in H.REPORT_COLUMNS)} FROM x"""
+SQL["tag_summary"] = f"""WITH t AS MATERIALIZED ({SQL['quality_report']}) SELECT 'mode' AS what, mode AS name, count(*) AS n FROM t GROUP BY mode UNION ALL SELECT 'rows', 'rows_analyzed', count(*) FROM t UNION ALL
+    SELECT 'tag', name, count(*) FROM (SELECT unnest(string_split(issue_tags, ',')) AS name FROM t WHERE issue_tags <> '') GROUP BY name"""

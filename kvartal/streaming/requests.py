@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kvartal.operators import linkage as L
+from kvartal.session import checkpointed, released
 
 
-def match_stream(requests: DataFrame, records: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Decisions of every micro-batch of a request stream, written to out. records: prepared_directory.
+def match_stream(requests: DataFrame, records: DataFrame, places: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Decisions of every micro-batch of a request stream, written to out. records, places: linkage.prepared_directory and
+    general_places.
 
     A batch is written under its own number and overwritten if it is run again, so each request is decided
-    exactly once.
+    exactly once. Its intermediate tables are deleted when it is done.
     """
 
     def decide(batch: DataFrame, number: int) -> None:
-        q = L.prepared_requests(batch).cache()
-        L.decisions(q, L.scored_pairs(q, records)).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        q.unpersist()
+        with released(batch.sparkSession):
+            q = checkpointed(L.prepared_requests(batch))
+            _, decided = L.resolved(q, checkpointed(L.scored_pairs(q, records)), places)
+            decided.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return requests.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

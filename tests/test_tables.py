@@ -92,9 +92,57 @@ def test_matching(spark):
     pq, pr = L.prepared_requests(q), L.prepared_directory(r)
     scores = {(x.row_id, x.record_id): (x.score, x.confidence) for x in L.scored_pairs(pq, pr).collect()}
     assert scores[1, 10][0] >= 0.95 and 0.5 < scores[2, 10][0] < 1.0 and scores[4, 11][0] >= 0.95
-    modes = {x.row_id: (x.mode, x.auto_index) for x in L.decisions(pq, L.scored_pairs(pq, pr)).collect()}
-    assert modes[1] == ("auto", "1001") and modes[3] == ("none", "")
-    assert {x.min_index for x in L.general_results(pq, pr, r).where("row_id = 1").collect()} == {"01001"}
+    places = L.general_places(r, pr)
+    found, decided = L.resolved(pq, L.scored_pairs(pq, pr), places)
+    modes = {x.row_id: (x.mode, x.auto_index) for x in decided.collect()}
+    assert modes[1] == ("auto", "01001") and modes[3] == ("none", "") and len(modes) == 4
+    assert {x.min_index for x in L.general_results(pq, places).where("row_id = 1").collect()} == {"01001"}
+    assert {x.row_id for x in L.ranked(found).where("rank = 1").collect()} == {1, 2, 4}
+
+
+def decided(spark, rows, index="", house="", general=False):
+    """Outcome of the rule on results (index, confidence, score, house_part), in their order."""
+    data = [(1, i, s, c, n.lstrip("0"), n, h, index.lstrip("0"), house, g, (0, -s, 1, i)) for i, (n, c, s, h, g) in enumerate(rows)]
+    df = spark.createDataFrame(data, "row_id long, record_id long, score double, confidence int, r_index string, r_raw string, house_part double, q_index string, q_house string, is_general boolean, first struct<a: int, b: double, c: long, d: long>")
+    r = L.decide(df, general).first()
+    return r.chosen.r_raw if r.auto else None
+
+
+def test_decisions(spark):
+    row = lambda index, confidence, score=None, part=0.25, general=False: (index, confidence, score or confidence / 100, part, general)
+    assert decided(spark, [row("01001", 99)], house="1") == "01001"
+    assert decided(spark, [row("01001", 99), row("01002", 99)], house="1") is None
+    assert decided(spark, [row("51912", 100), row("51918", 90)], house="37") == "51912"
+    assert decided(spark, [row("10020", 100)], index="10001", house="2") == "10020"
+    assert decided(spark, [row("15504", 98, part=0.0, general=True)], index="01001", house="43") is None
+    assert decided(spark, [row("69089", 100, 1.0), row("69039", 99, 1.0), row("69083", 91)], house="5") == "69089"
+    assert decided(spark, [row("51273", 100), row("28115", 100), row("71602", 99)], house="16") is None
+    assert decided(spark, [row("01001", 99, part=-0.05)], house="999") is None
+    # One index in several rows; the requested index goes first; a wrong index is only corrected from 98 on.
+    assert decided(spark, [row("01001", 95), row("1001", 93)]) == "01001" and decided(spark, [row("01001", 95), row("01002", 93)], index="1002") == "01002"
+    assert decided(spark, [row("01001", 95)], index="1002") is None and decided(spark, [row("", 95), row("01002", 93)]) == ""
+    assert decided(spark, [row("15504", 89, part=0.0, general=True)], house="7") is None
+    assert decided(spark, [row("15504", 89, part=0.0, general=True)], house="7", general=True) == "15504"
+
+
+def test_equal_addresses_are_one_result(spark):
+    columns = "row_id long, record_id long, r_key string, score double, confidence int, strategy int, r_index string, r_raw string, house_part double, q_index string, q_house string"
+    rows = [(1, 1, "a", 0.9, 90, 1, "15504", "15504", 0.0, "", ""), (1, 2, "a", 0.9, 90, 1, "15304", "15304", 0.0, "", ""), (1, 3, "b", 0.95, 95, 2, "", "", 0.0, "", ""), (1, 4, "b", 0.9, 95, 1, "7", "00007", 0.0, "", "")]
+    got = {r.record_id: r.r_raw for r in L.deduplicated(spark.createDataFrame(rows, columns)).collect()}
+    assert got == {2: "15304", 4: "00007"}
+
+
+def test_street_aliases_and_boxes(spark):
+    asks = [(1, "Бахмут", "вул. Горького", "5"), (2, "Місто", "без назви", "5"), (3, "м. Київ", "а/с 12", ""), (4, "Місто", "вул. Стара", "5"), (5, "", "вул. Нова", "5")]
+    held = [(1, "м. Бахмут", "вул. Олекси Тихого", "84500"), (2, "Місто", "відсутня", "00002"), (3, "Місто", "вул. Нова", "00003")]
+    q = spark.createDataFrame([(*a, "", "", "00003" if a[0] == 5 else "") for a in asks], "row_id long, city string, street string, building string, region string, district string, index string")
+    r = spark.createDataFrame([(*h, "5", "", "", "") for h in held], "record_id long, city string, street string, city_index string, buildings string, region string, old_district string, new_district string")
+    aliases = spark.createDataFrame([("місто", "стара", "вул. Нова")], "city string, old_street string, new_street string")
+    pq, pr = L.prepared_requests(q, aliases=aliases), L.prepared_directory(r)
+    _, done = L.resolved(pq, L.scored_pairs(pq, pr), L.general_places(r, pr))
+    got = {x.row_id: (x.mode, x.auto_index, x.auto_confidence) for x in done.collect()}
+    assert got[1] == ("auto", "84500", 99 if got[1][2] == 99 else 100) and got[2][:2] == ("auto", "00002") and got[3] == ("auto", "01001", 95) and got[4][:2] == ("auto", "00003")
+    assert got[5][0] == "manual"  # no city: found by house and index, below the sure confidence
 
 
 def test_major_cities_lose_no_pair(spark):
@@ -105,12 +153,12 @@ def test_major_cities_lose_no_pair(spark):
     asks = [(1, "Львів", "вул. Шевченка", "5А", "79001"), (2, "Львів", "Шевченка", "5А", ""), (3, "м. Харків", "вул. Зелена", "12", ""), (4, "Тернопіль", "вул. Шевченка", "5А", ""), (5, "Одеса", "Садова", "7/9", "65001"), (6, "Львів", "", "5А", ""), (7, "Львів", "Шевчука", "", "79002")]
     held = [(1, "м. Львів", "вул. Шевчука", "5, 7", ""), (2, "Львів", "вул. Шептицька", "15а,", "79003"), (3, "Харків", "вул. Земляна", "112, 3", ""), (4, "Тернопіль", "вул. Шевчука", "5", ""), (5, "Одеса", "вул. Сонячна", "9", ""), (6, "Львів", "Шевська", "1,,2", ""), (7, "Одеса", "вул. Садибна", "7", "65002"), (8, "Львів", "", "5", "")]
     addresses = spark.createDataFrame([(*a, "", "") for a in asks], "row_id long, city string, street string, building string, index string, region string, district string")
-    magistral = spark.createDataFrame([(*h, "") for h in held], "record_id long, city string, street string, buildings string, city_index string, region string")
+    magistral = spark.createDataFrame([(*h, "", "", "") for h in held], "record_id long, city string, street string, buildings string, city_index string, region string, old_district string, new_district string")
     got = L.scored_pairs(L.prepared_requests(addresses), L.prepared_directory(magistral)).collect()
     con = duckdb.connect()
     for name, df in (("addresses", addresses.toPandas()), ("magistral", magistral.toPandas())):
         con.register(name, df)
-    want = {(a, b): (s, c) for a, b, s, c in con.execute(M.SQL["scored_pairs"]).fetchall()}
+    want = {(a, b): (s, c) for a, b, s, c, _ in con.execute(M.SQL["scored_pairs"]).fetchall()}
     assert len(got) == len(want) and {(r.row_id, r.record_id): (round(r.score, 6), r.confidence) for r in got} == want
     assert len(want) >= 4 and (2, 1) in want
 
@@ -119,7 +167,7 @@ def test_streams(spark, tmp_path):
     q, r = small(spark)
     q.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(q.schema).parquet(str(tmp_path / "in"))
-    R.match_stream(stream, L.prepared_directory(r).cache(), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    R.match_stream(stream, L.prepared_directory(r).cache(), L.general_places(r, L.prepared_directory(r)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
     times = spark.createDataFrame([(dt.datetime(2025, 1, 1, 1), dt.datetime(2025, 1, 1, 5)), (dt.datetime(2025, 1, 1, 2), dt.datetime(2025, 1, 1, 2))], "requested_at timestamp, loaded_at timestamp")
     row = R.arrivals(times).first()
@@ -138,5 +186,6 @@ def test_tables_without_rows(spark):
     q, r = small(spark)
     pq, pr = L.prepared_requests(q.limit(0)), L.prepared_directory(r.limit(0))
     assert L.scored_pairs(pq, L.prepared_directory(r)).count() == 0 and L.scored_pairs(L.prepared_requests(q), pr).count() == 0
-    assert {x["mode"] for x in L.decisions(L.prepared_requests(q), L.scored_pairs(L.prepared_requests(q), pr)).collect()} == {"none"}
+    all_ = L.prepared_requests(q)
+    assert {x["mode"] for x in L.resolved(all_, L.scored_pairs(all_, pr), L.general_places(r.limit(0), pr))[1].collect()} == {"none"}
     assert D.autocomplete(r.limit(0), "city").count() == 0 and D.least_index(r.limit(0)).count() == 0

@@ -2,9 +2,10 @@
 
 Each source's target is its share of the weights times the size of all documents in tokens. A source gets
 whole copies of all its documents as often as they fit (certain, at most max_repeats); the rest is a sample
-without replacement, drawn by Pareto order sampling with inclusion odds that grow with a document's size:
-documents are ranked by (u / (1 - u)) / (p / (1 - p)), u being a hash of the document, and the sample is the
-beginning of that order that comes closest to the missing size.
+without replacement, drawn by Pareto order sampling with inclusion probabilities p in proportion to a
+document's size. Documents for which that would exceed 1 are certain too, and the others share what is left
+of the missing size (inclusion). Documents are ranked by (u / (1 - u)) / (p / (1 - p)), u being a hash of the
+document, and the sample is the beginning of that order that comes closest to the missing size.
 
 The order is never sorted in one task: ranks fall into buckets, of which only sums are gathered; documents
 of full buckets are taken, and only the bucket in which a source's target falls is ordered.
@@ -30,6 +31,25 @@ def _clean_targets(targets: DataFrame) -> DataFrame:
     return own.crossJoin(F.broadcast(own.agg(F.sum("weight").alias("_all")))).select("source", (F.col("weight") / F.col("_all")).alias("share"), "repeats")
 
 
+def inclusion(docs: DataFrame) -> DataFrame:
+    """source, _certain, _rate: documents of _certain tokens or more are taken for certain, the others with probability
+    _rate times their tokens, so that the expected size is the missing one. docs: source, n_tokens, _missing (the
+    same for all documents of a source).
+
+    Works on the distinct sizes of a source, which are no more than the tokens of its longest document: from
+    the largest down, the first size at which the rest's probabilities stay below 1 ends the certain ones.
+    """
+    sizes = docs.groupBy("source", "n_tokens").agg(F.count("*").alias("_n"), F.first("_missing").alias("_missing"))
+    down = Window.partitionBy("source").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("source").orderBy(F.desc("n_tokens")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    s = F.col("n_tokens").cast("double")
+    held = F.coalesce(F.sum(F.col("_n") * s).over(down), F.lit(0.0))
+    rate = (F.col("_missing") - held) / F.sum(F.col("_n") * s * s).over(rest)
+    rated = sizes.withColumn("_rate", rate).where((F.col("_rate") > 0) & (F.col("_rate") * s < 1))
+    best = rated.groupBy("source").agg(F.max(F.struct("n_tokens", "_rate")).alias("x"))
+    return best.select("source", (F.col("x.n_tokens") + 1).alias("_certain"), F.col("x._rate").alias("_rate"))
+
+
 def plan_copies(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """key, source, n_tokens, copies: how often each document stands in the mix; documents that are not in it
     give no row.
@@ -39,20 +59,21 @@ def plan_copies(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", seed:
     sampled. Repeated rows are documents of their own.
     """
     total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("_total"))
-    per_source = sizes.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("_size"), F.count("*").alias("_docs"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("_squares"))
+    per_source = sizes.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("_size"))
     plan = _clean_targets(targets).join(per_source, "source").crossJoin(total)
     target = F.col("share") * F.col("_total")
     whole = F.least(F.floor(target / F.col("_size")), F.col("repeats"))
     missing = F.when(whole < F.col("repeats"), target - whole * F.col("_size")).otherwise(0.0)
-    plan = plan.select("source", whole.cast("int").alias("_whole"), missing.alias("_missing"), "_size", "_docs", "_squares")
-    # With p proportional to size, a sample of n documents is expected to hold n * sum(s^2) / sum(s) tokens.
-    plan = plan.withColumn("_n", F.col("_missing") * F.col("_size") / F.col("_squares"))
     # One row per listed source.
-    plan = F.broadcast(checkpointed(plan))
-    p = F.least(F.greatest(F.col("_n") * F.col("n_tokens") / F.col("_size"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    plan = F.broadcast(checkpointed(plan.select("source", whole.cast("int").alias("_whole"), missing.alias("_missing"))))
+    held = sizes.where("n_tokens > 0").join(plan, "source")
+    held = held.join(F.broadcast(checkpointed(inclusion(held.where("_missing > 0")))), "source", "left")
+    # Without a rate all of them are missing but less than the smallest document, or all are certain.
+    sure = F.coalesce(F.col("n_tokens") >= F.col("_certain"), F.lit(False))
+    p = F.least(F.greatest(F.coalesce(F.col("_rate") * F.col("n_tokens"), F.lit(1e-9)), F.lit(1e-9)), F.lit(1 - 1e-9))
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("source")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     q = (u / (1 - u)) / (p / (1 - p))
-    docs = sizes.where("n_tokens > 0").join(plan, "source").withColumn("_rank", q / (1 + q)).withColumn("_bucket", F.floor(F.col("_rank") * BUCKETS).cast("int"))
+    docs = held.withColumn("_rank", F.when(sure, 0.0).otherwise(q / (1 + q))).withColumn("_bucket", F.floor(F.col("_rank") * BUCKETS).cast("int"))
     # Buckets before the one that crosses the target are taken whole.
     sums = docs.groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("_in"), F.first("_missing").alias("_missing"))
     before = F.coalesce(F.sum("_in").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

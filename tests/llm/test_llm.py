@@ -282,6 +282,30 @@ def test_mixing(spark):
     assert mixing.plan_copies(sizes.limit(0), targets).count() == 0 and mixing.plan_copies(sizes, targets.limit(0)).count() == 0
 
 
+def test_certain_documents(spark):
+    """Inclusion probabilities against the iterative definition, and what they promise."""
+    rng = random.Random(7)
+    sizes = {"a": [rng.randint(1, 50) for _ in range(300)] + [3000, 2500, 900], "b": [10] * 40, "c": [7]}
+    missing = {"a": 6000.0, "b": 100.0, "c": 3.0}
+    df = spark.createDataFrame([(s, n, missing[s]) for s, ns in sizes.items() for n in ns], "source string, n_tokens long, _missing double")
+    got = {r.source: r for r in mixing.inclusion(df).collect()}
+    for s, ns in sizes.items():
+        certain = set()
+        while True:
+            rest = [n for i, n in enumerate(ns) if i not in certain]
+            rate = (missing[s] - sum(ns[i] for i in certain)) / sum(n * n for n in rest)
+            over = {i for i, n in enumerate(ns) if i not in certain and rate * n >= 1}
+            if not over:
+                break
+            certain |= over
+        assert abs(got[s]._rate - rate) < 1e-12 and {i for i, n in enumerate(ns) if n >= got[s]._certain} == certain
+    assert got["a"]._certain <= 2500
+    docs = spark.createDataFrame([(i, "a", n) for i, n in enumerate(sizes["a"])] + [(9999, "rest", 50_000)], "doc_id long, source string, n_tokens long")
+    share = 6000 / (sum(sizes["a"]) + 50_000)
+    plan = mixing.plan_copies(docs, spark.createDataFrame([("a", share, 1), ("x", 1 - share, 1)], "source string, weight double, max_repeats int")).collect()
+    assert {3000, 2500} <= {r.n_tokens for r in plan} and abs(sum(r.n_tokens for r in plan) - 6000) <= 450
+
+
 def test_pareto_prefers_large_documents(spark):
     docs = spark.createDataFrame([(i, "s", 10 if i % 2 else 90) for i in range(4000)] + [(9999, "rest", 200_000)], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("s", 1.0, 1), ("x", 3.0, 1)], "source string, weight double, max_repeats int")

@@ -21,9 +21,14 @@ from pyspark.sql import functions as F
 
 from kvartal.session import checkpointed, spread
 
-# Cyrillic and Greek letters and the Latin letter of the same shape.
+# Cyrillic, Greek and Armenian letters and the Latin letter of the same shape.
 CYRILLIC_LATIN = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅ", "aeopcyxijshdqwABEKMHOPCTYXIJS"))
-GREEK_LATIN = dict(zip("ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovABEZHIKMNOPTYX"))
+RARE_CYRILLIC_LATIN = dict(zip("ӏѵԌԚԜӀѴҮ", "lvGQWIVY"))
+GREEK_LATIN = dict(zip("ονραυϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ovpaucjABEZHIKMNOPTYXCJ"))
+ARMENIAN_LATIN = dict(zip("օոսհցզյՏՕՍԼ", "onuhgqjSOUL"))
+SAME_LETTER = CYRILLIC_LATIN | RARE_CYRILLIC_LATIN | GREEK_LATIN | ARMENIAN_LATIN
+#: Roman numerals that are written as letters.
+_NUMERALS = range(0x2160, 0x2180)
 # Hyphens of one shape, and apostrophes of one shape.
 SAME_SHAPE = {"‐": "-", "‑": "-", "ʼ": "’"}
 _FOLDED_KINDS = ("<wide>", "<narrow>", "<noBreak>")
@@ -42,11 +47,11 @@ def _expand(c: str) -> str:
     kind = unicodedata.decomposition(c).split(" ")[0]
     if 0xAC00 <= ord(c) <= 0xD7A3:
         return c  # syllables stay whole
-    if kind in _FOLDED_KINDS or ord(c) in _LIGATURES:
+    if kind in _FOLDED_KINDS or ord(c) in _LIGATURES or ord(c) in _NUMERALS:
         out = unicodedata.normalize("NFKD", c)
     else:
         out = unicodedata.normalize("NFD", c)
-    return "".join(SAME_SHAPE.get(x, CYRILLIC_LATIN.get(x, GREEK_LATIN.get(x, x))) for x in out if not _hidden(x))
+    return "".join(SAME_SHAPE.get(x, SAME_LETTER.get(x, x)) for x in out if not _hidden(x))
 
 
 class Tables:

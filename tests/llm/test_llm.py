@@ -327,6 +327,8 @@ def test_skeleton_composes_canonically(a, b):
 def test_skeleton():
     s = lambda x: lookalike.skeletons([x])[0]
     assert s("Ｔ－１") == s("T-1") and s("кава") == s("кaвa") and s("кур’єр") == s("курʼєр") and s("e​ﬃ­") == s("effi") and s("a b c") == s("a b c") and s("ο") == s("о") == s("o")
+    assert s("ӏ") == s("l") and s("ραυ") == s("pau") and s("օոս") == s("onu") and s("ⅩⅣ") == s("XIV") == s("ХІV")
+    assert all(unicodedata.normalize("NFC", b) == s(a) for a, b in lookalike.SAME_LETTER.items())
     different = ["²", "2", "½", "1/2", "…", "...", "'", "’", "–", "-", "a b", "a  b", "l", "1", "O", "0", "A", "a"]
     assert len({s(x) for x in different}) == len(different)
     assert s("👨‍👩") != s("👨👩") and s("а‍б") == s("аб") and s("a\r\nb") == s("a\nb")

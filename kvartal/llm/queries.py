@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kvartal.llm.canonical import canonical_cities
 from kvartal.llm.entity_match import match_streets
 from kvartal.llm.lookalike import consistent_texts, equal_looking
+from kvartal.llm.looking_sql import equal_looking_sql
 from kvartal.llm.mixing import mix_report, plan_copies, sized
 from kvartal.llm.same_address import same_addresses
 from kvartal.llm.tokenize import encode_texts
@@ -67,4 +68,4 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_texts": p9_texts,
 }
-SQL: dict[str, str] = {}
+SQL = {"p9_found": equal_looking_sql()}

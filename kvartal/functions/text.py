@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from kvartal.functions.dual import NOT_W, WS, Ex, call, case, count, each, extract, item, join, keep, let, like, lit, lookup, lower, part, rest, size, split, sub, translate, upper
+from kvartal.functions.dual import NOT_W, WS, Ex, array, call, case, count, each, extract, item, join, keep, let, like, lit, lookup, lower, part, rest, size, split, sub, translate, upper
 
 # Former and Russian names of cities and the current ones.
 CITY_RENAMES = {
@@ -256,3 +256,86 @@ def closed_index(not_working: Ex, index: Ex) -> Ex:
     office = like(not_working, "ВПЗ", fold=False)
     there = extract(not_working, r"(\d{5})")
     return case((office & (there != ""), there), (office, "*"), (like(not_working, "Тимчасово не функціонує", fold=False), "*"), default=index)
+
+
+# ---- second set of normalizers, and texts for display
+
+# Kind words that the second set of normalizers cuts wherever they stand, in this order.
+PLAIN_STREET_KINDS = (r"вул\.?", "вулиця", r"пров\.?", "провулок", r"бульв\.?", "бульвар", r"просп\.?", "проспект", r"пл\.?", "площа")
+PLAIN_CITY_KINDS = (r"м\.?", "місто", r"с\.?", "село", r"смт\.?", "селище WS міського WS типу", r"сел\.?", "селище")
+
+
+def plain_text(x: Ex) -> Ex:
+    """Small letters and single blanks; everything but letters, digits, _ and - is dropped."""
+    return strip(sub(squeeze(lower(x)), r"[^\p{L}\p{N}_\s-]"))
+
+
+def _without(x: Ex, kinds: tuple[str, ...]) -> Ex:
+    for k in kinds:
+        x = sub(x, k.replace(" WS ", f"{WS}+") + f"{WS}+")
+    return plain_text(x)
+
+
+def plain_street(x: Ex) -> Ex:
+    return _without(x, PLAIN_STREET_KINDS)
+
+
+def plain_city(x: Ex) -> Ex:
+    return _without(x, PLAIN_CITY_KINDS)
+
+
+def plain_house(x: Ex) -> tuple[Ex, Ex]:
+    """(street, house) of a street cell that ends in a number; (cell, '') otherwise."""
+    pattern = rf"^([^\n]+?){WS}+([0-9]+(?:[-/]|{WS})?[А-Яа-яA-Za-z]*)$"
+    yes = like(strip(x), pattern, fold=False)
+    return case((yes, strip(extract(strip(x), pattern, 1, fold=False))), default=x), case((yes, strip(extract(strip(x), pattern, 2, fold=False))), default="")
+
+
+def leading_number(x: Ex) -> Ex:
+    return extract(strip(x), "^([0-9]+)")
+
+
+def cache_key(*parts: Ex) -> Ex:
+    """Key of a cached answer: the non-empty parts, small and trimmed, hashed."""
+    return call("md5", join(keep(array(*[strip(lower(p)) for p in parts]), lambda p: p != ""), "|"))
+
+
+def confidence_band(x: Ex) -> Ex:
+    return case((x >= 90, "high"), (x >= 70, "middle"), default="low")
+
+
+def _closed(x: Ex) -> Ex:
+    return like(x, "Тимчасово не функціонує", fold=False)
+
+
+def redirect_text(not_working: Ex) -> Ex:
+    """Where a closed office sends its mail: what stands behind the first comma, or the whole note."""
+    return case((~_closed(not_working), ""), (like(not_working, ",", fold=False), strip(extract(not_working, r"(?s)^[^,]*,(.*)$", 1, fold=False))), default=not_working)
+
+
+def picked_index(not_working: Ex, index: Ex) -> Ex:
+    """The index that a pick by hand gives: * for a closed office."""
+    return case((_closed(not_working), "*"), default=index)
+
+
+def house_lines(buildings: Ex, most: int = 10) -> Ex:
+    """A list of houses as lines of most items."""
+    items = keep(each(split(buildings, ","), strip), lambda p: p != "")
+    spark = f"array_join(transform(sequence(0, greatest(size({items.spark}) - 1, 0) div {most}), i -> array_join(slice({items.spark}, i * {most} + 1, {most}), ',')), '\\n')"
+    check = f"array_to_string(list_transform(range(0, greatest(CAST(len({items.check}) AS BIGINT) - 1, 0) // {most} + 1), lambda i: array_to_string(list_slice({items.check}, i * {most} + 1, (i + 1) * {most}), ',')), chr(10))"
+    return Ex(spark, check)
+
+
+def full_address(region: Ex, district: Ex, city: Ex, street: Ex, building: Ex) -> Ex:
+    """The parts that are there, with commas."""
+    house = case((building != "", Ex(f"concat('буд. ', {building.spark})", f"('буд. ' || {building.check})")), default="")
+    return join(keep(array(region, district, city, street, house), lambda p: p != ""), ", ")
+
+
+def reparsed(city: Ex, street: Ex, building: Ex) -> dict[str, Ex]:
+    """Cells after a street cell that holds a whole address is taken apart; parts that it doesn't name stay. A text
+    that names neither city nor street is left alone."""
+    found = parse_full_address(street)
+    use = is_full_address(street) & ((found["city"] != "") | (found["street"] != ""))
+    out = {c: case((use & (found[c] != ""), found[c]), default=own) for c, own in (("city", city), ("street", street), ("building", building))}
+    return out | {"detected": is_full_address(street), "parsed": use}

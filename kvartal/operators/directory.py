@@ -6,7 +6,9 @@ on the result, which Catalyst pushes down.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Order of place kinds in lists, by the beginning of the name.
@@ -123,3 +125,101 @@ def nearest_office(wanted: DataFrame, offices: DataFrame) -> DataFrame:
     number = lambda c: F.when(F.col(c).rlike("^[0-9]{4,5}$"), F.col(c).cast("int"))
     far = F.coalesce(F.abs(number("office") - number("anchor")), F.lit(0))
     return wanted.distinct().join(open_, "city").groupBy("city", "anchor").agg(F.min(F.struct(far.alias("d"), F.col("office").alias("office"))).alias("best")).select("city", "anchor", "best.office")
+
+
+def office_working(lock_code: str = "lock_code", is_security: str = "is_security") -> Column:
+    """Whether an office works: no lock code, and no place under guard."""
+    return F.coalesce(F.col(lock_code), F.lit("")).isin("", "0") & ~F.coalesce(F.col(is_security), F.lit(False))
+
+
+def containing(df: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose cell holds the part, whatever the case."""
+    return df.where(F.contains(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(part.lower())))
+
+
+def names_overlap(a: str, b: str) -> Column:
+    """Whether one of two names holds the other, whatever the case."""
+    x, y = F.lower(F.coalesce(F.col(a), F.lit(""))), F.lower(F.coalesce(F.col(b), F.lit("")))
+    return F.contains(x, y) | F.contains(y, x)
+
+
+def street_names_of(directory: DataFrame) -> DataFrame:
+    """city, street: the distinct streets of each city cell."""
+    return directory.where("city != '' AND street != ''").select("city", "street").distinct()
+
+
+#: Kinds that the manual form cuts from the beginning of a street, in order of trial.
+FORM_KINDS = ("вул. ", "провул. ", "пров. ", "бульв. ", "б-р ", "просп. ", "пр. ", "пл. ")
+
+
+def form_street(c: str) -> Column:
+    """A street as the manual form compares it."""
+    out = F.col(c)
+    for k in reversed(FORM_KINDS):
+        out = F.when(F.startswith(F.col(c), F.lit(k)), F.expr(f"substring({c}, {len(k) + 1})")).otherwise(out)
+    return F.lower(out)
+
+
+def manual_choices(asked: DataFrame, directory: DataFrame) -> DataFrame:
+    """ask_id, choices, index: what the manual form offers for each (ask_id, city, district, street): the number of distinct
+    indexes of the street, and the least of them; without a street of that name the least index of the city,
+    '00000' if there is none.
+
+    Cities are equal but for case; a district that is given must be part of the row's. Indexes are compared as
+    text.
+    """
+    district = F.coalesce(F.when(F.col("new_district") != "", F.col("new_district")), F.col("old_district"), F.lit(""))
+    d = directory.where("city != ''").select(F.lower("city").alias("k"), F.lower(district).alias("d"), form_street("street").alias("s"), F.when(F.col("city_index") != "", F.col("city_index")).alias("i")).distinct()
+    a = asked.select("ask_id", F.lower("city").alias("k"), F.lower(F.coalesce("district", F.lit(""))).alias("q_d"), F.lower(F.coalesce("street", F.lit(""))).alias("q_s"))
+    met = a.join(d, "k", "left").where("k IS NULL OR d IS NULL OR contains(d, q_d)")
+    same = (F.col("q_s") != "") & (F.col("s") == F.col("q_s"))
+    per = met.groupBy("ask_id").agg(F.countDistinct(F.when(same, F.col("i"))).alias("choices"), F.min(F.when(same, F.col("i"))).alias("own"), F.min("i").alias("least"))
+    return asked.select("ask_id").join(per, "ask_id", "left").select("ask_id", F.coalesce("choices", F.lit(0)).alias("choices"), F.coalesce("own", "least", F.lit("00000")).alias("index"))
+
+
+def directory_statistics(records: DataFrame) -> DataFrame:
+    """One row: total_records and how many city prefixes, regions and postcodes the blocks know. records:
+    linkage.prepared_directory."""
+    count = lambda c, when: F.countDistinct(F.when(when, c))
+    return records.agg(
+        F.count("*").alias("total_records"), count(F.substring("r_city", 1, 2), F.length("r_city") >= 2).alias("prefixes_2"), count(F.substring("r_city", 1, 3), F.length("r_city") >= 3).alias("prefixes_3"),
+        count(F.col("r_region"), F.col("r_region") != "").alias("regions"), count(F.col("r_post"), F.col("r_post") != "").alias("postcodes"),
+    )
+
+
+def unexpired(cache: DataFrame, at: str, now: Column, days: int = 30) -> DataFrame:
+    """Cached answers that are no more than days whole days old; those without a time are expired."""
+    return cache.where(F.coalesce(F.floor((F.unix_timestamp(now) - F.unix_timestamp(F.col(at).cast("timestamp"))) / 86400) <= days, F.lit(False)))
+
+
+def answered(wanted: DataFrame, cache: DataFrame, fetch: Callable[[DataFrame], DataFrame], key: str = "key") -> DataFrame:
+    """The cache after the wanted keys that it lacks were fetched once each. fetch: rows of the cache for distinct keys."""
+    return cache.unionByName(fetch(wanted.select(key).distinct().join(cache, key, "left_anti")), allowMissingColumns=True)
+
+
+def refreshed(parents: DataFrame, store: DataFrame, snapshots: DataFrame, fetch: Callable[[DataFrame], DataFrame], parent: str, keys: list[str], now: Column, days: int) -> tuple[DataFrame, DataFrame]:
+    """(store, snapshots) after the children of all parents without a fresh snapshot were fetched: one level of a
+    hierarchical crawl, from regions down to houses.
+
+    fetch: rows like store, with cached_at, for a table of parent keys; snapshots: parent, cached_at. Parents
+    whose children are fresh are not asked for; rows of a parent that fails stay as they are.
+    """
+    fresh = snapshots.join(stale(snapshots, "cached_at", now, days), parent, "left_anti")
+    due = parents.select(parent).where(f"{parent} != ''").distinct().join(fresh, parent, "left_anti")
+    new = fetch(due)
+    marks = new.select(parent).distinct().withColumn("cached_at", now.cast("timestamp_ntz"))
+    return upsert(store, new, keys, "cached_at"), latest(snapshots.unionByName(marks), [parent], "cached_at")
+
+
+def persisted(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """A table kept under path: read if it is there and whole, else (or if force) built and written anew."""
+    if not force:
+        try:
+            out = spark.read.parquet(path)
+            out.limit(1).collect()
+            return out
+        except Exception as e:  # noqa: BLE001 - a missing or broken table is built again
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e) and "CANNOT_READ_FILE" not in str(e) and "Parquet" not in str(e):
+                raise
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

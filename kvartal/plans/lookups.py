@@ -12,6 +12,7 @@ from kvartal.operators import linkage as L
 from kvartal.operators import sheet as H
 from kvartal.plans import matching as M
 from kvartal.session import table
+from kvartal.sources.files import with_aliases
 
 
 def postcode_addresses(spark: SparkSession, d: str) -> DataFrame:
@@ -79,6 +80,69 @@ def quality_report(spark: SparkSession, d: str) -> DataFrame:
     return H.quality_report(table(spark, d, "addresses"), q, found, decided, table(spark, d, "magistral"))
 
 
+def sheet_responses(spark: SparkSession, d: str) -> DataFrame:
+    _, found, decided = M.resolve(spark, d)
+    out = H.responses(found, decided)
+    return out.withColumn("results", F.array_join(F.transform("results", lambda x: F.concat_ws("/", x["rank"], x["r_raw"], x["confidence"])), ";"))
+
+
+def semi_automatic(spark: SparkSession, d: str) -> DataFrame:
+    return H.semi_automatic(table(spark, d, "addresses"), M.resolve(spark, d)[2])
+
+
+def shown_results(spark: SparkSession, d: str) -> DataFrame:
+    """Ten results of each request, and as recommendation the greatest index that the request found."""
+    _, found, _ = M.resolve(spark, d)
+    ranked = M.checkpointed(L.ranked(found, 1_000_000).select("row_id", "rank", "r_raw"))
+    return H.with_recommendation(ranked, ranked, limit=10)
+
+
+def sheet_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The request table as a user's sheet: old index kept, columns filtered, cells mapped to fields."""
+    a = H.with_old_index(table(spark, d, "addresses").select("row_id", "city", "street", "building", "region", "index"), "index")
+    own, mapping = H.filter_columns(a, {"city": [0], "street": [1, 2], "building": [1, 2], "region": [3], "index": [4], "old_index": [5]}, "row_id", keep_old=True)
+    return H.map_rows(own, mapping, "row_id").select("row_id", "city", "street", "building", "region", "index", "old_index")
+
+
+def sheet_saved(spark: SparkSession, d: str) -> DataFrame:
+    """Edited rows of the first client put back among all rows."""
+    a = table(spark, d, "addresses").select("row_id", "city", "index", "client_id")
+    edited = a.where("client_id != ''").withColumn("index", F.lpad(F.coalesce("index", F.lit("")), 6, "0"))
+    return H.merge_sheet(a, edited, "row_id", ["index"]).select("row_id", "city", F.coalesce("index", F.lit("")).alias("index"))
+
+
+def street_list(spark: SparkSession, d: str) -> DataFrame:
+    return D.street_names_of(table(spark, d, "magistral"))
+
+
+def manual_choices(spark: SparkSession, d: str) -> DataFrame:
+    """The manual form for every request."""
+    a = table(spark, d, "addresses").select(F.col("row_id").alias("ask_id"), "city", "district", D.form_street("street").alias("street"))
+    return D.manual_choices(a, table(spark, d, "magistral"))
+
+
+def directory_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return D.directory_statistics(M._inputs(spark, d)[1])
+
+
+def fresh_answers(spark: SparkSession, d: str) -> DataFrame:
+    return D.unexpired(table(spark, d, "streets").distinct(), "cached_at", F.lit("2025-06-01").cast("timestamp")).groupBy("city_id").agg(F.count("*").alias("fresh"))
+
+
+def overlapping_cities(spark: SparkSession, d: str) -> DataFrame:
+    """Current and former names of cities of which one holds the other."""
+    return table(spark, d, "cities").where("old_city != '' AND city != ''").where(D.names_overlap("city", "old_city")).select("city_id")
+
+
+def aliases_of_streets(spark: SparkSession, d: str) -> DataFrame:
+    """All names of the streets of the classifier that were renamed."""
+    s = table(spark, d, "streets").where("old_street != '' AND street != ''").join(table(spark, d, "cities").select("city_id", "city"), "city_id")
+    aliases = s.select(X.normalize_city(name("city")).col.alias("city"), X.normalize_street(name("old_street")).col.alias("old_street"), F.col("street").alias("new_street"))
+    aliases = aliases.groupBy("city", "old_street").agg(F.max("new_street").alias("new_street"))
+    out = with_aliases(s.select("street_id", "city", F.col("old_street").alias("street")).distinct(), aliases)
+    return out.select("street_id", "city", "street", F.array_join("street_aliases", "|").alias("aliases"))
+
+
 def tag_summary(spark: SparkSession, d: str) -> DataFrame:
     return H.tag_summary(quality_report(spark, d))
 
@@ -88,6 +152,7 @@ QUERIES = {
     for f in (
         postcode_addresses, house_lookup, city_autocomplete, streets_of_city, street_postcodes, display_names, least_index, nearest_office,
         latest_houses, stale_streets, processed_rows, changed_indexes, run_statistics, quality_report, tag_summary,
+        sheet_responses, semi_automatic, shown_results, sheet_columns, sheet_saved, street_list, manual_choices, directory_statistics, fresh_answers, overlapping_cities, aliases_of_streets,
     )
 }
 
@@ -122,7 +187,7 @@ SQL = {
         <> CASE WHEN lower(trim(coalesce(old_index, ''))) IN ('nan', 'none') THEN '' ELSE trim(coalesce(old_index, '')) END) AS already FROM addresses""",
     "changed_indexes": """SELECT row_id, 'index' AS field, coalesce(old_index, '') AS old_value, coalesce("index", '') AS new_value FROM addresses WHERE coalesce(old_index, '') <> coalesce("index", '')""",
     "run_statistics": f"""SELECT count(*) AS total, count(CASE WHEN e THEN 1 END) AS skipped, count(CASE WHEN NOT e AND applied THEN 1 END) AS applied, count(CASE WHEN NOT e AND NOT applied AND mode = 'manual' THEN 1 END) AS manual,
-        count(CASE WHEN NOT e AND NOT applied AND mode <> 'manual' THEN 1 END) AS not_found, round(count(CASE WHEN NOT e AND applied THEN 1 END) / greatest(count(*) - count(CASE WHEN e THEN 1 END), 1), 6) AS efficiency
+        count(CASE WHEN NOT e AND NOT applied AND mode <> 'manual' THEN 1 END) AS not_found, round(count(CASE WHEN NOT e AND applied THEN 1 END) / greatest(count(*) - count(CASE WHEN e THEN 1 END), 1), 6) AS efficiency, round(count(CASE WHEN NOT e AND applied THEN 1 END) / greatest(count(CASE WHEN NOT e THEN 1 END), 1), 6) AS decided_share
         FROM (SELECT d.mode, d.mode = 'auto' AND d.auto_index <> '' AND d.auto_confidence >= 90 AND NOT e AS applied, e FROM (SELECT row_id, regexp_full_match(coalesce(city, '') || coalesce(street, '') || coalesce(building, '') || coalesce(region, ''), '[\\s\\x{{a0}}]*') AS e FROM addresses) a JOIN ({M.SQL['match_decisions']}) d ON a.row_id = d.row_id)""",
 }
 _tag = lambda c, n: f"CASE WHEN {c} THEN '{n}' END"
@@ -145,3 +210,28 @@ SQL["quality_report"] = f"""{M.resolved_sql()},
     SELECT {', '.join(f"array_to_string(list_filter([{_tag_list}], lambda t: t IS NOT NULL), ',') AS issue_tags" if c == 'issue_tags' else f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" if c.startswith('top') else c for c in H.REPORT_COLUMNS)} FROM x"""
 SQL["tag_summary"] = f"""WITH t AS MATERIALIZED ({SQL['quality_report']}) SELECT 'mode' AS what, mode AS name, count(*) AS n FROM t GROUP BY mode UNION ALL SELECT 'rows', 'rows_analyzed', count(*) FROM t UNION ALL
     SELECT 'tag', name, count(*) FROM (SELECT unnest(string_split(issue_tags, ',')) AS name FROM t WHERE issue_tags <> '') GROUP BY name"""
+_MISSING = "lower(trim(coalesce({0}, ''))) IN ('nan', 'none')"
+_CLEAN = "CASE WHEN " + _MISSING + " THEN '' ELSE trim(coalesce({0}, '')) END"
+_TRIM = r"regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')"
+_FORM = "lower(CASE " + " ".join(f"WHEN starts_with({{0}}, '{k}') THEN substring({{0}}, {len(k) + 1})" for k in D.FORM_KINDS) + " ELSE {0} END)"
+SQL["sheet_responses"] = f"""{M.resolved_sql()}, l AS (SELECT row_id, string_agg(pos || '/' || r_raw || '/' || confidence, ';' ORDER BY pos) AS results FROM found WHERE pos <= 20 GROUP BY row_id)
+    SELECT d.row_id, mode, total_found, mode = 'auto' AS applied, auto_index, coalesce(results, '') AS results FROM decided d LEFT JOIN l ON d.row_id = l.row_id"""
+SQL["semi_automatic"] = f"""{M.resolved_sql()}, o AS (SELECT d.row_id, auto_index, mode = 'auto' AND auto_index <> '' AS auto FROM decided d JOIN addresses a ON a.row_id = d.row_id
+    WHERE NOT regexp_full_match(coalesce(city, '') || coalesce(street, '') || coalesce(building, '') || coalesce(region, ''), '[\\s\\x{{a0}}]*') AND NOT ({_CLEAN.format('a."index"')} <> '' AND {_CLEAN.format('a."index"')} <> {_CLEAN.format('old_index')}))
+    SELECT row_id, auto_index FROM o WHERE auto AND row_id < coalesce((SELECT min(row_id) FROM o WHERE NOT auto), 9223372036854775807)"""
+SQL["shown_results"] = f"{M.resolved_sql()} SELECT row_id, CAST(pos AS INTEGER) AS rank, r_raw, false AS recommended FROM found WHERE pos <= 10 UNION ALL SELECT row_id, 11, max(r_raw), true FROM found GROUP BY row_id"
+_BOTH = f"trim(CASE WHEN {_TRIM.format('street')} <> '' THEN {_TRIM.format('street')} || ' ' ELSE '' END || {_TRIM.format('building')}, ' ')"
+SQL["sheet_columns"] = f"""SELECT row_id, {_TRIM.format('city')} AS city, {_BOTH} AS street, {_BOTH} AS building, {_TRIM.format('region')} AS region, {_TRIM.format('"index"')} AS "index", {_TRIM.format('"index"')} AS old_index FROM addresses"""
+SQL["sheet_saved"] = """SELECT row_id, city, CASE WHEN client_id <> '' THEN lpad(coalesce("index", ''), 6, '0') ELSE coalesce("index", '') END AS "index" FROM addresses"""
+SQL["street_list"] = "SELECT DISTINCT city, street FROM magistral WHERE city <> '' AND street <> ''"
+SQL["manual_choices"] = f"""WITH d AS (SELECT DISTINCT lower(city) AS k, lower({_DISTRICT}) AS d, {_FORM.format('street')} AS s, CASE WHEN city_index <> '' THEN city_index END AS i FROM magistral WHERE city <> ''),
+    m AS (SELECT a.row_id, i, coalesce({_FORM.format('a.street')} <> '' AND s = {_FORM.format('a.street')}, false) AS same FROM addresses a JOIN d ON lower(a.city) = k AND contains(d.d, lower(coalesce(a.district, ''))))
+    SELECT a.row_id AS ask_id, count(DISTINCT CASE WHEN same THEN i END) AS choices, coalesce(min(CASE WHEN same THEN i END), min(i), '00000') AS "index" FROM addresses a LEFT JOIN m ON a.row_id = m.row_id GROUP BY a.row_id"""
+SQL["directory_statistics"] = f"""SELECT count(*) AS total_records, count(DISTINCT CASE WHEN length(r_city) >= 2 THEN left(r_city, 2) END) AS prefixes_2, count(DISTINCT CASE WHEN length(r_city) >= 3 THEN left(r_city, 3) END) AS prefixes_3,
+    count(DISTINCT CASE WHEN r_region <> '' THEN r_region END) AS regions, count(DISTINCT CASE WHEN r_post <> '' THEN r_post END) AS postcodes FROM {M.RECORDS_SQL}"""
+SQL["fresh_answers"] = "SELECT city_id, count(*) AS fresh FROM (SELECT DISTINCT * FROM streets) WHERE floor((epoch(TIMESTAMP '2025-06-01') - floor(epoch(cached_at))) / 86400) <= 30 GROUP BY city_id"
+SQL["overlapping_cities"] = "SELECT city_id FROM cities WHERE old_city <> '' AND city <> '' AND (contains(lower(city), lower(old_city)) OR contains(lower(old_city), lower(city)))"
+SQL["aliases_of_streets"] = f"""WITH s AS (SELECT street_id, c.city, street, old_street FROM streets s JOIN cities c ON s.city_id = c.city_id WHERE old_street <> '' AND street <> ''),
+    a AS (SELECT {X.normalize_city(name('city')).check} AS k, {X.normalize_street(name('old_street')).check} AS o, max(street) AS street FROM s GROUP BY ALL)
+    SELECT DISTINCT street_id, s.city, old_street AS street, CASE WHEN n = '' THEN '' ELSE n || CASE WHEN n = 'без назви' THEN '|відсутня' ELSE '' END || CASE WHEN w <> '' AND w <> n THEN '|' || w ELSE '' END END AS aliases
+    FROM (SELECT *, {X.normalize_city(name('city')).check} AS k, {X.normalize_street(name('old_street')).check} AS n FROM s) s LEFT JOIN (SELECT k AS ak, o, {X.normalize_street(name('street')).check} AS w FROM a) a ON k = ak AND n = o"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kvartal.functions import similarity as S
 from kvartal.functions import text as X
 from kvartal.functions.dual import Ex, text
+from kvartal.functions.sql import ONE, TWO, register
 from kvartal.session import spread, table
 
 
@@ -31,7 +32,6 @@ def rounded(x: Ex) -> Ex:
 
 _city, _street, _building = text("city"), text("street"), text("building")
 _now, _was = X.normalize_text(text("street")), X.normalize_text(text("old_street"))
-_both = (_now != "") & (_was != "")
 _city_of, _street_of = X.city_in_street(_street)
 _house_of, _street_rest = X.building_in_street(_street)
 _region, _district = X.repaired_area(text("region"), text("district"))
@@ -62,8 +62,28 @@ _PLANS = {
             "tokens": rounded(S.token_similarity(_now, _was)),
             "consonants": rounded(S.consonant_similarity(_now, _was)),
         },
-        _both,
     ),
 }
+_plain_street, _plain_house = X.plain_house(_street)
+_PLANS |= {
+    "plain_normalized": select_query("addresses", "row_id", {"plain_text": X.plain_text(_building), "plain_city": X.plain_city(_city), "plain_street": X.plain_street(_street), "cut_street": _plain_street, "cut_house": _plain_house, "leading_number": X.leading_number(_building)}),
+    "cache_keys": select_query("addresses", "row_id", {"cache_key": X.cache_key(_city, _street, text("region"), text("district"))}),
+    "address_texts": select_query("addresses", "row_id", {"full_address": X.full_address(text("region"), text("district"), _city, _street, _building)}),
+    "reparsed_rows": select_query("addresses", "row_id", X.reparsed(_city, _street, _building)),
+    "office_texts": select_query("magistral", "record_id", {"redirect": X.redirect_text(text("not_working")), "picked": X.picked_index(text("not_working"), text("city_index")), "lines": X.house_lines(text("buildings"))}),
+}
 QUERIES = {k: q for k, (q, _) in _PLANS.items()}
 SQL = {k: s for k, (_, s) in _PLANS.items()}
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered functions, called from SQL, on current and former street names."""
+    register(spark)
+    table(spark, sf_dir, "streets").createOrReplaceTempView("kv_streets")
+    ones = ", ".join(f"kv_{n}(street) AS {n}" for n in ONE)
+    twos = ", ".join(f"round(kv_{n}(kv_normalize_text(street), kv_normalize_text(old_street)), 6) AS {n}" for n in TWO)
+    return spark.sql(f"SELECT street_id, {ones}, {twos} FROM kv_streets")
+
+
+QUERIES["sql_functions"] = sql_functions
+SQL["sql_functions"] = "SELECT street_id, " + ", ".join([f"{f(_street).check} AS {n}" for n, f in ONE.items()] + [f"round({f(_now, _was).check}, 6) AS {n}" for n, f in TWO.items()]) + " FROM streets"

@@ -13,7 +13,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from kvartal.functions import text as X
 from kvartal.functions.dual import name
-from kvartal.operators.sheet import looks_headerless
+from kvartal.operators.row_parse import fields_of
+from kvartal.operators.sheet import looks_headerless, tag_summary
 
 #: Headers of a directory file and the names of its columns, in the file's order.
 DIRECTORY_HEADERS = {
@@ -60,6 +61,19 @@ def read_directory(spark: SparkSession, path: str, encoding: str = "UTF-8") -> D
     return df.select(*[(cell(h) if h in named else F.lit("")).alias(c) for h, c in DIRECTORY_HEADERS.items()])
 
 
+def read_directory_files(spark: SparkSession, path: str) -> DataFrame:
+    """file_name and the directory's columns of all CSV files under path, each in its own encoding and with its own order
+    of columns: '' for missing values, cells trimmed. Lines with broken quoting are left out (row_parse tells
+    why)."""
+    lines = decoded_lines(spark, path)
+    cells = lines.where(lines.line != "").select("file_name", "line_no", fields_of(F.col("line")).alias("cells")).where(F.col("cells").isNotNull())
+    clean = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    heads = cells.where("line_no = 1").select("file_name", F.transform("cells", clean).alias("head"))
+    body = cells.where("line_no > 1").join(heads, "file_name")
+    cell = lambda h: F.coalesce(clean(F.get("cells", F.array_position("head", h).cast("int") - 1)), F.lit(""))
+    return body.select("file_name", *[F.when(F.array_contains("head", h), cell(h)).otherwise("").alias(c) for h, c in DIRECTORY_HEADERS.items()])
+
+
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     """city, old_street, new_street of an alias list: normalized keys, rows with an empty part left out, the
     last of repeated keys (by line) holds."""
@@ -114,8 +128,17 @@ def sheet_rows(path: str) -> Iterator[list[str]]:
                 row.clear()
 
 
+#: Fixed value: rows that a sheet can hold.
+MOST_ROWS = 1_048_576
+
+
 def write_xlsx(df: DataFrame, path: str) -> str:
-    """A sheet of text cells for a spreadsheet program; rows stream to the file, one at a time."""
+    """A sheet of text cells for a spreadsheet program; rows stream to the file, one at a time. Gives the path, which ends
+    in .xlsx whatever old format was asked for. Raises ValueError if the rows don't fit on a sheet; such tables
+    belong in partitioned files."""
+    path = re.sub(r"\.xls$", ".xlsx", path)
+    if df.limit(MOST_ROWS).count() >= MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS - 1} rows")
     from xml.sax.saxutils import escape
 
     def line(cells) -> str:
@@ -192,5 +215,7 @@ def append_events(df: DataFrame, event: str, path: str) -> None:
 
 
 def save_report(df: DataFrame, path: str) -> None:
-    """A report as CSV with header; partitioned files, as any table of its size."""
+    """A quality report as CSV with header, in partitioned files as any table of its size, and its summary beside it as JSON
+    lines (rows analyzed, modes, tags)."""
     df.write.mode("overwrite").option("header", True).csv(path)
+    tag_summary(df).write.mode("overwrite").json(f"{path}.summary.json")

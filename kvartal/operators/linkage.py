@@ -74,6 +74,18 @@ def request_stages() -> list[dict[str, Ex]]:
     ]
 
 
+HOUSES = r"transform(split(buildings, ',', -1), x -> regexp_replace(translate(upper(x), '- ', ''), '(?U)^\\s+|\\s+$', ''))"
+
+
+def houses_of(e: Ex) -> Ex:
+    """House keys of a comma list; a trailing comma gives an empty one, which is part of any house."""
+    return Ex(HOUSES.replace("buildings", e.spark), f"list_transform(string_split({e.check}, ','), lambda x: regexp_replace(translate(upper(x), '- ', ''), '^\\s+|\\s+$', '', 'g'))")
+
+
+def bases_of(e: Ex) -> Ex:
+    return Ex(f"transform(split({e.spark}, ',', -1), x -> {X.building_base(Ex('x')).spark})", f"list_transform(string_split({e.check}, ','), lambda x: {X.building_base(Ex('x')).check})")
+
+
 def district_of() -> Ex:
     return case((text("new_district") != "", text("new_district")), default=text("old_district"))
 
@@ -82,7 +94,7 @@ def record_stage() -> dict[str, Ex]:
     """Columns of a directory row that matching reads."""
     return {
         "r_city": X.normalize_city(text("city")), "r_street": X.normalize_street(text("street")), "r_kind": X.street_kind(text("street")), "r_region": X.normalize_region(text("region")),
-        "buildings": text("buildings"), "r_index": X._no_zeros(X._bare_index(text("city_index"))), "r_post": X.postcode(text("city_index")), "r_raw": text("city_index"),
+        "buildings": text("buildings"), "r_built": text("buildings") != "", "r_houses": houses_of(text("buildings")), "r_bases": bases_of(text("buildings")), "r_index": X._no_zeros(X._bare_index(text("city_index"))), "r_post": X.postcode(text("city_index")), "r_raw": text("city_index"),
         "r_key": call("md5", join(array(X.normalize_text(text("region")), X.normalize_text(district_of()), X.normalize_city(text("city")), X.normalize_street(text("street")), X.building_key(text("buildings"))), "|")),
     }
 
@@ -109,27 +121,35 @@ def prepared_directory(magistral: DataFrame, key: str = "record_id") -> DataFram
     return magistral.select(key, *[e.col.alias(n) for n, e in record_stage().items()])
 
 
+#: Which letters of a name there are (bits 0 to 31) and which at least twice (32 to 63).
+_BAG = """aggregate(split({0}, ''), 0L, (a, x) -> a | shiftleft(1L, pmod(ascii(x), 32)))
+    | aggregate(filter(array_distinct(split({0}, '')), x -> length({0}) - length(replace({0}, x, '')) >= 2), 0L, (a, x) -> a | shiftleft(1L, 32 + pmod(ascii(x), 32)))"""
+
+
 def _alike(a: str, b: str, least: float) -> Column:
     """Whether two keys can reach a Jaro-Winkler of least at all: lossless.
 
     With p equal letters in front, at most four, Jaro must reach (least - p/10) / (1 - p/10); with m matching
-    letters it is at most (m/n + m/k + 1) / 3. A letter that the other key doesn't have can't match, which
-    bounds m.
+    letters it is at most (m/n + m/k + 1) / 3. A letter that the other key doesn't have, or not twice, can't
+    match, which bounds m. a, b: columns with their sets of letters in a_bag, b_bag.
     """
     p = F.lit(0.0)
     for i in (1, 2, 3, 4):
         p = F.when(F.substring(a, 1, i) == F.substring(b, 1, i), i / 10).otherwise(p)
     jaro = (least - p) / (1 - p)
     n, k = F.length(a), F.length(b)
-    m = F.least(n - F.length(F.expr(f"translate({a}, {b}, '')")), k - F.length(F.expr(f"translate({b}, {a}, '')")))
+    m = F.least(n - F.expr(f"bit_count({a}_bag & ~{b}_bag)"), k - F.expr(f"bit_count({b}_bag & ~{a}_bag)"))
     return (F.col(a) == "") | (F.col(b) == "") | (m / n + m / k >= 3 * jaro - 1 - 1e-9)
 
 
 def similar_names(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, least: float) -> DataFrame:
     """on, a, b, similarity: pairs of distinct names that share the columns on and are similar enough."""
-    x = left.select(*on, a).where(F.col(a) != "").distinct().withColumn("_a", S.sorted_tokens(name(a)).col)
-    y = right.select(*on, b).where(F.col(b) != "").distinct().withColumn("_b", S.sorted_tokens(name(b)).col)
-    pairs = x.join(y, on).where(_alike("_a", "_b", least)).select(*on, a, b)
+
+    def bagged(df: DataFrame, c: str, to: str) -> DataFrame:
+        own = df.select(*on, c).where(F.col(c) != "").distinct().select(*on, c, F.inline(F.array(F.struct(S.sorted_tokens(name(c)).col.alias(to)))))
+        return own.withColumn(f"{to}_bag", F.expr(_BAG.format(to)))
+
+    pairs = bagged(left, a, "_a").join(bagged(right, b, "_b"), on).where(_alike("_a", "_b", least)).select(*on, a, b)
     pairs = pairs.select("*", token_similarity_column(a, b).alias("similarity"))
     return pairs.where(F.col("similarity") >= least)
 
@@ -142,7 +162,6 @@ def city_pairs(requests: DataFrame, records: DataFrame) -> DataFrame:
     return found[0].union(found[1]).union(found[2]).groupBy("q_city", "r_city").agg(F.max("similarity").alias("city_sim"))
 
 
-HOUSES = r"transform(split(buildings, ',', -1), x -> regexp_replace(translate(upper(x), '- ', ''), '(?U)^\\s+|\\s+$', ''))"
 
 
 def candidates(requests: DataFrame, records: DataFrame, cities: DataFrame) -> DataFrame:
@@ -157,7 +176,7 @@ def candidates(requests: DataFrame, records: DataFrame, cities: DataFrame) -> Da
     streets = similar_names(said, records.withColumnRenamed("r_city", "city_key"), ["city_key"], "q_street", "r_street", STREET_LEAST)
     by_street = said.join(streets.select("city_key", "q_street", "r_street"), ["city_key", "q_street"])
     by_street = by_street.join(records.select("record_id", F.col("r_city").alias("city_key"), "r_street"), ["city_key", "r_street"]).select("row_id", "record_id")
-    houses = records.where("buildings != ''").select("record_id", F.col("r_city").alias("city_key"), F.explode(F.array_distinct(F.expr(HOUSES))).alias("house"))
+    houses = records.where("r_built").select("record_id", F.col("r_city").alias("city_key"), F.explode(F.array_distinct("r_houses")).alias("house"))
     by_house = q.where("q_house != ''").select("row_id", F.col("r_city").alias("city_key"), F.col("q_house").alias("house")).join(houses.where("house != ''"), ["city_key", "house"]).select("row_id", "record_id")
     by_index = q.where("q_index != ''").select("row_id", F.col("r_city").alias("city_key"), "q_index").join(records.select("record_id", F.col("r_city").alias("city_key"), F.col("r_index").alias("q_index")), ["city_key", "q_index"])
     return by_street.union(by_house).union(by_index.select("row_id", "record_id")).union(_major_pairs(q, records)).union(_homeless_pairs(requests, records)).distinct()
@@ -168,7 +187,7 @@ def _homeless_pairs(requests: DataFrame, records: DataFrame) -> DataFrame:
     index or an equal street of the same region (0.35 + 0.25 is LEAST_SCORE)."""
     street = lambda c: F.coalesce(F.nullif(S.sorted_tokens(name(c)).col, F.lit("")), F.col(c))
     q = requests.where("q_house != '' AND size(q_options) > 0").select("row_id", "q_city", "q_region", "q_index", F.col("q_house").alias("house"), F.explode("q_options").alias("option"))
-    r = records.where("buildings != '' AND r_street != ''").select("record_id", "r_city", "r_region", "r_index", street("r_street").alias("street"), F.explode(F.array_distinct(F.expr(HOUSES))).alias("house"))
+    r = records.where("r_built AND r_street != ''").select("record_id", "r_city", "r_region", "r_index", street("r_street").alias("street"), F.explode(F.array_distinct("r_houses")).alias("house"))
     q, r = q.select("*", street("option").alias("street")), r.where("house != ''")
     found = []
     for a, b in ((q.where("q_city = ''"), r), (q.where("q_city != ''"), r.where("r_city = ''"))):
@@ -197,15 +216,6 @@ def _major_pairs(q: DataFrame, records: DataFrame) -> DataFrame:
     return met.where(CITY_WEIGHT + CAPITAL + STREET_LOW * F.col("similarity") + F.col("part") + index >= LEAST_SCORE - 1e-6).select("row_id", "record_id")
 
 
-def houses_of(e: Ex) -> Ex:
-    """House keys of a comma list; a trailing comma gives an empty one, which is part of any house."""
-    return Ex(HOUSES.replace("buildings", e.spark), f"list_transform(string_split({e.check}, ','), lambda x: regexp_replace(translate(upper(x), '- ', ''), '^\\s+|\\s+$', '', 'g'))")
-
-
-def bases_of(e: Ex) -> Ex:
-    return Ex(f"transform(split({e.spark}, ',', -1), x -> {X.building_base(Ex('x')).spark})", f"list_transform(string_split({e.check}, ','), lambda x: {X.building_base(Ex('x')).check})")
-
-
 def _any(xs: Ex, spark: str, check: str) -> Ex:
     return Ex(f"exists({xs.spark}, h -> {spark})", f"len(list_filter({xs.check}, lambda h: {check})) > 0")
 
@@ -216,10 +226,10 @@ def score_stages() -> list[dict[str, Ex]]:
     one = S.token_similarity(Ex("o"), name("r_street"))
     best = Ex(f"array_max(transform(`q_options`, o -> {one.spark}))", f'list_max(list_transform("q_options", lambda o: {one.check}))')
     raw = case(((name("q_street") != "") & (name("r_street") != ""), best), default=0.0)
-    keys = houses_of(name("buildings"))
-    asked = (name("q_house") != "") & (name("buildings") != "")
+    keys = name("r_houses")
+    asked = (name("q_house") != "") & name("r_built")
     same = Ex(f"array_contains({keys.spark}, `q_house`)", f'list_contains({keys.check}, "q_house")')
-    base = (name("q_base") != "") & Ex(f"array_contains({bases_of(name('buildings')).spark}, `q_base`)", f"list_contains({bases_of(name('buildings')).check}, \"q_base\")")
+    base = (name("q_base") != "") & has(name("r_bases"), name("q_base"))
     part = _any(keys, "contains(`q_house`, h) OR contains(h, `q_house`)", 'contains("q_house", h) OR contains(h, "q_house")')
     major = "('" + "', '".join(MAJOR_CITIES) + "')"
     both_major = Ex(f"(`q_city` IN {major} AND `r_city` IN {major})", f'("q_city" IN {major} AND "r_city" IN {major})')
@@ -259,10 +269,16 @@ def scored_pairs(requests: DataFrame, records: DataFrame) -> DataFrame:
     Requests without a city, street or house meet nothing through that part; rows with NULLs count as ''.
     """
     cities = checkpointed(city_pairs(requests, records))
-    pairs = candidates(requests, records, cities)
-    df = pairs.join(requests, "row_id").join(records, "record_id").join(cities, ["q_city", "r_city"], "left")
+    q = requests.select("row_id", *[c for c in _KEPT if c.startswith("q_") and c != "q_box"], "q_options")
+    r = records.select("record_id", "r_city", "r_street", "r_kind", "r_region", "r_built", "r_houses", "r_bases", "r_index", "r_post", "r_raw", "r_key")
+    pairs = candidates(q, records, cities)
+    df = pairs.join(q, "row_id").join(r, "record_id").join(cities, ["q_city", "r_city"], "left")
     df = df.where("city_sim IS NOT NULL OR q_city = '' OR r_city = ''").withColumn("city_sim", F.coalesce("city_sim", F.lit(0.0)))
-    df = df.where(BLOCK).where(region_fits().col).withColumn("strategy", F.expr(STRATEGY))
+    # Read three times: for its distinct regions, its distinct streets, and to be scored.
+    df = checkpointed(df.where(BLOCK).withColumn("strategy", F.expr(STRATEGY)).drop("q_post", "r_post"))
+    # Distinct first: pushed below, the filter would judge every pair.
+    regions = checkpointed(df.select("q_region", "r_region").distinct()).where(region_fits().col)
+    df = df.join(regions, ["q_region", "r_region"])
     stages = score_stages()[1:]
     streets = df.select("q_options", "r_street").distinct().select("*", F.explode_outer("q_options").alias("q_street"))
     streets = streets.select("q_options", "r_street", F.when((F.col("q_street") != "") & (F.col("r_street") != ""), token_similarity_column("q_street", "r_street")).otherwise(0.0).alias("s"))

@@ -77,6 +77,6 @@ def token_similarity_column(a: str, b: str) -> Column:
     """Column of token_similarity. Marked as not repeatable, so that a filter on it doesn't compute it twice."""
 
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(token_similarity(x.tolist(), y.tolist()))
+        return pd.Series(token_similarity(x.fillna("").tolist(), y.fillna("").tolist()))
 
     return F.pandas_udf(run, T.DoubleType()).asNondeterministic()(a, b)

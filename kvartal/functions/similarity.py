@@ -75,6 +75,14 @@ def token_similarity(a: Ex, b: Ex) -> Ex:
     return let(sorted_tokens(a), lambda x: let(sorted_tokens(b), lambda y: scored(x, y), "tb"), "ta")
 
 
+def letter_set(c: str) -> str:
+    """Spark SQL: which letters a column has (bits 0 to 31) and which at least twice (32 to 63). Letters that share a bit only
+    hide a difference, so bits of one set that another lacks never count too many."""
+    bits = "aggregate({0}, 0L, (a, x) -> a | shiftleft(1L, {1} + pmod(ascii(x), 32)))"
+    twice = f"filter(array_distinct(split({c}, '')), x -> length({c}) - length(replace({c}, x, '')) >= 2)"
+    return bits.format(f"split({c}, '')", 0) + " | " + bits.format(twice, 32)
+
+
 def consonant_similarity(a: Ex, b: Ex) -> Ex:
 
     def scored(x: Ex, y: Ex) -> Ex:
@@ -84,4 +92,4 @@ def consonant_similarity(a: Ex, b: Ex) -> Ex:
     return let(consonants(a), lambda x: let(consonants(b), lambda y: scored(x, y), "cb"), "ca")
 
 
-__all__ = ["consonant_similarity", "jaro", "jaro_winkler", "levenshtein_similarity", "sorted_tokens", "token_similarity"]
+__all__ = ["consonant_similarity", "jaro", "jaro_winkler", "letter_set", "levenshtein_similarity", "sorted_tokens", "token_similarity"]

@@ -121,11 +121,6 @@ def prepared_directory(magistral: DataFrame, key: str = "record_id") -> DataFram
     return magistral.select(key, *[e.col.alias(n) for n, e in record_stage().items()])
 
 
-#: Which letters of a name there are (bits 0 to 31) and which at least twice (32 to 63).
-_BAG = """aggregate(split({0}, ''), 0L, (a, x) -> a | shiftleft(1L, pmod(ascii(x), 32)))
-    | aggregate(filter(array_distinct(split({0}, '')), x -> length({0}) - length(replace({0}, x, '')) >= 2), 0L, (a, x) -> a | shiftleft(1L, 32 + pmod(ascii(x), 32)))"""
-
-
 def _alike(a: str, b: str, least: float) -> Column:
     """Whether two keys can reach a Jaro-Winkler of least at all: lossless.
 
@@ -147,21 +142,43 @@ def similar_names(left: DataFrame, right: DataFrame, on: list[str], a: str, b: s
 
     def bagged(df: DataFrame, c: str, to: str) -> DataFrame:
         own = df.select(*on, c).where(F.col(c) != "").distinct().select(*on, c, F.inline(F.array(F.struct(S.sorted_tokens(name(c)).col.alias(to)))))
-        return own.withColumn(f"{to}_bag", F.expr(_BAG.format(to)))
+        return own.withColumn(f"{to}_bag", F.expr(S.letter_set(to)))
 
     pairs = bagged(left, a, "_a").join(bagged(right, b, "_b"), on).where(_alike("_a", "_b", least)).select(*on, a, b)
     pairs = pairs.select("*", token_similarity_column(a, b).alias("similarity"))
     return pairs.where(F.col("similarity") >= least)
 
 
-def city_pairs(requests: DataFrame, records: DataFrame) -> DataFrame:
-    """q_city, r_city, city_sim: similar names that share their first two letters, a region or an index."""
-    q = requests.select("q_city", F.substring("q_city", 1, 2).alias("prefix"), F.col("q_region").alias("region"), F.col("q_post").alias("post"))
-    r = records.select("r_city", F.substring("r_city", 1, 2).alias("prefix"), F.col("r_region").alias("region"), F.col("r_post").alias("post"))
-    found = [similar_names(q.where(f"{on} != ''"), r, [on], "q_city", "r_city", CITY_LEAST).select("q_city", "r_city", "similarity") for on in ("prefix", "region", "post")]
-    return found[0].union(found[1]).union(found[2]).groupBy("q_city", "r_city").agg(F.max("similarity").alias("city_sim"))
+def letters(c: str, least: float) -> Column:
+    """Blocks of a name: two names with a Jaro-Winkler of least share one.
+
+    With an equal first letter they share that. Without, Jaro itself must reach least: with m common letters
+    m/n + m/k >= 3 * least - 1, and m <= k, so m is at least 3 * least - 2 of the longer length. Of two sets of
+    letters (equal ones numbered) in one order that share m, the first n - m + 1 of one and of the other have
+    one in common. The order begins with the late letters of the alphabet, which are rarer.
+    """
+    each = F.split(c, "")
+    marked = F.array_sort(F.transform(each, lambda x, i: F.concat(x, F.size(F.filter(F.slice(each, F.lit(1), i + 1), lambda y: y == x)).cast("string"))))
+    n = F.length(c)
+    first = F.slice(F.reverse(marked), F.lit(1), F.greatest(n - F.ceil(n * F.lit(3 * least - 2) - 1e-9).cast("int") + 1, F.lit(1)))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("^"), F.substring(c, 1, 1))), first))
 
 
+def similar_everywhere(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """a, b, similarity: all pairs of distinct names that are similar enough, met in blocks of letters. Names of single
+    letters only are compared as they stand, so every name has the blocks of that too."""
+
+    def blocked(df: DataFrame, c: str) -> DataFrame:
+        own = df.select(c).where(F.col(c) != "").distinct().select(c, F.inline(F.array(F.struct(F.lower(c).alias("_raw"), S.sorted_tokens(name(c)).col.alias("_key")))))
+        tokens = F.when(F.col("_key") != "", letters("_key", least)).otherwise(F.array().cast("array<string>"))
+        return own.select(c, F.explode(F.concat(tokens, F.transform(letters("_raw", least), lambda x: F.concat(F.lit("."), x)))).alias("block"))
+
+    return similar_names(blocked(left, a), blocked(right, b), ["block"], a, b, least).groupBy(a, b).agg(F.max("similarity").alias("similarity"))
+
+
+def city_pairs(requests: DataFrame, records: DataFrame) -> DataFrame:
+    """q_city, r_city, city_sim: similar names, in whatever block their rows meet."""
+    return similar_everywhere(requests, records, "q_city", "r_city", CITY_LEAST).withColumnRenamed("similarity", "city_sim")
 
 
 def candidates(requests: DataFrame, records: DataFrame, cities: DataFrame) -> DataFrame:

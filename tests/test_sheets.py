@@ -123,9 +123,16 @@ def test_similar_names_lose_none(spark):
     scores = dict(zip(pairs, batch.jaro([a for a, _ in pairs], [b for _, b in pairs])))
     wink = {k: j if j < 0.7 else j + 0.1 * (1 - j) * len(os.path.commonprefix([k[0][:4], k[1][:4]])) for k, j in scores.items()}
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    blocked = df.select("n", F.explode(K.letters("n")).alias("block"))
-    met = {(r.a, r.b) for r in blocked.withColumnRenamed("n", "a").join(blocked.withColumnRenamed("n", "b"), "block").select("a", "b").collect()}
-    assert all(k in met for k, v in wink.items() if v >= K.CITY_LEAST)
+    for least in (0.8, 0.9):
+        blocked = df.select("n", F.explode(L.letters("n", least)).alias("block"))
+        met = {(r.a, r.b) for r in blocked.withColumnRenamed("n", "a").join(blocked.withColumnRenamed("n", "b"), "block").select("a", "b").collect()}
+        assert all(k in met for k, v in wink.items() if v >= least)
+        some = df.union(spark.createDataFrame([("а б",), ("аб в",), ("а",)], "n string"))
+        got = {(r.a, r.b): r.similarity for r in L.similar_everywhere(some.withColumnRenamed("n", "a"), some.withColumnRenamed("n", "b"), "a", "b", least).collect()}
+        every = [r.n for r in some.distinct().collect()]
+        pairs = [(a, b) for a in every for b in every]
+        want = {k: v for k, v in zip(pairs, batch.token_similarity([a for a, _ in pairs], [b for _, b in pairs])) if v >= least}
+        assert got.keys() == want.keys()
     words = [n for n in names if len(n) > 1]
     for least in (0.72, 0.85, 0.9):
         own = spark.createDataFrame([("x", n) for n in words], "k string, n string")

@@ -61,8 +61,14 @@ class Fact(NamedTuple):
 
 
 FACT = "id string, region string, population bigint, kind string, region_key string, district_key string"
-PLACED = "_city string, _options array<struct<" + ", ".join(x.replace(" ", ": ") for x in FACT.split(", ")) + ">>"
-_FACTS = pa.list_(pa.struct([("id", pa.string()), ("region", pa.string()), ("population", pa.int64()), ("kind", pa.string()), ("region_key", pa.string()), ("district_key", pa.string())]))
+#: Open options travel as one string, NULL for nearly all rows: id, region, population of each.
+PLACED = "_city string, _options string"
+_FIELD, _ENTRY = "\x1f", "\x1e"
+_FACT_TYPE = pa.struct([("id", pa.string()), ("region", pa.string()), ("population", pa.int64()), ("kind", pa.string()), ("region_key", pa.string()), ("district_key", pa.string())])
+
+
+def packed(options: Iterable[Fact]) -> str:
+    return _ENTRY.join(_FIELD.join((o.id, o.region, str(o.population))) for o in options)
 
 
 def fact(id_: str, kind: str | None, region: str | None, district: str | None, population: int | None) -> Fact:
@@ -165,7 +171,7 @@ def place_batch(p: Cells, cells: pa.Array, hints: pa.Array) -> tuple[pa.Array, p
         at = at.astype(np.int64)
         at[many] = len(names) + back
     at = pa.array(at)
-    return pa.array(city, pa.string()).take(at), pa.array([None if o is None else [f._asdict() for f in o] for o in options], _FACTS).take(at)
+    return pa.array(city, pa.string()).take(at), pa.array([None if o is None else packed(o) for o in options], pa.string()).take(at)
 
 
 def place(rows: DataFrame, places: list[tuple], keep: list[str], cell: str, hints: list[str]) -> DataFrame:
@@ -225,10 +231,10 @@ def settle(placed: DataFrame, cities: DataFrame, indexes: list[str]) -> DataFram
     left = left.join(F.broadcast(index_cities(counts).withColumnRenamed("_index", "_i")), "_i", "left").join(F.broadcast(by_prefix), "_prefix", "left")
     ranked = F.array_max(
         F.transform(
-            "_options",
+            F.transform(F.split("_options", _ENTRY), lambda x: F.split(x, _FIELD)),
             lambda o: F.struct(
-                (o["id"] == F.coalesce(F.col("_by_index"), F.lit(""))).cast("int").alias("a"), (o["region"] == F.coalesce(F.col("_prefix_region"), F.lit("?"))).cast("int").alias("b"),
-                o["population"].alias("c"), F.coalesce(-o["id"].try_cast("long"), F.lit(0)).alias("d"), o["id"].alias("id"),
+                (o[0] == F.coalesce(F.col("_by_index"), F.lit(""))).cast("int").alias("a"), (o[1] == F.coalesce(F.col("_prefix_region"), F.lit("?"))).cast("int").alias("b"),
+                o[2].cast("long").alias("c"), F.coalesce(-o[0].try_cast("long"), F.lit(0)).alias("d"), o[0].alias("id"),
             ),
         )
     )
@@ -275,7 +281,7 @@ def sharded_facts(keys: DataFrame, cities: DataFrame, shard: int = SHARD) -> Dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [(key, fact(r[0], *r[3:])._asdict()) for r in zip(*[c.to_pylist() for c in b.columns]) for key in sorted(entry_keys(r[1], r[2]))]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([f for _, f in out], _FACTS.value_type)], names=["entry", "fact"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([f for _, f in out], _FACT_TYPE)], names=["entry", "fact"])
 
     entries = checkpointed(_entries(cities).mapInArrow(read, schema))
     hits = match_to_reference(keys, "key", entries, "entry", RADIUS, shard, nearest=False).where("entry IS NOT NULL")

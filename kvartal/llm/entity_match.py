@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kvartal.functions.similarity import letter_set
 from kvartal.llm.bktree import typing_errors as count_errors
 from kvartal.llm.canonical import MAX_BROADCAST, PLACED, SHARD, Places, coded, collect_places, place_batch, place_sharded, settle
 from kvartal.llm.names import StreetName, parse_street, split_former
@@ -43,6 +44,8 @@ MOST_ERRORS = 3
 SHORT = 6
 #: Messages are passed until none changes by more than TOLERANCE; ROUNDS is only a guard, and warns.
 DAMPING, ROUNDS, TOLERANCE = 0.3, 200, 1e-3
+#: Rounds between two tables that cut the lineage.
+ROUNDS_A_TABLE = 4
 #: Levels of the comparison. main: same; one error in seven letters or more; in fewer; two or three errors; errors, though the word
 #: is itself a listed name; not compared. given: same, initial, none on either side, one missing, another. kind: same, none written,
 #: one unwritten, another. former: current, former name. added: the former name that the cell adds is the
@@ -201,23 +204,18 @@ def _kind_agrees(a: Column, b: Column) -> Column:
     return (a == "") | (b == "") | (a == b)
 
 
-#: Which letters a word has (bits 0 to 31) and which at least twice (32 to 63); equal bits of different letters only hide a difference.
-_BAG = """aggregate(split(main, ''), 0L, (a, x) -> a | shiftleft(1L, pmod(ascii(x), 32)))
-    | aggregate(filter(array_distinct(split(main, '')), x -> length(main) - length(replace(main, x, '')) >= 2), 0L, (a, x) -> a | shiftleft(1L, 32 + pmod(ascii(x), 32)))"""
-
-
 def near_words(said: DataFrame, known: DataFrame, sound=lambda word: word) -> DataFrame:
     """city, ord, main, s_main, typo: said words and the other known words of their city and ordinal within the
     typing errors that candidate_pairs admits. said, known: city, ord, main. sound maps words letter by
     letter before they are marked, which only brings more of them together."""
     both = said.select("city", "ord", "main", F.lit(True).alias("said")).unionByName(known.select("city", "ord", "main", F.lit(False).alias("said"))).where(F.length("main") >= 4)
     both = both.groupBy("city", "ord", "main").agg(F.bool_or("said").alias("said"), F.bool_or(~F.col("said")).alias("known"))
-    words = checkpointed(both.withColumn("key", sound(F.col("main"))).withColumn("bag", F.expr(_BAG)).withColumn("id", F.monotonically_increasing_id()))
+    words = checkpointed(both.withColumn("key", sound(F.col("main"))).withColumn("bag", F.expr(letter_set("main"))).withColumn("id", F.monotonically_increasing_id()))
 
     def signed(which: str, marks: Column, tag: str) -> DataFrame:
         return words.where(which).select(*[F.col(c).alias(tag + c) for c in ("id", "main", "bag")], F.explode(F.transform(marks, lambda w: F.xxhash64("city", "ord", w))).alias("sign"))
 
-    met = signed("said", mention_marks(F.col("key")), "m_").join(signed("known", name_marks(F.col("key")), "s_"), "sign").where("m_id != s_id")
+    met = signed("said", mention_marks(F.col("key")), "m_").join(signed("known", name_marks(F.col("key")), "s_").hint("shuffle_hash"), "sign").where("m_id != s_id")
     size = F.least(F.length("m_main"), F.length("s_main"))
     most = F.when(size <= SHORT, 1).when(size <= 8, 2).otherwise(MOST_ERRORS)
     # Each error but a swap changes a letter that the words have, and no more; a swap counts 2 in Levenshtein's metric.
@@ -319,20 +317,22 @@ def marginals(odds: DataFrame) -> DataFrame:
     alone = (F.col("n_m") == 1) & (F.col("rivals") == 0)
     lone = ranked.where(alone).select(*key, (F.col("odds") / (1 + F.col("odds"))).alias("probability"), "n_m")
     graph = checkpointed(ranked.where(~alone)).withColumn("a", F.lit(1.0)).withColumn("b", F.lit(1.0))
-    change = 0.0
-    for _ in range(ROUNDS):
-        # A sum over the group less the own term: the message to a pair leaves out what came from it.
-        sent = graph.withColumn("b_new", F.when(F.col("rivals") == 0, 1.0).otherwise(1 / (1 + F.greatest(F.lit(0.0), F.sum(F.col("odds") * F.col("a")).over(w_s) - F.col("odds") * F.col("a")))))
-        sent = sent.withColumn("b_new", (1 - DAMPING) * F.col("b_new") + DAMPING * F.col("b"))
-        sent = sent.withColumn("a_new", 1 / (1 + F.greatest(F.lit(0.0), F.sum(F.col("odds") * F.col("b_new")).over(w_m) - F.col("odds") * F.col("b_new"))))
-        sent = sent.withColumn("a_new", (1 - DAMPING) * F.col("a_new") + DAMPING * F.col("a"))
-        sent = checkpointed(sent.withColumn("change", F.abs(F.col("a_new") - F.col("a")) + F.abs(F.col("b_new") - F.col("b"))))
-        change = sent.agg(F.max("change")).first()[0] or 0.0
-        graph = sent.select(*key, "form", "odds", "n_m", "rivals", F.col("a_new").alias("a"), F.col("b_new").alias("b"))
-        if change < TOLERANCE:
+    last = 0.0
+    for _ in range(ROUNDS // ROUNDS_A_TABLE):
+        for _ in range(ROUNDS_A_TABLE):
+            # A sum over the group less the own term: the message to a pair leaves out what came from it.
+            sent = graph.withColumn("b_new", F.when(F.col("rivals") == 0, 1.0).otherwise(1 / (1 + F.greatest(F.lit(0.0), F.sum(F.col("odds") * F.col("a")).over(w_s) - F.col("odds") * F.col("a")))))
+            sent = sent.withColumn("b_new", (1 - DAMPING) * F.col("b_new") + DAMPING * F.col("b"))
+            sent = sent.withColumn("a_new", 1 / (1 + F.greatest(F.lit(0.0), F.sum(F.col("odds") * F.col("b_new")).over(w_m) - F.col("odds") * F.col("b_new"))))
+            sent = sent.withColumn("a_new", (1 - DAMPING) * F.col("a_new") + DAMPING * F.col("a"))
+            change = F.abs(F.col("a_new") - F.col("a")) + F.abs(F.col("b_new") - F.col("b"))
+            graph = sent.select(*key, "form", "odds", "n_m", "rivals", F.col("a_new").alias("a"), F.col("b_new").alias("b"), change.alias("change"))
+        graph = checkpointed(graph)
+        last = graph.agg(F.max("change")).first()[0] or 0.0
+        if last < TOLERANCE:
             break
     else:
-        warnings.warn(f"messages still change by {change:.3g} after {ROUNDS} rounds", stacklevel=2)
+        warnings.warn(f"messages still change by {last:.3g} after {ROUNDS} rounds", stacklevel=2)
     belief = F.col("odds") * F.col("a") * F.col("b")
     return lone.unionByName(graph.select(*key, (belief / (1 + belief)).alias("probability"), "n_m"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvartal.llm.canonical import _FACTS, MAX_BROADCAST, PLACED, SHARD, Cells, Fact, Places, clean_index, collect_places, index_cities, index_counts, settle, sharded_facts
+from kvartal.llm.canonical import MAX_BROADCAST, PLACED, SHARD, Cells, Fact, Places, clean_index, collect_places, index_cities, index_counts, packed, settle, sharded_facts
 from kvartal.llm.entity_match import MOST_ERRORS, _reading, identified, match_mentions, mentions_of, near_words, parts_of, street_names
 from kvartal.llm.names import _CITY_KIND, _FLAT, _GLUED, _STREET_KIND, HOUSE, Memo, StreetName, _house, parse_street, split_former, word_key, words
 from kvartal.llm.weights import estimate
@@ -212,9 +212,9 @@ def read_rows(rows: DataFrame, cities: DataFrame, key: str = "row_id", bound: in
             if not a.reading or not a.house or (a.named and not a.options):
                 continue
             at = a.options
-            out.append((k, (at[0].id if len(at) == 1 else None) if at else "", [f._asdict() for f in at] if len(at) > 1 else None, a.index or index, old if index else (old or a.index), a.reading, a.house))
+            out.append((k, (at[0].id if len(at) == 1 else None) if at else "", packed(at) if len(at) > 1 else None, a.index or index, old if index else (old or a.index), a.reading, a.house))
         text = pa.string()
-        arrays = [pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 7, (pa.int64(), text, _FACTS, text, text, text, text))]
+        arrays = [pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 7, (pa.int64(), *[text] * 6))]
         return pa.RecordBatch.from_arrays(arrays, names=["_key", "_city", "_options", "_index", "_old_index", "_reading", "house"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

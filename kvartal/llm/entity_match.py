@@ -117,7 +117,8 @@ def street_names(streets: DataFrame, cities: DataFrame) -> DataFrame:
 def read_mentions(records: DataFrame, cities: DataFrame, key: str, city: str, street: str, hints: list[str], index: str, bound: int = MAX_BROADCAST, shard: int = SHARD) -> DataFrame:
     """_key, _city, _reading (see parts_of) of the rows whose cells name a listed city and a street."""
     places = collect_places(cities, bound)
-    own = records.where(F.col(city).rlike(r"(?U)\S") & F.col(street).rlike(r"(?U)\S"))
+    # Blank cells read as no city and no street and fall out at the end.
+    own = records.where(F.col(city).isNotNull() & F.col(street).isNotNull())
     own = own.select(F.col(key).alias("_key"), F.col(index).alias("_index"), F.col(city).alias("_cell"), F.concat_ws(" ", *hints).alias("_hints"), F.col(street).alias("_street"))
     schema = f"_key {own.schema['_key'].dataType.simpleString()}, _index {own.schema['_index'].dataType.simpleString()}, "
 

@@ -165,20 +165,28 @@ def letters(c: str, least: float) -> Column:
 
 
 def similar_everywhere(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
-    """a, b, similarity: all pairs of distinct names that are similar enough, met in blocks of letters. Names of single
-    letters only are compared as they stand, so every name has the blocks of that too."""
-
-    def blocked(df: DataFrame, c: str) -> DataFrame:
-        own = df.select(c).where(F.col(c) != "").distinct().select(c, F.inline(F.array(F.struct(F.lower(c).alias("_raw"), S.sorted_tokens(name(c)).col.alias("_key")))))
-        tokens = F.when(F.col("_key") != "", letters("_key", least)).otherwise(F.array().cast("array<string>"))
-        return own.select(c, F.explode(F.concat(tokens, F.transform(letters("_raw", least), lambda x: F.concat(F.lit("."), x)))).alias("block"))
-
-    return similar_names(blocked(left, a), blocked(right, b), ["block"], a, b, least).groupBy(a, b).agg(F.max("similarity").alias("similarity"))
+    """a, b, similarity: all pairs of distinct names that are similar enough, met in blocks of letters. A name of single
+    letters only is compared with all as it stands; such names are few."""
+
+    def keyed(df: DataFrame, c: str) -> DataFrame:
+        return df.select(c).where(F.col(c) != "").distinct().select(c, F.inline(F.array(F.struct(F.lower(c).alias("_raw"), S.sorted_tokens(name(c)).col.alias("_key")))))
+
+    blocked = lambda df, c, by: df.select(c, F.explode(letters(by, least)).alias("block"))
+    x, y = keyed(left, a), keyed(right, b)
+    found = [
+        similar_names(blocked(x.where("_key != ''"), a, "_key"), blocked(y.where("_key != ''"), b, "_key"), ["block"], a, b, least),
+        similar_names(blocked(x.where("_key = ''"), a, "_raw"), blocked(y, b, "_raw"), ["block"], a, b, least),
+        similar_names(blocked(x, a, "_raw"), blocked(y.where("_key = ''"), b, "_raw"), ["block"], a, b, least),
+    ]
+    return found[0].union(found[1]).union(found[2]).groupBy(a, b).agg(F.max("similarity").alias("similarity"))
 
 
 def city_pairs(requests: DataFrame, records: DataFrame) -> DataFrame:
-    """q_city, r_city, city_sim: similar names, in whatever block their rows meet."""
-    return similar_everywhere(requests, records, "q_city", "r_city", CITY_LEAST).withColumnRenamed("similarity", "city_sim")
+    """q_city, r_city, city_sim: similar names that share their first two letters, a region or an index."""
+    q = requests.select("q_city", F.substring("q_city", 1, 2).alias("prefix"), F.col("q_region").alias("region"), F.col("q_post").alias("post"))
+    r = records.select("r_city", F.substring("r_city", 1, 2).alias("prefix"), F.col("r_region").alias("region"), F.col("r_post").alias("post"))
+    found = [similar_names(q.where(f"{on} != ''"), r, [on], "q_city", "r_city", CITY_LEAST).select("q_city", "r_city", "similarity") for on in ("prefix", "region", "post")]
+    return found[0].union(found[1]).union(found[2]).groupBy("q_city", "r_city").agg(F.max("similarity").alias("city_sim"))
 
 
 def candidates(requests: DataFrame, records: DataFrame, cities: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from kvartal.operators import directory as D
 from kvartal.operators import linkage as L
 from kvartal.operators import sheet as H
 from kvartal.sources import files as I
+from kvartal.session import checkpointed
 from kvartal.streaming import requests as R
 
 
@@ -189,3 +190,23 @@ def test_tables_without_rows(spark):
     all_ = L.prepared_requests(q)
     assert {x["mode"] for x in L.resolved(all_, L.scored_pairs(all_, pr), L.general_places(r.limit(0), pr))[1].collect()} == {"none"}
     assert D.autocomplete(r.limit(0), "city").count() == 0 and D.least_index(r.limit(0)).count() == 0
+
+
+def test_index_alone_is_no_candidate(spark):
+    """Rows that share no more than city and index are no candidates, and no pair that scores is lost by that."""
+    duckdb = pytest.importorskip("duckdb")
+    from kvartal.plans import matching as M
+
+    streets = ("вул. Шевченка", "пров. Шевчука", "Шептицького", "вул. Лісова", "площа Зелена", "")
+    asks = [(i, city, s, b, x) for i, (city, s, b, x) in enumerate((c, s, b, x) for c in ("Тернопіль", "Тернопіл", "Львів") for s in streets for b in ("5А", "12", "7/9", "") for x in ("46001", ""))]
+    held = [(i, city, s, b, "46001") for i, (city, s, b) in enumerate((c, s, b) for c in ("м. Тернопіль", "Львів") for s in ("вул. Шевчика", "пров. Сонячний", "Шептицька", "") for b in ("5, 7", "15а,", "112, 3", "40", ""))]
+    addresses = spark.createDataFrame([(*a, "", "") for a in asks], "row_id long, city string, street string, building string, index string, region string, district string")
+    magistral = spark.createDataFrame([(*h, "", "", "") for h in held], "record_id long, city string, street string, buildings string, city_index string, region string, old_district string, new_district string")
+    q, r = (checkpointed(x) for x in (L.prepared_requests(addresses), L.prepared_directory(magistral)))
+    con = duckdb.connect()
+    for name, df in (("addresses", addresses.toPandas()), ("magistral", magistral.toPandas())):
+        con.register(name, df)
+    want = {(a, b) for a, b, *_ in con.execute(M.SQL["scored_pairs"]).fetchall()}
+    met = {(x.row_id, x.record_id) for x in L.candidates(q, r, checkpointed(L.city_pairs(q, r))).collect()}
+    alone = [(a[0], h[0]) for a in asks for h in held if a[1] == "Тернопіль" and h[1] == "м. Тернопіль" and a[2] == "вул. Лісова" and (a[3] == "" or h[3] in ("40", ""))]
+    assert want <= met and len(want) > 100 and alone and not met & {*alone}

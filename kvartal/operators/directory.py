@@ -171,10 +171,13 @@ def manual_choices(asked: DataFrame, directory: DataFrame) -> DataFrame:
     district = F.coalesce(F.when(F.col("new_district") != "", F.col("new_district")), F.col("old_district"), F.lit(""))
     d = directory.where("city != ''").select(F.lower("city").alias("k"), F.lower(district).alias("d"), form_street("street").alias("s"), F.when(F.col("city_index") != "", F.col("city_index")).alias("i")).distinct()
     a = asked.select("ask_id", F.lower("city").alias("k"), F.lower(F.coalesce("district", F.lit(""))).alias("q_d"), F.lower(F.coalesce("street", F.lit(""))).alias("q_s"))
-    met = a.join(d, "k", "left").where("k IS NULL OR d IS NULL OR contains(d, q_d)")
-    same = (F.col("q_s") != "") & (F.col("s") == F.col("q_s"))
-    per = met.groupBy("ask_id").agg(F.countDistinct(F.when(same, F.col("i"))).alias("choices"), F.min(F.when(same, F.col("i"))).alias("own"), F.min("i").alias("least"))
-    return asked.select("ask_id").join(per, "ask_id", "left").select("ask_id", F.coalesce("choices", F.lit(0)).alias("choices"), F.coalesce("own", "least", F.lit("00000")).alias("index"))
+    # Rows of the directory meet distinct questions: districts those of the city, streets only the very street.
+    inside = F.contains("d", "q_d") & F.col("i").isNotNull()
+    least = a.select("k", "q_d").distinct().join(d.groupBy("k", "d").agg(F.min("i").alias("i")), "k").where(inside).groupBy("k", "q_d").agg(F.min("i").alias("least"))
+    own = a.where("q_s != ''").select("k", "q_d", "q_s").distinct().join(d.withColumnRenamed("s", "q_s"), ["k", "q_s"]).where(inside)
+    own = own.groupBy("k", "q_d", "q_s", "i").agg(F.count("*").alias("n")).groupBy("k", "q_d", "q_s").agg(F.count("*").alias("choices"), F.min("i").alias("own"))
+    out = a.join(own, ["k", "q_d", "q_s"], "left").join(least, ["k", "q_d"], "left")
+    return out.select("ask_id", F.coalesce("choices", F.lit(0)).cast("bigint").alias("choices"), F.coalesce("own", "least", F.lit("00000")).alias("index"))
 
 
 def directory_statistics(records: DataFrame) -> DataFrame:

@@ -210,3 +210,31 @@ def test_index_alone_is_no_candidate(spark):
     met = {(x.row_id, x.record_id) for x in L.candidates(q, r, checkpointed(L.city_pairs(q, r))).collect()}
     alone = [(a[0], h[0]) for a in asks for h in held if a[1] == "Тернопіль" and h[1] == "м. Тернопіль" and a[2] == "вул. Лісова" and (a[3] == "" or h[3] in ("40", ""))]
     assert want <= met and len(want) > 100 and alone and not met & {*alone}
+
+
+def test_manual_form_meets_no_whole_city(spark):
+    """Many questions and many streets of one city: the rows that meet grow with either, not with their product."""
+    n = 300
+    asked = spark.createDataFrame([(i, "МІСТО" if i % 2 else "Місто", None if i % 3 else "Рай", f"вулиця{i}") for i in range(n)] + [(n, None, "", "вулиця1"), (n + 1, "Село", "", "вулиця1"), (n + 2, "Місто", "Ні", "вулиця1")], "ask_id long, city string, district string, street string")
+    held = [("Місто", "Район" if j % 2 else "", "Старий", f"вулиця{j}", f"{10000 + j}" if j % 5 else "") for j in range(n)] + [("місто", "", "", "вулиця2", "09999"), ("місто", "", "", None, "08888")]
+    directory = spark.createDataFrame(held, "city string, new_district string, old_district string, street string, city_index string")
+    out = D.manual_choices(asked, directory)
+    want = {}
+    for i, city, part, street in ((r.ask_id, r.city, r.district, r.street) for r in asked.collect()):
+        rows = [(s, x or None) for c, new, old, s, x in held if city and c.lower() == city.lower() and (part or "").lower() in (new or old).lower()]
+        own, all_ = {x for s, x in rows if s == street and x}, [x for _, x in rows if x]
+        want[i] = (len(own), min(own) if own else min(all_, default="00000"))
+    assert {r.ask_id: (r.choices, r["index"]) for r in out.collect()} == want
+
+    def rows(plan):
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return rows(plan.executedPlan())
+        if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            return rows(plan.plan())
+        kids = plan.children()
+        own = plan.metrics().get("numOutputRows").get().value() if "Join" in plan.nodeName() else 0
+        return max([own, *(rows(kids.apply(k)) for k in range(kids.size()))])
+
+    df = out._jdf
+    df.collectToPython()
+    assert rows(df.queryExecution().executedPlan()) < 3 * n

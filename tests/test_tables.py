@@ -238,3 +238,14 @@ def test_manual_form_meets_no_whole_city(spark):
     df = out._jdf
     df.collectToPython()
     assert rows(df.queryExecution().executedPlan()) < 3 * n
+
+
+def test_rows_under_an_index_that_cannot_score(spark):
+    """Classifier rows under the index of a request: only those of its city with a similar street or something of the house."""
+    from kvartal.operators import classifier as K
+
+    asked = spark.createDataFrame([(1, "46001", "тернопіль", "5А", "5", "street", ["шевченка"]), (2, "46001", "тернопіль", "", "", "", ["лісова"]), (3, "46001", "", "5А", "5", "", ["шевченка"]), (4, "79001", "львів", "", "", "", ["шевченка"])], "row_id long, q_raw string, q_city string, q_house string, q_base string, q_kind string, q_options array<string>")
+    code = [(1, "46001", "тернопіль", "шевчено", "street", "40"), (2, "46001", "тернопіль", "зелена", "", "5, 7"), (3, "46001", "тернопіль", "зелена", "", "40"), (4, "46001", "чортків", "шевченка", "street", "5А"), (5, "46001", "тернопіль", "зелена", "lane", "15А"), (6, "46001", "тернопіль", "зелена", "lane", "5А"), (7, "79001", "львів", "зелена", "", ""), (8, "79002", "львів", "шевченка", "", "")]
+    code = spark.createDataFrame(code, "code_id long, q_raw string, r_city string, r_street string, r_kind string, house_number string")
+    got = {(r.row_id, r.code_id) for r in K.code_pairs(asked, code).collect()}
+    assert got == {(1, 1), (1, 2), (1, 5), (1, 6), (3, 1), (3, 4), (4, 7)}

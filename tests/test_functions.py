@@ -92,3 +92,14 @@ def test_similarities_agree(spark):
 
 def test_literals():
     assert quoted("п'ят") == ('r"п\'ят"', "'п''ят'")
+
+
+def test_jaro_of_batches_by_bits():
+    """Words of one number's bits and longer ones, repeated words, and what a word at a time gives."""
+    words = ["а", "аб", "володимира гедебенка", "x" * 63, "x" * 64, "ab" * 32, "ba" * 32, "x" * 65, "ab" * 40, "Ґанок", "ґанок"]
+    pairs = [(a, b) for a in words for b in words] * 2
+    got, want = B.jaro([a for a, _ in pairs], [b for _, b in pairs]), [plain_jaro(a, b) for a, b in pairs]
+    assert abs(got - want).max() < 1e-12
+    short = [(a, b) for a, b in pairs if max(len(a), len(b)) <= B.BITS]
+    assert abs(B.jaro([a for a, _ in short], [b for _, b in short]) - [plain_jaro(a, b) for a, b in short]).max() < 1e-12
+    assert B.jaro_winkler(["Ґанок", "", "а"], ["ґанок", "а", ""]).tolist() == [1.0, 0.0, 0.0] and len(B.token_similarity([], [])) == 0

@@ -19,7 +19,7 @@ Rows are matched as distinct mentions, so that copies and popular streets cost n
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
 
@@ -59,7 +59,7 @@ _NAMES = "kind string, ord int, given string, main string"
 
 def _reading(now: StreetName, was: StreetName) -> str:
     """A street cell as read, in one string; no part holds the bar."""
-    return "|".join((now.kind, str(now.ord), now.given, now.main, str(was.ord), was.given, was.main))
+    return f"{now.kind}|{now.ord}|{now.given}|{now.main}|{was.ord}|{was.given}|{was.main}"
 
 
 def read_cell(cell: str) -> str:
@@ -74,9 +74,16 @@ def readings(cells: pa.Array) -> pa.Array:
     return pa.array([read_cell(c) for c in distinct], pa.string()).take(pa.array(at))
 
 
+def split_reading(reading: Column) -> Column:
+    return F.split(reading, r"\|")
+
+
 def parts_of(reading: Column) -> list[Column]:
     """kind, ord, given, main, was_ord, was_given, was_main of a reading."""
-    x = F.split(reading, r"\|")
+    return split_parts(split_reading(reading))
+
+
+def split_parts(x: Column) -> list[Column]:
     cast = {"ord": "int", "was_ord": "int"}
     return [F.get(x, F.lit(i)).cast(cast.get(n, "string")).alias(n) for i, n in enumerate(("kind", "ord", "given", "main", "was_ord", "was_given", "was_main"))]
 
@@ -139,25 +146,29 @@ def read_mentions(records: DataFrame, cities: DataFrame, key: str, city: str, st
     return settle(checkpointed(placed), cities, ["_index"]).where("_city != '' AND _reading != ''").select("_key", "_city", "_reading")
 
 
-def _less_one(tag: str, word: Column) -> Column:
-    """The strings that a word leaves without one of its letters."""
-    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.lit(tag), F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+#: Words of so many letters and more are marked alike, counted from their beginning and end.
+LONG = 13
+
 
+def _less_one(tag: int, start: int, n: int, last: int = 0) -> list[tuple[int, ...]]:
+    """The strings that n letters leave without one of them: tag, first letter (from the end if negative), letters before
+    and after the one left out, and another letter that is added (0: none)."""
+    return [(tag, start, i, n - 1 - i, last) for i in range(n)]
 
-def _marks(*parts: Column) -> Column:
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(*[F.coalesce(p, none) for p in parts]))
 
+def _begin(n: int) -> int:
+    return 3 if n in (7, 9) else 4
 
-def _begin(n: Column) -> Column:
-    return F.when((n == 7) | (n == 9), 3).otherwise(4)
 
+def _end(n: int) -> int:
+    return 4 if n <= 8 else 6
 
-def _end(n: Column) -> Column:
-    return F.when(n <= 8, 4).otherwise(6)
 
+#: Tags of marks: of the whole word, its beginning, its end.
+_WHOLE, _BEGIN, _END = range(3)
 
-def name_marks(word: Column) -> Column:
+
+def name_marks(n: int) -> list[tuple[int, ...]]:
     """Marks of a classifier name of four letters or more; it shares one with mention_marks of every word that is within the
     typing errors of candidate_pairs.
 
@@ -168,24 +179,37 @@ def name_marks(word: Column) -> Column:
     beginning and end meet, a swap across both and an error in each are still three: the beginning is also
     marked as after that swap.
     """
-    n = F.length(word)
+    if n <= SHORT:
+        return [(_WHOLE, 1, n, 0, 0), *_less_one(_WHOLE, 1, n)]
     begin, end = _begin(n), _end(n)
-    swapped = F.when((n >= 9) & (begin + end == n), _less_one("^", F.concat(F.substring(word, F.lit(1), begin - 1), F.substring(word, begin + 1, F.lit(1)))))
-    whole = F.when(n <= SHORT, _marks(F.array(F.concat(F.lit("="), word)), _less_one("=", word)))
-    parts = F.when(n > SHORT, _marks(_less_one("^", F.substring(word, F.lit(1), begin)), _less_one("$", F.substring(word, n - end + 1, end)), swapped))
-    return F.coalesce(whole, parts)
+    # Without its last letter, the swapped beginning is the other one without its own.
+    swapped = _less_one(_BEGIN, 1, begin - 1, begin + 1) if n >= 9 and begin + end == n else []
+    return _less_one(_BEGIN, 1, begin) + _less_one(_END, -end, end) + swapped
 
 
-def mention_marks(word: Column) -> Column:
+def mention_marks(n: int) -> list[tuple[int, ...]]:
     """Marks of a mentioned word of four letters or more, for each length that the name meant may have."""
-    n = F.length(word)
-    shorter = F.when(n >= 12, 3).when(n >= 9, 2).otherwise(1)
-    longer = F.when(n >= 9, MOST_ERRORS).when(n >= 7, 2).otherwise(1)
-    lengths = F.sequence(F.greatest(n - shorter, F.lit(SHORT + 1)), n + longer)
-    whole = F.when(n <= SHORT + 1, F.concat(F.array(F.concat(F.lit("="), word)), _less_one("=", word)))
-    begins = F.when(n >= SHORT, F.flatten(F.transform(F.array_distinct(F.transform(lengths, _begin)), lambda k: _less_one("^", F.substring(word, F.lit(1), k)))))
-    ends = F.when(n >= SHORT, F.flatten(F.transform(F.array_distinct(F.transform(lengths, _end)), lambda k: _less_one("$", F.substring(word, n - k + 1, k)))))
-    return _marks(whole, begins, ends)
+    shorter, longer = 3 if n >= 12 else 2 if n >= 9 else 1, MOST_ERRORS if n >= 9 else 2 if n >= 7 else 1
+    lengths = range(max(n - shorter, SHORT + 1), n + longer + 1)
+    marks = [(_WHOLE, 1, n, 0, 0), *_less_one(_WHOLE, 1, n)] if n <= SHORT + 1 else []
+    if n >= SHORT:
+        marks += [m for k in sorted({_begin(x) for x in lengths}) for m in _less_one(_BEGIN, 1, k)]
+        marks += [m for k in sorted({_end(x) for x in lengths}) for m in _less_one(_END, -k, k)]
+    return marks
+
+
+def marked(words: DataFrame, word: str, marks: Callable[[int], list[tuple[int, ...]]], keep: list[str], seed: str = "seed") -> DataFrame:
+    """keep, sign: words, once for each of their marks; sign stands for it and for seed.
+
+    The marks of each length are a constant, and rows are cut by generated code: as functions of arrays the same takes five
+    times as long.
+    """
+    of_length = ", ".join(f"array({', '.join(map(str, marks(n)))})" if n >= 4 else "array()" for n in range(LONG + 1))
+    each = words.select(*keep, seed, word, F.explode(F.get(F.expr(f"array({of_length})"), F.least(F.length(word), F.lit(LONG)))).alias("_at"))
+    tag, start, before, after, last = (F.col(f"_at.col{i}") for i in range(1, 6))
+    w = F.col(word)
+    text = F.concat(F.substring(w, start, before), F.substring(w, start + before + 1, after), F.substring(w, last, F.least(last, F.lit(1))))
+    return each.select(*keep, F.xxhash64(seed, tag, text).alias("sign"))
 
 
 def typing_errors(a: str, b: str) -> Column:
@@ -211,12 +235,13 @@ def near_words(said: DataFrame, known: DataFrame, sound=lambda word: word) -> Da
     letter before they are marked, which only brings more of them together."""
     both = said.select("city", "ord", "main", F.lit(True).alias("said")).unionByName(known.select("city", "ord", "main", F.lit(False).alias("said"))).where(F.length("main") >= 4)
     both = both.groupBy("city", "ord", "main").agg(F.bool_or("said").alias("said"), F.bool_or(~F.col("said")).alias("known"))
-    words = checkpointed(both.withColumn("key", sound(F.col("main"))).withColumn("bag", F.expr(letter_set("main"))).withColumn("id", F.monotonically_increasing_id()))
+    words = checkpointed(both.withColumn("bag", F.expr(letter_set("main"))).withColumn("id", F.monotonically_increasing_id()))
 
-    def signed(which: str, marks: Column, tag: str) -> DataFrame:
-        return words.where(which).select(*[F.col(c).alias(tag + c) for c in ("id", "main", "bag")], F.explode(F.transform(marks, lambda w: F.xxhash64("city", "ord", w))).alias("sign"))
+    def signed(which: str, marks: Callable[[int], list[tuple[int, ...]]], tag: str) -> DataFrame:
+        own = [f"{tag}{c}" for c in ("id", "main", "bag")]
+        return marked(words.where(which).select(*[F.col(c).alias(tag + c) for c in ("id", "main", "bag")], F.xxhash64("city", "ord").alias("seed"), sound(F.col("main")).alias("key")), "key", marks, own)
 
-    met = signed("said", mention_marks(F.col("key")), "m_").join(signed("known", name_marks(F.col("key")), "s_").hint("shuffle_hash"), "sign").where("m_id != s_id")
+    met = signed("said", mention_marks, "m_").join(signed("known", name_marks, "s_").hint("shuffle_hash"), "sign").where("m_id != s_id")
     size = F.least(F.length("m_main"), F.length("s_main"))
     most = F.when(size <= SHORT, 1).when(size <= 8, 2).otherwise(MOST_ERRORS)
     # Each error but a swap changes a letter that the words have, and no more; a swap counts 2 in Levenshtein's metric.
@@ -257,13 +282,15 @@ def candidate_pairs(mentions: DataFrame, names: DataFrame) -> DataFrame:
     level = F.when(F.col("known"), 4).when(F.col("typo") > 1, 3).when(F.least(F.length("main"), F.length("s_main")) < 7, 2).otherwise(1)
     others = others.select("city", "ord", "main", (level + F.when(F.col("typo") == MOST_ERRORS, 8).otherwise(0)).alias("level"), "listed")
     means = itself.unionByName(others).groupBy("city", "ord", "main").agg(F.collect_list(F.struct("level", "listed")).alias("means"))
-    spread = F.flatten(F.transform("means", lambda w: F.transform(w["listed"], lambda x: F.struct(w["level"].alias("level"), x.alias("s")))))
+    means = means.select("city", "ord", "main", F.flatten(F.transform("means", lambda w: F.transform(w["listed"], lambda x: F.struct(w["level"].alias("level"), x.alias("s"))))).alias("x"))
     fits = lambda given, s: _given_agrees(given, s["s_given"]) & _kind_agrees(F.col("kind"), s["s_kind"])
     # Three errors, marked by 8, only count if both given names are there.
     three = lambda x: (x["level"] < 8) | ((F.col("given") != "") & (x["s"]["s_given"] != ""))
-    met = mentions.join(means.hint("shuffle_hash"), ["city", "ord", "main"]).withColumn("x", F.filter(spread, three))
-    met = met.withColumn("n_m", F.size(F.filter("x", lambda x: fits(F.col("given"), x["s"]))))
-    met = met.select("mid", "mid2", "kind", "given", "was_main", "n_m", F.explode("x").alias("x"))
+    counts = lambda x: three(x) & fits(F.col("given"), x["s"])
+    met = mentions.join(means.hint("shuffle_hash"), ["city", "ord", "main"])
+    # Most mentions have one candidate, which needs no function of arrays.
+    met = met.withColumn("n_m", F.when(F.size("x") > 1, F.size(F.filter("x", counts))).when(counts(F.get("x", F.lit(0))), 1).otherwise(0))
+    met = met.select("mid", "mid2", "kind", "given", "was_main", "n_m", F.explode("x").alias("x")).where(three(F.col("x")))
     met = met.select("mid", "mid2", "kind", "given", "was_main", "n_m", F.col("x.s").alias("s"), (F.col("x.level") % 8).alias("main"))
 
     def levelled(df: DataFrame, given: str, added: Column) -> DataFrame:
@@ -355,7 +382,9 @@ def identified(rows: DataFrame) -> DataFrame:
 def mentions_of(rows: DataFrame) -> DataFrame:
     """mid, mid2, city and the parts of each distinct reading."""
     own = rows.select(F.col("_city").alias("city"), "_reading").distinct()
-    return identified(own.select("city", "_reading", F.col("city").alias("_city"))).select("mid", "mid2", "city", *parts_of(F.col("_reading")))
+    # Split in a step of its own: as results of the aggregate, the parts would each split the reading again.
+    own = identified(own.select("city", "_reading", F.col("city").alias("_city"))).withColumn("_split", split_reading(F.col("_reading")))
+    return own.select("mid", "mid2", "city", *split_parts(F.col("_split")))
 
 
 def match_streets(records: DataFrame, streets: DataFrame, cities: DataFrame, key: str = "record_id", bound: int = MAX_BROADCAST, shard: int = SHARD) -> DataFrame:
